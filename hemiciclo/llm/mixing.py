@@ -13,7 +13,7 @@ from hemiciclo.llm.common import WORD
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Rows of a source that one key range holds, about.
-RANGE_ROWS = 4000
+RANGE_ROWS = 1000
 
 
 def n_words(text: Column) -> Column:

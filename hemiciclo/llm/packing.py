@@ -17,7 +17,7 @@ from hemiciclo.llm.tokens import END, encoded, vocabulary_path
 
 CAPACITY = 1024
 #: Pieces of a length that one rank range holds, about.
-RANGE_ROWS = 4000
+RANGE_ROWS = 1000
 
 
 @dataclass

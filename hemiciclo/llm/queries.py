@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemiciclo.llm import langid, mixing, packing, quality, tokens, toxicity, url_filter
+from hemiciclo.llm import langid, minhash, mixing, packing, quality, tokens, toxicity, url_filter
 from hemiciclo.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge_quality(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
@@ -42,7 +46,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_packing, op4_token_output, op5_toxicity, op8_quality, op9_language, op10_url_filter)}
+    return {f.__name__: f for f in (op2_mixing, op3_packing, op4_token_output, op5_toxicity, op7_minhash, op8_quality, op9_language, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
