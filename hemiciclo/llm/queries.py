@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemiciclo.llm import langid, minhash, mixing, packing, quality, tokens, toxicity, url_filter
+from hemiciclo.llm import embedding_dedup, html_mincut, langid, minhash, mixing, packing, quality, tokens, toxicity, url_filter
 from hemiciclo.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
@@ -46,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_packing, op4_token_output, op5_toxicity, op7_minhash, op8_quality, op9_language, op10_url_filter)}
+    return {f.__name__: f for f in (op1_html_text, op2_mixing, op3_packing, op4_token_output, op5_toxicity, op6_embeddings, op7_minhash, op8_quality, op9_language, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
