@@ -1,12 +1,56 @@
-"""A training-data pipeline over the documents table, in stages that each write what they keep."""
+"""A training-data pipeline over the documents table: toxic documents go, then those in no known language, then
+near-duplicates; the sources are mixed to their target weights and the mix is packed into sequences.
+
+A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents; the last returns the pieces of every sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from hemiciclo.llm import langid, minhash, mixing, packing, toxicity
+from hemiciclo.llm.common import stash, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents scored 0.7 or more by the model of the labelled ones among `docs`."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without letterless documents and those whose language is in doubt (score below 0.5)."""
+    return langid.in_known_language(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group linked by five-word shingles at 0.8 or more."""
+    return minhash.without_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, a row a copy, in numbers that bring each source to its target share."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", keep_known_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: The learned stages and token ids are beyond SQL; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

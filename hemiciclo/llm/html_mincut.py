@@ -83,11 +83,14 @@ def _open(tag: str, raw: str, parent: Element | None) -> Element:
         style = known.get("style", "").replace(" ", "").lower()
         if "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in style:
             e.odds -= 6
-        names = {w.lower() for w in _WORD.findall(f"{known.get('class', '')} {known.get('id', '')} {known.get('itemprop', '')}")}
-        if names & _BAD_NAMES:
-            e.names_odds = _NAME_ODDS
-        elif names & _GOOD_NAMES:
+        names = f"{known.get('class', '')} {known.get('id', '')} {known.get('itemprop', '')}"
+        words = {w.lower() for w in _WORD.findall(names)}
+        if _GOOD_NAMES.intersection(names.lower().split()):  # one of the names, whole
             e.odds += 1.0
+        elif words & _BAD_NAMES:
+            e.names_odds = _NAME_ODDS
+        elif words & _GOOD_NAMES:
+            e.odds += 0.5
     return e
 
 
@@ -204,7 +207,7 @@ def content_odds(block: Block, total: int) -> float:
             good = max(good, e.odds)
         else:
             odds += e.odds
-        if e.names_odds and not (e.has_title and e.chars > 0.6 * total):
+        if e.names_odds and not (e.has_title and e.chars > 0.4 * total):
             odds += e.names_odds
         e = e.parent
     words = block.text.count(" ") + 1
