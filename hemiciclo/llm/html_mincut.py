@@ -28,7 +28,7 @@ _WALLS = frozenset("ul ol dl table body html div section article".split())
 
 #: Weights of the block classifier, as log odds for content.
 _TAG_ODDS = {"nav": -6, "footer": -6, "aside": -6, "form": -6, "menu": -6, "dialog": -6, "button": -6, "fieldset": -6, "article": 2.5, "main": 2.0}
-_BLOCK_ODDS = {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 0.8, "h2": 0.3, "h3": 0.3, "h4": 0.3, "h5": 0.2, "h6": 0.2, "li": -0.3, "dd": 0.0, "td": -0.3, "figcaption": 0.2, "label": -4, "legend": -4, "option": -6, "caption": 0.0}
+_BLOCK_ODDS = {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 0.8, "h2": 0.3, "h3": 0.3, "h4": 0.3, "h5": 0.2, "h6": 0.2, "li": -0.3, "dd": 0.0, "td": -0.3, "figcaption": 0.2, "label": -4, "legend": -4, "option": -6, "caption": 0.0, "html": 0.2, "body": 0.2, "article": 0.2, "main": 0.2, "section": 0.0}
 _ROLE_ODDS = {"navigation": -6, "banner": -5, "contentinfo": -6, "complementary": -5, "search": -6, "dialog": -6, "alertdialog": -6, "alert": -5, "form": -6, "menu": -6, "menubar": -6, "main": 2.0, "article": 2.0}
 _BAD_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promoted nav
