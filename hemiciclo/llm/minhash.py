@@ -25,7 +25,19 @@ BANDS = BINS // BAND_ROWS
 STAR_ROUNDS = 3
 MEMORY = 1_000_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_words: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    """Word: its 64-bit hash, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMORY:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_hash_of = _Hashes().__getitem__
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,11 +52,7 @@ def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     words = text.encode().translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > MEMORY:
-        _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_hash_of, words), np.uint64, len(words))
     size = min(size, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
