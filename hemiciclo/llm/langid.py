@@ -126,7 +126,7 @@ class ContextTrees:
         need = set().union(*words)
         if len(self.known) > MEMORY:
             self.known, self.costs = {}, self.costs[:0]
-        if new := sorted(need - self.known.keys()):
+        if new := [w for w in need if w not in self.known]:
             size = len(self.known)
             self.costs = np.concatenate([self.costs, self.code_lengths([w.encode() for w in new])])
             self.known.update(zip(new, range(size, size + len(new)), strict=True))
