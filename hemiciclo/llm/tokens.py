@@ -46,6 +46,7 @@ class Encoder:
         self.led: dict[str, bytes] = {}  # word: ids with a space before it, or with the line feed that it starts with
         self.bare: dict[str, bytes] = {}
         self.feed = self._encode("\n")
+        self.marks = {m: self._encode(m) for m in ",."}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -62,29 +63,54 @@ class Encoder:
             found += [raw[4 * i : 4 * j] for i, j in zip([0, *(x + 1 for x in ends[:-1])], ends, strict=True)]
         return found
 
+    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
+        """Ids of words that are new to `memo`. A comma or full stop after a letter is a pre-token of its own, so the word before it is enough."""
+        if len(memo) > MEMORY:
+            memo.clear()
+        bare, stopped = set(), []
+        for w in words:
+            if w[-1] in ",." and len(w) > 1 and w[-2].isalpha():
+                stopped.append(w)
+                bare.add(w[:-1])
+            else:
+                bare.add(w)
+        new = [w for w in bare if w not in memo]
+        fed = [w for w in new if w[0] == "\n"]
+        rest = [w for w in new if w[0] != "\n"]
+        memo.update(zip(rest, self._by_line(rest, lead), strict=True))
+        memo.update(zip(fed, (self.feed + x for x in self._by_line([w[1:] for w in fed], "")), strict=True))
+        memo.update((w, memo[w[:-1]] + self.marks[w[-1]]) for w in stopped)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        plain: list[list[str] | None] = []
+        out: list[bytes | None] = []
+        waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         led: set[str] = set()
-        bare: set[str] = set()
+        first: set[str] = set()
+        get = self.led.get
         for text in texts:
-            if text and text.replace("\n", " ").split(" ") == text.split():
-                words = text.replace("\n", " \n").split(" ")
-                bare.add(words[0])
-                led.update(words[1:])
-                plain.append(words)
+            if not text or text.replace("\n", " ").split(" ") != text.split():
+                out.append(self._encode(text))
+                continue
+            words = text.replace("\n", " \n").split(" ")
+            parts = list(map(get, words))
+            parts[0] = self.bare.get(words[0])
+            if None in parts:
+                gaps = [i for i, x in enumerate(parts) if x is None]
+                led.update(words[i] for i in gaps if i)
+                if not gaps[0]:
+                    first.add(words[0])
+                waiting.append((len(out), words, parts, gaps))
+                out.append(None)
             else:
-                plain.append(None)
-        for memo, words in ((self.bare, bare), (self.led, led)):
-            if len(memo) > MEMORY:
-                memo.clear()
-            new = words - memo.keys()
-            fed = [w for w in new if w[0] == "\n"]
-            rest = [w for w in new if w[0] != "\n"]
-            memo.update(zip(rest, self._by_line(rest, " " if memo is self.led else ""), strict=True))
-            memo.update(zip(fed, (self.feed + x for x in self._by_line([w[1:] for w in fed], "")), strict=True))
-        one = self.led.__getitem__
-        return [self._encode(text) if words is None else self.bare[words[0]] + b"".join(map(one, words[1:])) for text, words in zip(texts, plain, strict=True)]
+                out.append(b"".join(parts))
+        self._learn(self.bare, first, "")
+        self._learn(self.led, led, " ")
+        for at, words, parts, gaps in waiting:
+            for i in gaps:
+                parts[i] = self.led[words[i]] if i else self.bare[words[0]]
+            out[at] = b"".join(parts)
+        return out
 
 
 @lru_cache(maxsize=2)
