@@ -21,8 +21,6 @@ PERCENT = 80
 BINS, BAND_ROWS = 256, 6
 #: A pair at the threshold shares none of the BINS // BAND_ROWS bands with a probability of 3 in a million.
 BANDS = BINS // BAND_ROWS
-#: Rounds of stars before the pairs that are left in mixed buckets are compared one by one.
-STAR_ROUNDS = 3
 MEMORY = 1_000_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -140,6 +138,42 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
+def _sharing_rare_shingles(residual: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs a < b of residual rows (rep, component) of different components that can link, by prefix filtering.
+
+    Two sets of sizes n and m that link share one of the rarest n - ceil(n * percent / 100) + 1 shingles of the one
+    and as many of the other, in any fixed order of shingles. The order here is by how many residual sets have a
+    shingle, so a passage that many texts share is in no prefix of a text with enough words of its own.
+    """
+    schema = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingle_set(text, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), v), pa.int64()) for v in (rep, component, len(s))] + [pa.array(s.view(np.int64))], schema=schema)
+
+    sets = stash(residual.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "component", "text").mapInArrow(run, "rep long, component long, n long, shingle long"), "shingles")
+    seen = sets.groupBy("shingle").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "shingle"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = sets.join(seen, "shingle").withColumn("place", place).where((F.col("place") <= prefix) & (F.col("df") > 1))
+    rare = stash(rare.select("rep", "component", "n", "shingle"), "prefixes")
+    x, y = rare.alias("x"), rare.alias("y")
+    alike = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.component") < F.col("y.component"))
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & alike).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: those that the links join are merged, over one node a component."""
+    label = lambda end: F.coalesce(F.col(f"{end}.component"), F.col(f"l.{end}"))
+    a, b = component.alias("a"), component.alias("b")
+    met = links.alias("l").join(a, F.col("l.a") == F.col("a.node"), "left").join(b, F.col("l.b") == F.col("b.node"), "left").select(label("a").alias("a"), label("b").alias("b"))
+    merged = stash(connected_components(met), "merged")
+    moved = component.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stash(moved.unionByName(merged.join(component, "node", "left_anti")), "component")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -148,9 +182,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     2. In each bucket (band key) the least member is the centre of a star; a pair that several buckets propose counts
        once. The full sets of each star edge are compared, and links make components.
     3. A bucket whose members are still in several components may hide a link between members that its centre does
-       not link to. Such buckets get further stars around other centres, to members of other components, and at last
-       all their pairs between components that no star has compared. So within the buckets no link is lost that
-       would join components, while a bucket that is one component never spells out its pairs.
+       not link to. Each such bucket gets one more star, around a centre of its own, to members of other components.
+       Those that are still mixed then go through prefix filtering over their full sets, which loses no link. So
+       every link between bucket members counts, while neither a bucket that is one component nor one that only
+       shares a passage spells out its pairs.
 
     Sets without a word (NULL and empty texts) link with nothing. Rows that share an id count as one document. Rows
     with a NULL id link with nothing, have a NULL component and are kept. An empty table gives no rows.
@@ -166,29 +201,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = stash(buckets.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = stash(source.join(wanted, "doc_id", "left_semi").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links = stash(_confirmed(pairs, texts, shingle_words, percent), "confirmed")
-    component = stash(connected_components(links), "component")
-    larger, tested = buckets.where("n > 2"), pairs
-    for turn in range(STAR_ROUNDS + 1):
-        placed = larger.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("centre")).where("low < high")
-        if turn < STAR_ROUNDS:
-            new = placed.join(mixed, "key").where(F.col("component") != F.col("centre.component")).select(F.col("centre.rep").alias("a"), F.col("rep").alias("b"))
-        else:
-            mixed_rows = placed.join(mixed.select("key"), "key")
-            x, y = mixed_rows.alias("x"), mixed_rows.alias("y")
-            new = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = stash(new, "pairs")
-        if new.isEmpty():
-            if turn == STAR_ROUNDS:
-                break
-            continue
-        found = stash(_confirmed(new, texts, shingle_words, percent), "confirmed")
-        tested = tested.union(new)
-        if not found.isEmpty():
-            links = links.union(found)
-            component = stash(connected_components(links), "component")
+    component = stash(connected_components(_confirmed(pairs, texts, shingle_words, percent)), "component")
+
+    def mixed_members(component: DataFrame) -> DataFrame:
+        """key, rep, component of the buckets of three or more members and several components, and a centre for each."""
+        placed = buckets.where("n > 2").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key")).alias("centre"))
+        return stash(placed.join(several.where("low < high").select("key", "centre"), "key"), "mixed")
+
+    def untested(new: DataFrame) -> DataFrame:
+        return stash(new.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+    tested = pairs
+    mixed = mixed_members(component)
+    if not mixed.isEmpty():
+        star = mixed.where(F.col("component") != F.col("centre.component")).select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
+        star = untested(star)
+        component = _joined(component, _confirmed(star, texts, shingle_words, percent))
+        tested = tested.union(star)
+        residual = mixed_members(component).select("rep", "component").distinct()
+        rest = untested(_sharing_rare_shingles(residual, texts, shingle_words, percent))
+        component = _joined(component, _confirmed(rest, texts, shingle_words, percent))
     grouped = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     out = signed.join(grouped, "print", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("c"))
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
