@@ -100,17 +100,20 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
-    def make(rows: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for doc, x in zip(rows.column(0).to_pylist(), ids, strict=True):
-            n = len(x) // 4
-            head = (n - 1) % capacity + 1
-            cuts = [0, *range(head, n + 1, capacity)]
-            out += [(doc, k, a, b - a, zlib.crc32(x[4 * a : 4 * b]), x[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-        columns = list(zip(*out, strict=True))
-        arrays = [pa.array(c, t.type) for c, t in zip(columns, schema, strict=False) if t.name != "ids"]
-        if with_ids:
-            arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *columns[3]]), pa.int32()), pa.array(np.frombuffer(b"".join(columns[5]), "<i4"))))
+    def make(rows: pa.RecordBatch, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(ends)
+        pieces = -(-sizes // capacity)
+        of = np.repeat(np.arange(len(sizes)), pieces)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        head = (sizes - 1) % capacity + 1
+        start = np.where(piece == 0, 0, head[of] + (piece - 1) * capacity)
+        length = np.where(piece == 0, head[of], capacity)
+        at = ends[of] + start
+        raw = ids.astype("<u4", copy=False)
+        crc = [zlib.crc32(raw[i:j]) for i, j in zip(at.tolist(), (at + length).tolist(), strict=True)]
+        arrays = [rows.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        if with_ids:  # pieces follow each other in `ids` as they stand
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.append(at, ends[-1]), pa.int32()), pa.array(ids.view(np.int32))))
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

@@ -17,7 +17,7 @@ from hemiciclo.llm.common import shared_dir
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Words whose ids a worker remembers; beyond it forgets all and starts again, which changes no result.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -26,13 +26,49 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+_SPACE, _FEED = 32, 10
+_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+#: Bytes of a buffer that is cut into words at a time.
+CHUNK = 1 << 20
+#: Slots of the memory of words; more than MEMORY words never stand in it.
+SLOTS = 22
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True  # the last four begin all white space beyond ASCII
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, modulo 2**64."""
+    up, down = np.full(n, _MULTIPLIER, np.uint64), np.full(n, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def single_spaced(octets: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For texts that follow each other in `octets` (ends: len + 1 places), whether all white space of a text is single spaces and line feeds between other characters; bytes that may begin other white space, and empty texts, are a no."""
+    gap = (octets == _SPACE) | (octets == _FEED)
+    bad = _ODD_BYTE[octets]
+    bad[1:] |= gap[1:] & gap[:-1]
+    starts, stops = ends[:-1], ends[1:]
+    some = stops > starts
+    bad[starts[some]] |= gap[starts[some]]
+    bad[stops[some] - 1] |= gap[stops[some] - 1]
+    count = np.concatenate([[0], np.cumsum(bad)])
+    return some & (count[stops] == count[starts])
+
+
 class Encoder:
     """Ids of texts, the same as `Tokenizer.encode(text, add_special_tokens=False)` gives.
 
     A byte-level BPE never merges over a pre-token's edge, and a single space or line feed between two characters
-    that are not white space is always such an edge. So most texts can be put together from the ids of their words,
-    each with the space or line feed before it; words repeat, and the library encodes each different one once, many
-    in a text of a word a line. A text with any other white space (runs, tabs, at an end) goes to the library whole.
+    that are not white space is always such an edge, as is that between a letter and a comma or full stop that ends
+    a word. So most texts can be put together from the ids of their words, each with the space or line feed before
+    it; words repeat, and the library encodes each different one once, many in a text of a word a line. Words are
+    cut, hashed (64 bits of a polynomial of the bytes, with length and lead) and looked up for many texts at a time
+    as arrays. A text with other white space goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -43,74 +79,155 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.led: dict[str, bytes] = {}  # word: ids with a space before it, or with the line feed that it starts with
-        self.bare: dict[str, bytes] = {}
-        self.feed = self._encode("\n")
-        self.marks = {m: self._encode(m) for m in ",."}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _by_line(self, words: list[str], lead: str) -> list[bytes]:
-        """The ids of each word, encoded as lines of one text; no other token holds a line feed here."""
+        if resize := getattr(self.whole.model, "_resize_cache", None):
+            resize(1)  # words that come here are new, so its own memory of words would only cost time
+        self.feed = int(self._encode("\n")[0])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.places = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
+        self.words = 0
+        self.first, self.count = np.zeros(MEMORY, np.int64), np.zeros(MEMORY, np.int32)  # of a word's ids in `ids`
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _by_line(self, words: list[str], lead: str) -> list[np.ndarray]:
+        """The ids of each word after `lead`, encoded as lines of one text; no other token of these holds a line feed."""
         if not words:
             return []
-        texts = [("\n" + lead).join(words[at : at + 2000]) for at in range(0, len(words), 2000)]
-        feed, found = int.from_bytes(self.feed, "little"), []
-        for e in self.whole.encode_batch_fast([lead + t for t in texts], add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            raw, ends = ids.tobytes(), [*np.flatnonzero(ids == feed).tolist(), len(ids)]
-            found += [raw[4 * i : 4 * j] for i, j in zip([0, *(x + 1 for x in ends[:-1])], ends, strict=True)]
+        texts = [lead + ("\n" + lead).join(words[at : at + 2000]) for at in range(0, len(words), 2000)]
+        found: list[np.ndarray] = []
+        for e in self.whole.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+            found += [ids[i:j] for i, j in zip([0, *(x + 1 for x in ends[:-1])], ends, strict=True)]
         return found
 
-    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Ids of words that are new to `memo`. A comma or full stop after a letter is a pre-token of its own, so the word before it is enough."""
-        if len(memo) > MEMORY:
-            memo.clear()
-        bare, stopped = set(), []
-        for w in words:
-            if w[-1] in ",." and len(w) > 1 and w[-2].isalpha():
-                stopped.append(w)
-                bare.add(w[:-1])
-            else:
-                bare.add(w)
-        new = [w for w in bare if w not in memo]
-        fed = [w for w in new if w[0] == "\n"]
-        rest = [w for w in new if w[0] != "\n"]
-        memo.update(zip(rest, self._by_line(rest, lead), strict=True))
-        memo.update(zip(fed, (self.feed + x for x in self._by_line([w[1:] for w in fed], "")), strict=True))
-        memo.update((w, memo[w[:-1]] + self.marks[w[-1]]) for w in stopped)
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The word that each key stands for, -1 for none."""
+        out = np.full(len(keys), -1, np.int32)
+        slot, open_ = (keys >> np.uint64(64 - SLOTS)).astype(np.int64), np.arange(len(keys))
+        while len(open_):
+            at = slot[open_]
+            there = self.keys[at]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.places[at[hit]]
+            open_ = open_[~hit & (there != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << SLOTS) - 1)
+        return out
+
+    def _add(self, keys: np.ndarray, found: list[np.ndarray]) -> None:
+        """Different new keys with their ids."""
+        n, flat = len(keys), np.concatenate(found)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(flat)), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        sizes = np.fromiter(map(len, found), np.int64, n)
+        self.first[self.words : self.words + n] = self.used + np.cumsum(sizes) - sizes
+        self.count[self.words : self.words + n] = sizes
+        place = np.arange(self.words, self.words + n, dtype=np.int32)
+        self.words, self.used = self.words + n, self.used + len(flat)
+        slot, open_ = (keys >> np.uint64(64 - SLOTS)).astype(np.int64), np.arange(n)
+        while len(open_):
+            at = slot[open_]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[open_[free]]
+            mine = self.keys[at] == keys[open_]
+            self.places[at[mine]] = place[open_[mine]]
+            open_ = open_[~mine]
+            slot[open_] = (slot[open_] + 1) & ((1 << SLOTS) - 1)
+
+    def _single_spaced(self, octets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that single_spaced() accepts, one after the other, and where each ends."""
+        n = len(octets)
+        gap = (octets == _SPACE) | (octets == _FEED)
+        stop = (octets == 44) | (octets == 46)
+        stop[0] = False
+        stop[1:] &= _LETTER[octets[:-1]]
+        last = np.zeros(n + 1, bool)
+        last[ends[1:]] = True
+        stop &= last[1:] | np.append(gap[1:], True)
+        stop[ends[:-1]] = False
+        begins, closes = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        begins[1:] = gap
+        begins[:-1] |= stop
+        begins[ends[:-1]] = True
+        begins[n] = False
+        closes[:-1] = gap | stop
+        closes[ends[1:]] = True
+        start, end = np.flatnonzero(begins), np.flatnonzero(closes)
+        lead = np.where(stop[start], 3, np.where(octets[start - 1] == _SPACE, 1, 2))
+        text_start = np.searchsorted(start, ends[:-1])
+        lead[text_start] = 0
+        up, down = _powers(max(n, CHUNK + 1) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(octets * up[:n])])
+        key = (total[end] - total[start]) * down[start]
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (end - start).astype(np.uint64) * np.uint64(0x94D049BB133111EB) + lead.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        key = (key ^ (key >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+        key[key == 0] = 1
+        word = self._find(key)
+        new = np.flatnonzero(word < 0)
+        if len(new):
+            kinds, one = np.unique(key[new], return_index=True)
+            if self.words + len(kinds) > len(self.first):
+                self._forget()
+                new = np.arange(len(key))
+                kinds, one = np.unique(key, return_index=True)
+            at = new[one]
+            raw = octets.tobytes()
+            text = [raw[i:j].decode() for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            leads = lead[at]
+            made: list[np.ndarray | None] = [None] * len(at)
+            for group, before in (((0, 2, 3), ""), ((1,), " ")):
+                mine = np.flatnonzero(np.isin(leads, group)).tolist()
+                for i, ids in zip(mine, self._by_line([text[i] for i in mine], before), strict=True):
+                    made[i] = np.concatenate([[np.uint32(self.feed)], ids]) if leads[i] == 2 else ids
+            if len(kinds) > len(self.first):  # more different words in one text than are ever remembered
+                size = np.fromiter(map(len, made), np.int64, len(made))
+                first, count, ids = np.cumsum(size) - size, size, np.concatenate(made)
+                word = np.searchsorted(kinds, key)
+                return _gather(ids, first[word], count[word], np.append(text_start, len(word)))
+            self._add(kinds, made)
+            word = self._find(key)
+        return _gather(self.ids, self.first[word], self.count[word].astype(np.int64), np.append(text_start, len(word)))
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (NULL: none), one after the other, and where each ends (len + 1 places)."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        octets = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        plain = single_spaced(octets, ends) if len(octets) else np.zeros(len(texts), bool)
+        parts, sizes, at = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64), 0
+        while at < len(texts):
+            if not plain[at]:
+                ids = self._encode(octets[ends[at] : ends[at + 1]].tobytes().decode())
+                sizes[at] = len(ids)
+                parts.append(ids)
+                at += 1
+                continue
+            to = at + 1
+            while to < len(texts) and plain[to] and ends[to + 1] - ends[at] <= CHUNK:
+                to += 1
+            ids, stops = self._single_spaced(octets[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+            sizes[at:to] = np.diff(stops)
+            parts.append(ids)
+            at = to
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = []
-        waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
-        led: set[str] = set()
-        first: set[str] = set()
-        get = self.led.get
-        for text in texts:
-            if not text or text.replace("\n", " ").split(" ") != text.split():
-                out.append(self._encode(text))
-                continue
-            words = text.replace("\n", " \n").split(" ")
-            parts = list(map(get, words))
-            parts[0] = self.bare.get(words[0])
-            if None in parts:
-                gaps = [i for i, x in enumerate(parts) if x is None]
-                led.update(words[i] for i in gaps if i)
-                if not gaps[0]:
-                    first.add(words[0])
-                waiting.append((len(out), words, parts, gaps))
-                out.append(None)
-            else:
-                out.append(b"".join(parts))
-        self._learn(self.bare, first, "")
-        self._learn(self.led, led, " ")
-        for at, words, parts, gaps in waiting:
-            for i in gaps:
-                parts[i] = self.led[words[i]] if i else self.bare[words[0]]
-            out[at] = b"".join(parts)
-        return out
+        ids, ends = self.arrays(pa.array(texts, pa.string()))
+        return [ids[i:j].astype("<u4").tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _gather(ids: np.ndarray, first: np.ndarray, count: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids[first : first + count] of every word, one after the other, and where each group of words ends."""
+    ends = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], count)
+    return ids[at], ends[groups]
 
 
 @lru_cache(maxsize=2)
@@ -118,15 +235,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(path: str, text_at: int, end: int | None, make: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], step: int = 256) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function: `make(rows, ids)` for `step` rows at a time; NULL texts are empty, `end` closes each."""
+def encoded(path: str, text_at: int, end: int | None, make: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], step: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function: `make(rows, ids, ends)` for `step` rows at a time; NULL texts are empty, `end` closes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(path), b"" if end is None else np.array([end], "<u4").tobytes()
+        encode = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 rows = batch.slice(at, step)
-                yield make(rows, [x + tail for x in encode([t or "" for t in rows.column(text_at).to_pylist()])])
+                ids, ends = encode.arrays(rows.column(text_at))
+                if end is not None:
+                    ids, ends = np.insert(ids, ends[1:], np.uint32(end)), ends + np.arange(len(ends))
+                yield make(rows, ids, ends)
 
     return run
 
@@ -152,9 +272,8 @@ def write_tokens(
     """
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
-    def make(rows: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
-        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    def make(rows: pa.RecordBatch, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
         return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), pa.array(np.diff(ends), pa.int32()), tokens], schema=schema)
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -24,9 +24,11 @@ def test_encoder_equals_library(texts):
 
 def test_encoder_on_documents_and_after_forgetting(spark, monkeypatch):
     texts = [r.text for r in spark.read.parquet(f"{SF1}/documents.parquet").collect()]
-    monkeypatch.setattr(tokens, "MEMORY", 50)
-    for at in range(0, len(texts), 20):
-        assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts[at : at + 20])] == [direct(t) for t in texts[at : at + 20]]
+    for room in (50, 3000):
+        monkeypatch.setattr(tokens, "MEMORY", room)
+        small = tokens.Encoder(tokens.vocabulary_path())
+        for at in range(0, len(texts), 20):
+            assert [np.frombuffer(x, "<u4").tolist() for x in small(texts[at : at + 20])] == [direct(t) for t in texts[at : at + 20]]
 
 
 def test_files_round_trip(spark, tmp_path):
