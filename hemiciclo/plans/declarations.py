@@ -111,3 +111,95 @@ def numeric_candidates(lines: DataFrame, *, min_score: float = 0.85) -> DataFram
     found = lines.select("doc", "page", "line", "text", "score", "eligible", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\d[\d.,]*)"), F.lit(1))).alias("k", "raw"))
     reason = F.when(~F.col("eligible"), "outside_eligible_block").when(F.col("score") < min_score, "low_score").when(F.col("text").rlike(r"\d{1,2}/\d{1,2}/\d{2,4}"), "date").when(F.col("raw").rlike(r"^\d{1,2}$"), "bare_number")
     return found.withColumns({"amount": mixed_amount(F.col("raw")), "quarantine": reason})
+
+
+#: What entities look like in a declaration.
+ENTITY_PATTERNS = {
+    "amount": r"\d{1,3}(?:\.\d{3})*,\d{2}\s*(?:€|EUR|euros)?",
+    "date": r"\b\d{1,2}/\d{1,2}/\d{4}\b",
+    "percentage": r"\b\d{1,3}(?:[.,]\d+)?\s*%",
+    "iban": r"\bES\d{2}[\s\d*Xx]{4,30}",
+    "company": r"\b[A-ZÁÉÍÓÚÑ][\w&. ]{2,60}?,?\s+S\.?\s?[AL]\.?(?:U\.?)?(?=\W|$)",
+    "registry": r"(?i)\b(?:finca|registro)\s+n(?:º|o|úm)\.?\s*\d+",
+}
+CITIES = ("Madrid", "Barcelona", "Valencia", "Sevilla", "Zaragoza", "Málaga", "Murcia", "Bilbao", "Alicante", "Córdoba", "Valladolid", "Vigo", "Gijón", "Granada", "Soria", "Cádiz", "Toledo", "Burgos", "Salamanca", "León")
+#: Words of the parts of a structured form.
+INCOME_WORDS = {"salary": ("sueldo", "salario", "retribucion", "nomina"), "pension": ("pension",), "allowance": ("dieta", "indemnizacion"), "interest": ("intereses", "rendimiento"), "dividend": ("dividendo",)}
+ASSET_WORDS = {"account": ("cuenta", "deposito", "saldo"), "fund": ("fondo",), "shares": ("accion", "participacion"), "pension_plan": ("plan de pensiones",), "insurance": ("seguro",)}
+
+
+def entities(page_rows: DataFrame) -> DataFrame:
+    """Amounts, dates, percentages, account numbers, companies, registry numbers and places of page texts: spans and 80 characters around."""
+    from hemiciclo.plans.extraction import Rule, regex_candidates
+
+    rules = [Rule(k, p) for k, p in ENTITY_PATTERNS.items()] + [Rule("location", r"\b(?:" + "|".join(CITIES) + r")\b")]
+    keyed = page_rows.select(F.concat_ws(":", F.col("doc").cast("string"), F.col("page").cast("string")).alias("page_key"), "text")
+    found = regex_candidates(keyed, rules, key="page_key")
+    part = F.split("page_key", ":")
+    return found.select("candidate_id", part[0].alias("doc"), part[1].cast("int").alias("page"), F.col("rule").alias("entity_type"), F.trim("value").alias("value"), "start", "end", "evidence", F.when(F.col("rule") == "amount", mixed_amount(F.col("value"))).alias("amount"))
+
+
+def _category(line: Column, words: dict) -> Column:
+    out = F.lit(None).cast("string")
+    for name, tokens in reversed(words.items()):
+        out = F.when(F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(line, t)), F.lit(name)).otherwise(out)
+    return out
+
+
+def structured_amounts(lines: DataFrame, words: dict, family: str, *, confidence: float = 0.86, following_first: bool = False) -> DataFrame:
+    """lines: doc, page, pos, line. Lines that are an amount, with the nearest line of words within three that says what it is."""
+    amount = F.when(F.col("line").rlike(r"^\d{1,3}(\.\d{3})*,\d{2}\s*(€|EUR)?$"), mixed_amount(F.col("line")))
+    rows = lines.withColumns({"amount": amount, "f": fold(F.col("line"))})
+    said = F.when(F.col("amount").isNull() & _category(F.col("f"), words).isNotNull(), F.col("line"))
+    rows = windows.nearest_neighbour(rows, ["doc", "page"], ["pos"], said, "description", following_first=following_first).where("amount is not null and description is not null")
+    return rows.select("doc", "page", "pos", F.lit(family).alias("family"), _category(fold(F.col("description")), words).alias("category"), "description", "amount", F.lit(confidence).alias("confidence"), F.lit(confidence < REVIEW_BELOW).alias("needs_review"))
+
+
+def structured_income(lines: DataFrame) -> DataFrame:
+    return structured_amounts(lines, INCOME_WORDS, "income")
+
+
+def structured_assets(lines: DataFrame) -> DataFrame:
+    return structured_amounts(lines, ASSET_WORDS, "asset")
+
+
+def structured_liabilities(lines: DataFrame) -> DataFrame:
+    """A mortgage or loan line and the amounts of the four lines after it: the first was granted, the last is pending."""
+    from pyspark.sql import Window as W
+
+    amount = F.when(F.col("line").rlike(r"\d[\d.]*,\d{2}"), mixed_amount(F.regexp_extract("line", r"(\d[\d.]*,\d{2})", 1)))
+    ahead = W.partitionBy("doc", "page").orderBy("pos").rowsBetween(0, 4)
+    rows = lines.withColumn("amounts", F.collect_list(amount).over(ahead)).where(fold(F.col("line")).rlike("hipoteca|prestamo|credito"))
+    rows = rows.where(F.size("amounts") > 0)
+    return rows.select("doc", "page", "pos", F.lit("liability").alias("family"), F.col("line").alias("description"), F.col("amounts")[0].alias("granted"), F.when(F.size("amounts") > 1, F.element_at("amounts", -1)).alias("pending"))
+
+
+def structured_real_estate(lines: DataFrame, reach: int = 7) -> DataFrame:
+    """From a property marker to the purchase marker within `reach` lines: the lines between describe one property."""
+    f = fold(F.col("line"))
+    opens = f.rlike(r"\b(vivienda|piso|finca|garaje|solar|local|trastero)\b")
+    closes = f.rlike("compraventa|herencia|donacion|adquisicion")
+    rows = lines.withColumn("_open", F.when(opens, F.col("pos")))
+    rows = windows.carry_forward(rows, ["doc", "page"], ["pos"], F.when(closes, F.lit(-1)).when(opens, F.col("pos")), "_last", strictly_before=True)
+    starts = rows.where(opens & (F.coalesce("_last", F.lit(-1)) < 0)).select("doc", "page", F.col("pos").alias("start"))
+    ends = lines.where(closes).select("doc", "page", F.col("pos").alias("end"))
+    spans = starts.join(ends, ["doc", "page"]).where(F.col("end").between(F.col("start"), F.col("start") + reach - 1)).groupBy("doc", "page", "start").agg(F.min("end").alias("end"))
+    inside = lines.join(spans, ["doc", "page"]).where(F.col("pos").between(F.col("start"), F.col("end")))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "line")))
+    return inside.groupBy("doc", "page", "start").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "; ").alias("description")).withColumns({"family": F.lit("real_estate"), "confidence": F.lit(0.86)})
+
+
+def economic_interests(texts: DataFrame, specs: DataFrame) -> DataFrame:
+    """texts: doc, text. specs: category, tokens (ARRAY<STRING>), a small caller's table. Documents whose text has all tokens of a spec."""
+    folded = texts.select("doc", fold(F.col("text")).alias("f"))
+    return folded.crossJoin(F.broadcast(specs)).where(F.forall("tokens", lambda t: F.contains(F.col("f"), fold(t)))).select("doc", "category")
+
+
+def human_join(*parts: Column) -> Column:
+    """The parts that are not empty, with commas."""
+    return F.concat_ws(", ", *(F.nullif(F.trim(p), F.lit("")) for p in parts))
+
+
+def known_city(line: Column) -> Column:
+    hits = F.filter(F.array(*map(F.lit, CITIES)), lambda c: F.contains(line, c))
+    return F.get(hits, F.lit(0))
