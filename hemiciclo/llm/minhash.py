@@ -22,6 +22,8 @@ BINS, BAND_ROWS = 256, 6
 #: A pair at the threshold shares none of the BINS // BAND_ROWS bands with a probability of 3 in a million.
 BANDS = BINS // BAND_ROWS
 MEMORY = 1_000_000
+#: Sets of a block, and shingles in all of them, about; a tile compares two blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -138,30 +140,79 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def _sharing_rare_shingles(residual: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs a < b of residual rows (rep, component) of different components that can link, by prefix filtering.
+def linked_in_tile(sets: list[np.ndarray], component: np.ndarray, split: int | None, percent: int, width: int = 4096) -> list[tuple[int, int]]:
+    """Places (i, j) of links between different components that span what is connected: of the first `split` sets with the others (None: of all with all).
 
-    Two sets of sizes n and m that link share one of the rarest n - ceil(n * percent / 100) + 1 shingles of the one
-    and as many of the other, in any fixed order of shingles. The order here is by how many residual sets have a
-    shingle, so a passage that many texts share is in no prefix of a text with enough words of its own.
+    Intersections are products of 0/1 rows over the shingles that two sets or more have, `width` columns at a time;
+    float32 holds the counts exactly.
     """
-    schema = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    row, column = row[seen[column] > 1], column[seen[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = (slice(0, split), slice(split, None)) if split is not None else (slice(None), slice(None))
+    both = np.zeros((len(sizes[left]), len(sizes[right])), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, width):
+        i, j = np.searchsorted(column, [low, low + width])
+        dense = np.zeros((len(sets), width), np.float32)
+        dense[row[i:j], column[i:j] - low] = 1
+        both += dense[left] @ dense[right].T
+    total = (sizes[left][:, None] + sizes[right][None, :]).astype(np.float32)
+    linked = ((100 + percent) * both >= percent * total) & (component[left][:, None] != component[right][None, :]) & (both > 0)
+    label = {c: c for c in component.tolist()}
+
+    def root(c: int) -> int:
+        while label[c] != c:
+            c = label[c] = label[label[c]]
+        return c
+
+    found = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        j += split or 0
+        a, b = root(int(component[i])), root(int(component[j]))
+        if a != b:
+            label[a] = b
+            found.append((i, j))
+    return found
+
+
+def _links_between(residual: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links a, b that span the components of residual rows (rep, component, family), from the full sets of every pair of a family's rows.
+
+    A family is cut into blocks of bounded size by a hash; each pair of its blocks is a tile, a task's work of
+    bounded size. A row goes to as many tiles as its family has blocks; only spanning links come back.
+    """
+    kind = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("family", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingle_set(text, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), v), pa.int64()) for v in (rep, component, len(s))] + [pa.array(s.view(np.int64))], schema=schema)
-
-    sets = stash(residual.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "component", "text").mapInArrow(run, "rep long, component long, n long, shingle long"), "shingles")
-    seen = sets.groupBy("shingle").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "shingle"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = sets.join(seen, "shingle").withColumn("place", place).where((F.col("place") <= prefix) & (F.col("df") > 1))
-    rare = stash(rare.select("rep", "component", "n", "shingle"), "prefixes")
-    x, y = rare.alias("x"), rare.alias("y")
-    alike = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.component") < F.col("y.component"))
-    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & alike).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            sets = [shingle_set(t, size).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], schema=kind)
+
+    rows = residual.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "component", "family", "text").mapInArrow(run, "rep long, component long, family long, n long, set binary")
+    rows = stash(rows, "residual")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    families = rows.groupBy("family").agg(blocks.alias("blocks"))
+    placed = rows.join(families, "family").withColumn("b", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("b", j).alias("i"), F.greatest("b", j).alias("j"))))
+    sent = placed.select("rep", "component", "family", "set", "b", tiles.alias("tile")).select("rep", "component", "family", "set", "b", "tile.i", "tile.j")
+
+    def tile(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        rep, component, b = (group.column(c).to_numpy() for c in ("rep", "component", "b"))
+        order = np.lexsort((rep, b))
+        raw = group.column("set").to_pylist()
+        sets = [np.frombuffer(raw[k], np.uint64) for k in order]
+        one = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        split = None if one else int((b == group.column("i")[0].as_py()).sum())
+        found = linked_in_tile(sets, component[order], split, percent)
+        ends = [[int(rep[order[p[k]]]) for p in found] for k in (0, 1)]
+        return pa.table([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
+
+    return sent.groupBy("family", "i", "j").applyInArrow(tile, "a long, b long")
 
 
 def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
@@ -183,9 +234,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        once. The full sets of each star edge are compared, and links make components.
     3. A bucket whose members are still in several components may hide a link between members that its centre does
        not link to. Each such bucket gets one more star, around a centre of its own, to members of other components.
-       Those that are still mixed then go through prefix filtering over their full sets, which loses no link. So
-       every link between bucket members counts, while neither a bucket that is one component nor one that only
-       shares a passage spells out its pairs.
+       Members of buckets that are still mixed form families (buckets that share a member are one), and all sets of
+       a family are compared in tiles of bounded size. So every link between bucket members counts, while a bucket
+       that is one component costs no more, and no pair leaves a tile but spanning links.
 
     Sets without a word (NULL and empty texts) link with nothing. Rows that share an id count as one document. Rows
     with a NULL id link with nothing, have a NULL component and are kept. An empty table gives no rows.
@@ -209,19 +260,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key")).alias("centre"))
         return stash(placed.join(several.where("low < high").select("key", "centre"), "key"), "mixed")
 
-    def untested(new: DataFrame) -> DataFrame:
-        return stash(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-
-    tested = pairs
     mixed = mixed_members(component)
     if not mixed.isEmpty():
         star = mixed.where(F.col("component") != F.col("centre.component")).select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
-        star = untested(star)
+        star = stash(star.join(pairs, ["a", "b"], "left_anti"), "pairs")
         component = _joined(component, _confirmed(star, texts, shingle_words, percent))
-        tested = tested.union(star)
-        residual = mixed_members(component).select("rep", "component").distinct()
-        rest = untested(_sharing_rare_shingles(residual, texts, shingle_words, percent))
-        component = _joined(component, _confirmed(rest, texts, shingle_words, percent))
+        left = mixed_members(component)
+        family = connected_components(left.select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")))
+        residual = left.select("rep", "component").distinct().join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+        component = _joined(component, _links_between(residual, texts, shingle_words, percent))
     grouped = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     out = signed.join(grouped, "print", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("c"))
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

@@ -32,6 +32,37 @@ def test_chains_join_through_members_that_the_centre_does_not_reach(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, shingle_words=2).collect()} == components(texts, near_links(texts, 2))
 
 
+def test_passages_that_many_share_and_small_blocks(spark, monkeypatch):
+    from hemiciclo.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 7)
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {i: passage + " " + " ".join(f"o{rng.randrange(4000)}" for _ in range(40)) for i in range(150)}
+    for i in range(150, 190):
+        base = texts[rng.randrange(150)].split(" ")
+        for _ in range(rng.randrange(1, 6)):
+            base[rng.randrange(100)] = f"e{rng.random()}"
+        texts[i] = " ".join(base)
+    docs = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in texts.items()], DOCS)
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, shingle_words=2).collect()} == components(texts, near_links(texts, 2))
+
+
+def test_tiles_find_all_components():
+    from hemiciclo.llm.minhash import linked_in_tile
+
+    rng = random.Random(8)
+    for _ in range(30):
+        sets = [np.array(sorted(rng.sample(range(24), rng.randrange(8, 22))), np.uint64) for _ in range(24)]
+        own = np.array([rng.choice([i, 0, 1]) for i in range(24)])
+        link = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))  # noqa: B023, E731
+        for split in (None, 10):
+            pairs = [(i, j) for i in range(24) for j in range(i) if link(i, j) and own[i] != own[j] and (split is None or (i < split) != (j < split))]
+            want = components(range(24), [(int(own[i]), int(own[j])) for i, j in pairs])
+            got = components(range(24), [(int(own[i]), int(own[j])) for i, j in linked_in_tile(sets, own, split, 80, width=5)])
+            assert got == want
+
+
 def test_short_texts_and_edges(spark):
     rows = [(1, "A b", "x", "s", 0), (2, "a B", "x", "s", 0), (3, None, "x", "s", 0), (4, "", "x", "s", 0), (5, " \n\t", "x", "s", 0), (6, "One", "x", "s", 0), (7, "one", None, None, 0), (None, "a b", "x", "s", 0), (8, "Á b", "x", "s", 0), (9, "á b", "x", "s", 0), (10, "w " * 20000, "x", "s", 0), (10, "w " * 20000, "x", "s", 0)]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as rep", "'p' as print", "0 as kept")
