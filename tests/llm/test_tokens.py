@@ -61,3 +61,15 @@ def test_files_have_page_indexes_and_dictionaries(spark, tmp_path):
     columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
     assert columns["doc_id"].has_column_index and columns["doc_id"].has_offset_index
     assert any("DICT" in e for e in columns["ids.list.element"].encodings)
+
+
+def test_many_files_stand_in_order(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = tokens.token_digests(spark.read.parquet(f"{SF1}/documents.parquet").repartition(5)).orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    start = 0
+    for r in rows:
+        assert r.start == start
+        start += r.n_tokens
