@@ -27,19 +27,20 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _WALLS = frozenset("ul ol dl table body html div section article".split())
 
 #: Weights of the block classifier, as log odds for content.
-_TAG_ODDS = {"nav": -6, "footer": -6, "aside": -6, "form": -6, "menu": -6, "dialog": -6, "button": -6, "fieldset": -6, "article": 2.5, "main": 2.0}
-_BLOCK_ODDS = {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 0.8, "h2": 0.3, "h3": 0.3, "h4": 0.3, "h5": 0.2, "h6": 0.2, "li": -0.3, "dd": 0.0, "td": -0.3, "figcaption": 0.2, "label": -4, "legend": -4, "option": -6, "caption": 0.0, "html": 0.2, "body": 0.2, "article": 0.2, "main": 0.2, "section": 0.0}
-_ROLE_ODDS = {"navigation": -6, "banner": -5, "contentinfo": -6, "complementary": -5, "search": -6, "dialog": -6, "alertdialog": -6, "alert": -5, "form": -6, "menu": -6, "menubar": -6, "main": 2.0, "article": 2.0}
+_TAG_ODDS = {"nav": -9, "footer": -9, "aside": -9, "form": -9, "menu": -9, "dialog": -9, "button": -9, "fieldset": -9, "article": 2.5, "main": 2.0}
+_BLOCK_ODDS = {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 0.8, "h2": 0.3, "h3": 0.3, "h4": 0.3, "h5": 0.2, "h6": 0.2, "li": -0.3, "dd": 0.0, "td": -0.3, "figcaption": 0.2, "label": -8, "legend": -8, "option": -9, "caption": 0.0, "html": 0.2, "body": 0.2, "article": 0.2, "main": 0.2, "section": 0.0}
+_ROLE_ODDS = {"navigation": -9, "banner": -8, "contentinfo": -9, "complementary": -9, "search": -9, "dialog": -9, "alertdialog": -9, "alert": -8, "status": -8, "form": -9, "menu": -9, "menubar": -9, "main": 2.0, "article": 2.0}
 _BAD_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promoted nav
     navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar aside cookie cookies consent
     gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social
     related recommended recommendations recirculation comment comments commentlist disqus reply replies respond widget
     widgets pagination pager toolbar login search skip copyright legal disclaimer alert paywall outbrain taboola popular
-    trending""".split()
+    trending adbox adslot adunit adwrap adcontainer adsbygoogle adsense googleads topnav sidenav subnav mainnav crumbs
+    feedback survey poll donate donation discussion""".split()
 )
 _GOOD_NAMES = frozenset("article articlebody body content entry main post story text prose".split())
-_NAME_ODDS = -5.0
+_NAME_ODDS = -8.0
 _CUE = re.compile(r"©|\bcookies?\b|all rights reserved|\bsubscribe\b|\bsign up\b|\blog in\b", re.I)
 
 #: Cuts between blocks cost: next to each other, and in one parent; both shrink with the steps between them in the tree.
@@ -76,13 +77,13 @@ def _open(tag: str, raw: str, parent: Element | None) -> Element:
         inside = parent
         while inside is not None and inside.tag not in ("article", "main"):
             inside = inside.parent
-        e.odds = -0.5 if inside is not None else -6
+        e.odds = -0.5 if inside is not None else -8
     if raw.strip() and tag not in ("html", "body"):
         known = _attributes(raw)
         e.odds += _ROLE_ODDS.get(known.get("role", "").lower(), 0.0)
         style = known.get("style", "").replace(" ", "").lower()
         if "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in style:
-            e.odds -= 6
+            e.odds -= 9
         names = f"{known.get('class', '')} {known.get('id', '')} {known.get('itemprop', '')}"
         words = {w.lower() for w in _WORD.findall(names)}
         if _GOOD_NAMES.intersection(names.lower().split()):  # one of the names, whole
