@@ -48,6 +48,48 @@ def speaker_name(name: str) -> str:
     return (inner[-1] if inner else name).strip()
 
 
+INLINE = re.compile(rf"(?<=[.!?»…)] )(?=(?:El|La) {_HONORIFIC} [A-ZÁÉÍÓÚÜÑÇ][^:\n]{{2,200}}:)")
+WRAPPED = re.compile(rf"^(?:El|La) {_HONORIFIC} [A-ZÁÉÍÓÚÜÑÇ(][^:]{{2,500}}$", re.S)
+
+
+def _asides(text: str) -> list[tuple[int, int]]:
+    """Spans in balanced parentheses of at most 500 characters; an opening one that is never closed counts for nothing."""
+    spans, open_at = [], []
+    for m in re.finditer(r"[()]", text):
+        if m[0] == "(":
+            open_at.append(m.start())
+        elif open_at:
+            start = open_at.pop()
+            if m.end() - start <= 500:
+                spans.append((start, m.end()))
+    return spans
+
+
+def _lines(text: str) -> Iterator[tuple[int, int]]:
+    """Where the lines begin and end: also before a heading inside a line, unless it stands in an aside; a heading that is wrapped over up to ten lines is one."""
+    asides = _asides(text)
+    cuts = [m.start() for m in INLINE.finditer(text) if not any(a < m.start() < b for a, b in asides)]
+    edges, at = [], 0
+    for raw in text.split("\n"):
+        inside = [c for c in cuts if at < c < at + len(raw)]
+        edges += list(zip([at, *inside], [*inside, at + len(raw)], strict=True))
+        at += len(raw) + 1
+    k = 0
+    while k < len(edges):
+        start, end = edges[k]
+        if WRAPPED.match(text[start:end].strip()) and not CAPITALS.match(text[start:end].strip()):
+            for n in range(k + 1, min(k + 10, len(edges))):
+                whole = text[start : edges[n][1]].strip()
+                if len(whole) > 1200 or _heading(text[slice(*edges[n])].strip()):
+                    break
+                if ":" in text[slice(*edges[n])]:
+                    if _heading(whole.replace("\n", " ")):
+                        end, k = edges[n][1], n
+                    break
+        yield start, end
+        k += 1
+
+
 def split_turns(text: str | None) -> list[dict]:
     """Turns of a transcript in order of where they begin: formal ones from heading to heading, interruptions in parentheses, nonverbal answers.
 
@@ -55,10 +97,10 @@ def split_turns(text: str | None) -> list[dict]:
     """
     turns: list[dict] = []
     now: dict | None = None
-    page, at = None, 0
-    for raw in (text or "").split("\n"):
-        start, end, line = at, at + len(raw), raw.strip()
-        at = end + 1
+    page, text = None, text or ""
+    for start, end in _lines(text):
+        raw = text[start:end]
+        line = raw.strip().replace("\n", " ")
         if not line:
             continue
         if m := PAGE_MARK.match(line):
@@ -67,7 +109,7 @@ def split_turns(text: str | None) -> list[dict]:
         if line == line.upper() and line.startswith(AGENDA):
             continue
         if m := _heading(line):
-            now = {"speaker_heading": line[: m.start("body")].strip(), "speaker": speaker_name(m["name"]), "parts": [m["body"].strip()] if m["body"].strip() else [], "source_start": start + raw.index(line), "source_end": end, "page_start": page, "page_end": page, "turn_kind": "formal_turn"}
+            now = {"speaker_heading": line[: m.start("body")].strip(), "speaker": speaker_name(m["name"]), "parts": [m["body"].strip()] if m["body"].strip() else [], "source_start": start + len(raw) - len(raw.lstrip()), "source_end": end, "page_start": page, "page_end": page, "turn_kind": "formal_turn"}
             turns.append(now)
         elif now is not None:
             now["parts"].append(line)
@@ -79,7 +121,7 @@ def split_turns(text: str | None) -> list[dict]:
         return next((t["page_start"] for t in reversed(turns) if t["source_start"] <= offset), None)
 
     for kind, pattern in (("interruption", INTERRUPTION), ("nonverbal_response", NONVERBAL), ("nonverbal_response", GESTURE)):
-        for m in pattern.finditer(text or ""):
+        for m in pattern.finditer(text):
             if m["body"].count("\n") <= 4 and not NARRATIVE.search(m["name"]):
                 p = page_at(m.start())
                 out.append({"speaker_heading": m.groupdict().get("heading") or m["name"], "speaker": speaker_name(m["name"]), "text": m["body"].strip(), "source_start": m.start(), "source_end": m.end(), "page_start": p, "page_end": p, "turn_kind": kind})

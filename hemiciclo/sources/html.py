@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 HIDDEN = frozenset({"script", "style", "noscript", "template", "svg"})
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SCHEMA = "struct<visible_text: string, links: array<struct<text: string, url: string>>, content_selector: string, quality_issues: array<string>>"
-_KIND = pa.struct([("visible_text", pa.string()), ("links", pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())]))), ("content_selector", pa.string()), ("quality_issues", pa.list_(pa.string()))])
+SCHEMA = "struct<visible_text: string, links: array<struct<text: string, url: string>>, content_selector: string, quality_issues: array<string>, projection: array<struct<start: int, end: int, path: string>>>"
+_LINE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("path", pa.string())])
+_KIND = pa.struct([("visible_text", pa.string()), ("links", pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())]))), ("content_selector", pa.string()), ("quality_issues", pa.list_(pa.string())), ("projection", pa.list_(_LINE))])
 
 
 def _squeeze(text: str) -> str:
@@ -27,14 +28,19 @@ class _Reader(HTMLParser):
     def __init__(self, container: str):
         super().__init__(convert_charrefs=True)
         self.container, self.open = container, []
-        self.lines: list[tuple[str, int, bool]] = []  # text, transcript it is in (-1: none), whether in the body
+        self.paths, self.counts = [""], [{}]  # of the open elements, and how many children of each tag they have had
+        self.lines: list[tuple[str, int, bool, str]] = []  # text, transcript it is in (-1: none), whether in the body, path
         self.links: list[tuple[str, str]] = []
         self.anchor: list | None = None
         self.transcripts = 0
 
     def handle_starttag(self, tag, attrs):
+        seen = self.counts[-1]
+        seen[tag] = seen.get(tag, 0) + 1
         if tag in VOID:
             return
+        self.paths.append(f"{self.paths[-1]}/{tag}[{seen[tag]}]")
+        self.counts.append({})
         known = dict(attrs)
         inside = self.container in (known.get("class") or "").split()
         self.open.append((tag, self.transcripts if inside else None))
@@ -44,8 +50,11 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag):
         if any(t == tag for t, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
+            while True:
+                self.paths.pop()
+                self.counts.pop()
+                if self.open.pop()[0] == tag:
+                    break
         if tag == "a" and self.anchor is not None:
             if text := _squeeze(" ".join(self.anchor[1])):
                 self.links.append((text, self.anchor[0]))
@@ -58,23 +67,27 @@ class _Reader(HTMLParser):
         if self.anchor is not None:
             self.anchor[1].append(data)
         if text := _squeeze(data):
-            self.lines.append((text, next((n for _, n in reversed(self.open) if n is not None), -1), "body" in tags))
+            self.lines.append((text, next((n for _, n in reversed(self.open) if n is not None), -1), "body" in tags, self.paths[-1]))
 
 
 def read_visible(page: str | bytes | None, *, base_url: str, container: str) -> dict:
-    """visible_text (a squeezed line for each text node, of the one transcript container if there is exactly one, else of the body), absolute links, what was selected, and issues."""
+    """visible_text (a squeezed line for each text node, of the one transcript container if there is exactly one, else of the body), absolute links, what was selected, issues, and where each line stands in the text and in the page's tree."""
     text = page.decode("utf-8-sig", "replace") if isinstance(page, (bytes, bytearray)) else page or ""
     reader = _Reader(container)
     reader.feed(text)
     reader.close()
     one = reader.transcripts == 1
-    lines = [t for t, n, _ in reader.lines if n == 0] if one else [t for t, _, b in reader.lines if b] or [t for t, _, _ in reader.lines]
+    chosen = [x for x in reader.lines if x[1] == 0] if one else [x for x in reader.lines if x[2]] or reader.lines
+    lines, projection, at = [x[0] for x in chosen], [], 0
+    for line, _, _, path in chosen:
+        projection.append({"start": at, "end": at + len(line), "path": path})
+        at += len(line) + 1
     issues = ["multiple_intervention_text_containers"] if reader.transcripts > 1 else []
-    return {"visible_text": "\n".join(lines), "links": [{"text": t, "url": urljoin(base_url, u)} for t, u in reader.links], "content_selector": f".{container}" if one else "document", "quality_issues": issues}
+    return {"visible_text": "\n".join(lines), "links": [{"text": t, "url": urljoin(base_url, u)} for t, u in reader.links], "content_selector": f".{container}" if one else "document", "quality_issues": issues, "projection": projection}
 
 
 def visible_html(df: DataFrame, column: str, *, base_url: str = "https://www.congreso.es", container: str = "textoIntegro", out: str = "visible") -> DataFrame:
-    """Adds `out`: STRUCT<visible_text, links, content_selector, quality_issues>; NULL pages are empty."""
+    """Adds `out`: STRUCT<visible_text, links, content_selector, quality_issues, projection>; NULL pages are empty."""
 
     @F.arrow_udf(SCHEMA)
     def parse(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:

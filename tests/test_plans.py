@@ -77,6 +77,13 @@ def test_turns():
     assert speech.split_turns(None) == [] == speech.split_turns("sin cabeceras")
 
 
+def test_headings_inside_and_over_lines():
+    text = "El señor RUIZ (don Luis): Acabo. La señora SOL: Empiezo (dijo alto. El señor VEGA: ¡Bien!) y sigo.\nEl señor SECRETARIO DE ESTADO\nDE COMERCIO (Gil Paz): Hola."
+    turns = [t for t in speech.split_turns(text) if t["turn_kind"] == "formal_turn"]
+    assert [(t["speaker"], t["text"]) for t in turns] == [("don Luis", "Acabo."), ("SOL", "Empiezo (dijo alto. El señor VEGA: ¡Bien!) y sigo."), ("Gil Paz", "Hola.")]
+    assert text[turns[1]["source_start"] :].startswith("La señora SOL") and turns[2]["speaker_heading"].endswith("(Gil Paz):")
+
+
 def test_speaker_matching():
     assert speech._names_match("ruiz gil", "luis ruiz gil") and speech._names_match("zapatero zapatero", "zapatero roldan")
     assert speech._names_match("echenike landiribar", "echenique landiribar") and not speech._names_match("ruiz gil", "sol paz") and not speech._names_match("", "sol")
@@ -161,6 +168,7 @@ def test_visible_html():
     out = html.read_visible(page, base_url="https://h", container="textoIntegro")
     assert out["visible_text"] == "El señor X: hola\nmás" and out["links"] == [{"text": "l i", "url": "https://h/x"}] and out["content_selector"] == ".textoIntegro"
     assert html.read_visible(page.replace("</body>", "<p class=textoIntegro>z</p></body>"), base_url="", container="textoIntegro")["quality_issues"] == ["multiple_intervention_text_containers"]
+    assert out["projection"] == [{"start": 0, "end": 16, "path": "/html[1]/body[1]/div[1]"}, {"start": 17, "end": 20, "path": "/html[1]/body[1]/div[1]"}]
     assert html.read_visible(None, base_url="", container="t")["visible_text"] == ""
 
 
