@@ -24,6 +24,27 @@ PRIOR_VOTES = 0.5
 REJECT = 0.7
 BLOCK = 32
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Stems are the first so many letters of longer words. A text has the stem's term of a level if it has so many of these words and they are so large a share of all.
+STEMS = (3, 4, 5, 6, 7)
+LEVELS = ((2, 0.01), (2, 0.03), (3, 0.012), (3, 0.018), (5, 0.015))
+#: Different words whose terms a worker remembers; beyond it forgets all, which changes no result.
+MEMORY = 400_000
+
+
+def levels(stems: dict[str, int], n_words: int) -> dict[str, int]:
+    return {f"{stem}-{k}": 1 for stem, n in stems.items() for k, (least, share) in enumerate(LEVELS) if n >= least and n >= share * n_words}
+
+
+def all_terms(text: str) -> dict[str, int]:
+    """Terms of a whole text with their counts: its letter runs in lower case, and its stems by level."""
+    words = LETTERS.findall(text.lower())
+    counts = Counter(words)
+    stems: Counter[str] = Counter()
+    for w, n in counts.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k]] += n
+    return counts | levels(stems, len(words))
 
 
 class BlockMaxIndex:
@@ -85,6 +106,8 @@ class ToxicityModel:
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf, self.k = idf, k
         self.remembered: dict[tuple, tuple] = {}
+        self.stems = {t[:-2] for t in terms if t[-2] == "-"}
+        self.parts: dict[str, tuple[str | None, tuple[str, ...]] | None] = {}  # word: the term it is, and its stems, of those in the index
         vectors = [self.vector(counts) for _, counts, _ in examples]
         some = [i for i, v in enumerate(vectors) if v]
         none = [e[2] for e, v in zip(examples, vectors, strict=True) if not v]
@@ -110,10 +133,31 @@ class ToxicityModel:
     def _logit(p):
         return np.log(p / (1 - p))
 
+    def _parts(self, word: str) -> tuple[str | None, tuple[str, ...]] | None:
+        if len(self.parts) > MEMORY:
+            self.parts.clear()
+        stems = tuple(word[:k] for k in STEMS if len(word) > k and word[:k] in self.stems)
+        found = self.parts[word] = (word if word in self.number else None, stems) if stems or word in self.number else None
+        return found
+
+    def terms(self, text: str) -> dict[str, int]:
+        """all_terms() of those in the index."""
+        words = LETTERS.findall(text.lower())
+        known, counts, stems = self.parts, {}, {}
+        for w in words:
+            found = known[w] if w in known else self._parts(w)
+            if found is not None:
+                if found[0] is not None:
+                    counts[w] = counts.get(w, 0) + 1
+                for stem in found[1]:
+                    stems[stem] = stems.get(stem, 0) + 1
+        if stems:
+            counts |= {t: n for t, n in levels(stems, len(words)).items() if t in self.number}
+        return counts
+
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Probability, and (id, label, cosine) of the neighbours that voted."""
-        known = self.number
-        counts = Counter(w for w in LETTERS.findall(text.lower()) if w in known)
+        counts = self.terms(text)
         key = tuple(sorted(counts.items()))
         if (got := self.remembered.get(key)) is None:
             vector = self.vector(counts)
@@ -129,17 +173,20 @@ class ToxicityModel:
         return got
 
 
-def _words(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+def choose_terms(texts: DataFrame, *, limit: int = TERMS) -> list[str]:
+    """The terms of `texts` (columns text, y) that mark y = 1: by log-likelihood ratio and lift; at most `limit`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = list(all_terms(text))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["term", "y"])
 
-def choose_terms(texts: DataFrame, *, limit: int = TERMS) -> list[str]:
-    """The words of `texts` (columns text, y) that mark y = 1: by log-likelihood ratio and lift; at most `limit`."""
     whole = texts.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
     n, pos = whole["n"] or 0, whole["pos"] or 0
     if not 0 < pos < n:
         return []
-    seen = texts.select("y", F.explode(F.array_distinct(_words("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("d"), F.sum("y").alias("a"))
+    seen = texts.select("text", "y").mapInArrow(run, "term string, y int").groupBy("term").agg(F.count("*").alias("d"), F.sum("y").alias("a"))
 
     def part(observed, expected):
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
@@ -147,20 +194,20 @@ def choose_terms(texts: DataFrame, *, limit: int = TERMS) -> list[str]:
     a, d = F.col("a"), F.col("d")
     ratio = 2 * (part(a, d * pos / n) + part(d - a, d * (n - pos) / n) + part(pos - a, (n - d) * pos / n) + part((n - pos) - (d - a), (n - d) * (n - pos) / n))
     marked = seen.where((d >= LEAST_DOCS) & (d < n) & (a / d >= F.least(F.lit(LEAST_LIFT * pos / n), F.lit(0.9)))).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    return sorted(r["word"] for r in marked.orderBy(F.col("ratio").desc(), "word").limit(limit).select("word").collect())
+    return sorted(r["term"] for r in marked.orderBy(F.col("ratio").desc(), "term").limit(limit).select("term").collect())
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], *, text_col: str = "text") -> tuple[int, np.ndarray]:
     """Rows in all, and rows with each term, over all documents: counted by task, then summed."""
-    number = {t: i for i, t in enumerate(terms)}
+    finder = ToxicityModel(terms, np.ones(len(terms)), [])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(len(number) + 1, np.int64), 0
+        df, rows = np.zeros(len(terms) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 rows += 1
-                for w in number.keys() & set(LETTERS.findall(text.lower())) if text else ():
-                    df[number[w]] += 1
+                for t in finder.terms(text) if text else ():
+                    df[finder.number[t]] += 1
         df[-1] = rows
         yield pa.RecordBatch.from_arrays([pa.array(range(len(df)), pa.int32()), pa.array(df)], names=["t", "n"])
 
@@ -181,9 +228,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     if not (terms := choose_terms(texts)):
         return None
     n, df = document_frequencies(docs, terms, text_col=text_col)
-    found = F.filter(_words("text"), lambda w: w.isin(terms))
-    rows = sorted((r["id"], sorted(r["found"]), r["y"]) for r in texts.select("id", "y", found.alias("found")).collect())
-    once = {i: (i, Counter(words), y) for i, words, y in rows}  # an id that several rows share votes once
+    finder = ToxicityModel(terms, np.ones(len(terms)), [])
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(finder.terms(t).items()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.struct([("t", pa.string()), ("n", pa.int32())])))], names=["id", "y", "found"])
+
+    got = texts.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(indexed, "id long, y int, found array<struct<t: string, n: int>>").collect()
+    rows = sorted((r["id"], [(f["t"], f["n"]) for f in r["found"]], r["y"]) for r in got)
+    once = {i: (i, dict(found), y) for i, found, y in rows}  # an id that several rows share votes once
     return ToxicityModel(terms, np.log((n + 1) / (df + 1)) + 1, list(once.values()))
 
 
