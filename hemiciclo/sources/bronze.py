@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,3 +115,20 @@ def checked(manifests: DataFrame, objects: DataFrame, *, checksum: bool = True)
     if checksum:
         good = good & (F.col("_sha") == F.col("sha256"))
     return both.withColumn("valid", F.coalesce(good, F.lit(False))).drop("_path", "_length", "_sha", "_content")
+
+
+def persist(fetched: DataFrame, root: str) -> DataFrame:
+    """fetched: family, dataset, run_date, source_url, format, sha256, content. Appends what the store does not have yet, by address and hash; returns the manifests of all that was fetched.
+
+    `fetched` is read twice, so it should be a table or cached, not a plan that fetches. Partitions are family, dataset and date; Spark's commit makes an append whole or absent, and a second run adds nothing.
+    """
+    spark = fetched.sparkSession
+    keys = ["source_url", "sha256"]
+    once = fetched.dropDuplicates(keys).withColumn("bytes", F.length("content").cast("long"))
+    try:
+        known = spark.read.parquet(root).select(*keys)
+    except AnalysisException:  # nothing is stored yet
+        known = once.select(*keys).limit(0)
+    once.join(known, keys, "left_anti").write.mode("append").partitionBy("family", "dataset", "run_date").parquet(root)
+    stored = spark.read.schema(once.schema).parquet(root)
+    return stored.join(once.select(*keys), keys, "left_semi").drop("content")

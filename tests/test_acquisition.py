@@ -149,3 +149,49 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"full_name":"Ruiz, Ana"' in capsys.readouterr().out
     assert cli.main(["export", "deputies", f"{tmp_path}/d.json", f"{tmp_path}/out", "--format", "jsonl"]) == 0
     assert spark.read.json(f"{tmp_path}/out").count() == 2
+
+
+def test_state_files(tmp_path):
+    import json
+
+    from hemiciclo.sources import state
+
+    path = tmp_path / "a" / "s.json"
+    c = state.Checkpoint(path, {"legislature": 15})
+    assert c.pending(["x", "y", "x"]) == ["x", "y"]
+    c.done("x", {"sha": "1"})
+    c.failed("y", ValueError("no"))
+    assert c.finish() == "failed" and json.loads(path.read_text())["failures"]["y"] == {"type": "ValueError", "message": "no"}
+    again = state.Checkpoint(path, {"legislature": 15})
+    assert again.pending(["x", "y"]) == ["y"]
+    again.done("y", 1)
+    assert again.finish() == "completed"
+    with pytest.raises(state.StateMismatch):
+        state.Checkpoint(path, {"legislature": 14})
+    state.append_event(tmp_path / "e.jsonl", {"b": 1})
+    state.append_event(tmp_path / "e.jsonl", {"a": "ñ"})
+    assert (tmp_path / "e.jsonl").read_text().splitlines() == ['{"b": 1}', '{"a": "ñ"}']
+    with pytest.raises(TypeError):
+        state.write_json(path, {1: 2, "a": 1})
+    assert json.loads(path.read_text())["status"] == "completed" and not list(path.parent.glob(".*"))
+
+
+def test_contracts(tmp_path):
+    from hemiciclo.sources import state
+
+    (tmp_path / "c.toml").write_text("[votes]\nreview_threshold = 0.8\n")
+    assert state.load_contracts(tmp_path / "c.toml")["votes"] == state.CONTRACT | {"review_threshold": 0.8}
+    for bad in ("[votes]\nnope = 1\n", "[votes]\nreview_threshold = 2\n"):
+        (tmp_path / "c.toml").write_text(bad)
+        with pytest.raises(ValueError):
+            state.load_contracts(tmp_path / "c.toml")
+
+
+def test_persist_is_idempotent(spark, tmp_path):
+    from hemiciclo.sources import bronze
+
+    df = spark.createDataFrame([("f", "d", "2024-01-01", "u", "json", "s1", b"{}"), ("f", "d", "2024-01-01", "u", "json", "s1", b"{}"), ("f", "e", "2024-01-01", "v", "json", "s2", b"[]")], "family string, dataset string, run_date string, source_url string, format string, sha256 string, content binary")
+    for _ in range(2):
+        out = bronze.persist(df, f"{tmp_path}/b")
+        assert sorted((r.source_url, r.bytes) for r in out.collect()) == [("u", 2), ("v", 2)]
+    assert spark.read.parquet(f"{tmp_path}/b").count() == 2
