@@ -34,6 +34,20 @@ _KIND = pa.list_(pa.struct([("ordinal", pa.int32()), ("speaker_heading", pa.stri
 SCHEMA = from_arrow_type(_KIND)
 
 
+COLLAPSED = re.compile(r"^\(?(El|E1|Ei|8l|La)\s*([^\s:]{3,10}?)\s*(?=[A-ZÁÉÍÓÚÜÑ]{2})")
+
+
+def repaired_heading(line: str) -> str:
+    """A heading whose article, honorific and name a scan ran together, with its spaces; the honorific must be nearly one."""
+    m = COLLAPSED.match(line)
+    if m is None or ":" not in line:
+        return line
+    for title in ("señor", "señora"):
+        if SequenceMatcher(None, m[2].casefold(), title).ratio() >= 0.8:
+            return f"{'La' if m[1] == 'La' else 'El'} {title} {line[m.end() :]}"
+    return line
+
+
 def _heading(line: str) -> re.Match | None:
     for pattern in (HEADING, CAPITALS, CHAIR):
         m = pattern.match(line)
@@ -108,6 +122,7 @@ def split_turns(text: str | None) -> list[dict]:
             continue
         if line == line.upper() and line.startswith(AGENDA):
             continue
+        line = repaired_heading(line)
         if m := _heading(line):
             now = {"speaker_heading": line[: m.start("body")].strip(), "speaker": speaker_name(m["name"]), "parts": [m["body"].strip()] if m["body"].strip() else [], "source_start": start + len(raw) - len(raw.lstrip()), "source_end": end, "page_start": page, "page_end": page, "turn_kind": "formal_turn"}
             turns.append(now)
@@ -216,3 +231,16 @@ def repeated_margins(docs: DataFrame, *, pages: str = "pages", edge: int = 3) ->
     least = F.greatest(F.when(F.col("n") >= 4, 3).otherwise(2), F.ceil(F.col("n") / 2))
     often = lines.groupBy("doc", "where", "signature", "n").agg(F.count_distinct("page").alias("k")).where(F.col("k") >= least).select("doc", "where", "signature")
     return lines.join(often, ["doc", "where", "signature"], "left_semi").select("doc", "page", "line_no", "line")
+
+
+def geometric_margins(pages: DataFrame, *, header: float = 0.115, footer: float = 0.93, side: float = 0.9) -> DataFrame:
+    """pages: doc, page, width, height, lines (ARRAY<STRUCT<text, bbox>>). Lines that end above the header's edge, begin below the footer's, or stand at the right side: doc, page, line_no, text, margin."""
+    rows = pages.select("doc", "page", "width", "height", F.posexplode("lines").alias("line_no", "l"))
+    b = F.col("l.bbox")
+    margin = F.when(b[3] <= header * F.col("height"), "header").when(b[1] >= footer * F.col("height"), "footer").when(b[0] >= side * F.col("width"), "side")
+    return rows.select("doc", "page", "line_no", F.col("l.text").alias("text"), margin.alias("margin")).where("margin is not null")
+
+
+def page_diagnostic(**parts: Column) -> Column:
+    """One page's diagnostics as JSON, fields in order of name."""
+    return F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))))

@@ -84,6 +84,15 @@ def test_headings_inside_and_over_lines():
     assert text[turns[1]["source_start"] :].startswith("La señora SOL") and turns[2]["speaker_heading"].endswith("(Gil Paz):")
 
 
+def test_collapsed_headings_and_geometry(spark):
+    assert speech.repaired_heading("Elseñor RUIZ: Hola") == "El señor RUIZ: Hola" and speech.repaired_heading("E1senor RUIZ GIL: Hola") == "El señor RUIZ GIL: Hola"
+    assert speech.repaired_heading("El SENADO dice: x") == "El SENADO dice: x" and speech.repaired_heading("Elseñor RUIZ") == "Elseñor RUIZ"
+    assert [t["speaker"] for t in speech.split_turns("Laseñora SOL: Uno\nE1senor RUIZ: Dos")] == ["SOL", "RUIZ"]
+    pages = spark.createDataFrame([(1, 1, 100.0, 200.0, [("h", [0.0, 5.0, 50.0, 20.0]), ("b", [0.0, 50.0, 50.0, 60.0]), ("f", [0.0, 190.0, 50.0, 199.0]), ("s", [95.0, 50.0, 99.0, 60.0])])], "doc int, page int, width double, height double, lines array<struct<text string, bbox array<double>>>")
+    assert [(r.text, r.margin) for r in speech.geometric_margins(pages).orderBy("line_no").collect()] == [("h", "header"), ("f", "footer"), ("s", "side")]
+    assert pages.select(speech.page_diagnostic(page=F.col("page"), issues=F.array())).first()[0] == '{"issues":[],"page":1}'
+
+
 def test_speaker_matching():
     assert speech._names_match("ruiz gil", "luis ruiz gil") and speech._names_match("zapatero zapatero", "zapatero roldan")
     assert speech._names_match("echenike landiribar", "echenique landiribar") and not speech._names_match("ruiz gil", "sol paz") and not speech._names_match("", "sol")
