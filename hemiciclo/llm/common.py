@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def hold(owner: str, forget: Callable[[], object]) -> None:
+    """In a Python worker: what `owner` remembers from task to task may stay, what others left is forgotten, so that a worker that serves many stages holds one memory."""
+    for other in [k for k in _held if k != owner]:
+        _held.pop(other)()
+        pa.default_memory_pool().release_unused()
+    _held[owner] = forget
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs a reread."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import crc_fold
+from hemiciclo.llm.common import crc_fold, hold
 
 ORDER = 4
 #: Training texts of a language, about: those of the least hashes.
-DOCS_PER_LANG = 800
+DOCS_PER_LANG = 400
 #: Words whose code lengths a worker remembers; beyond it forgets all, which changes no result.
-MEMORY = 400_000
+MEMORY = 120_000
 UNKNOWN = "und"
 #: Bits of a byte that no context of a language has seen.
 FLAT_BITS = 8.0
@@ -47,6 +47,9 @@ class ContextTrees:
         self.known: dict[str, int] = {}
         self.costs = np.zeros((0, len(self.langs)))
 
+    def forget(self) -> None:
+        self.known, self.costs = {}, self.costs[:0].copy()
+
     @staticmethod
     def _layout(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All words, each between edges, as one row of bytes; each byte's place in its word."""
@@ -125,7 +128,7 @@ class ContextTrees:
         words = [LETTERS.findall(t.lower()) for t in texts]
         need = set().union(*words)
         if len(self.known) > MEMORY:
-            self.known, self.costs = {}, self.costs[:0]
+            self.forget()
         if new := [w for w in need if w not in self.known]:
             size = len(self.known)
             self.costs = np.concatenate([self.costs, self.code_lengths([w.encode() for w in new])])
@@ -180,6 +183,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, *, id_col: str = "doc_
 
     @F.arrow_udf(kind)
     def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hold("language", sent.value.forget if sent.value else list)
         for batch in texts:
             found = [predict([t or "" for t in batch.slice(at, 512).to_pylist()]) for at in range(0, len(batch), 512)]
             yield pa.StructArray.from_arrays([pa.array([x for a, _ in found for x in a], pa.string()), pa.array([x for _, b in found for x in b], pa.float64())], names=["lang_pred", "score"])

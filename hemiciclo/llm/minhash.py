@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import LOWER, UPPER, stash
+from hemiciclo.llm.common import LOWER, UPPER, hold, stash
 from hemiciclo.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -21,7 +21,7 @@ PERCENT = 80
 BINS, BAND_ROWS = 256, 6
 #: A pair at the threshold shares none of the BINS // BAND_ROWS bands with a probability of 3 in a million.
 BANDS = BINS // BAND_ROWS
-MEMORY = 1_000_000
+MEMORY = 100_000
 #: Sets of a block, and shingles in all of them, about; a tile compares two blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -37,7 +37,8 @@ class _Hashes(dict):
         return found
 
 
-_hash_of = _Hashes().__getitem__
+_hashes = _Hashes()
+_hash_of = _hashes.__getitem__
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -102,6 +103,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash", _hashes.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

@@ -182,7 +182,8 @@ def judge_quality(docs: DataFrame, model: QualityModel | None, *, id_col: str =
         learned = sent.value
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
+            texts = (t for at in range(0, batch.num_rows, 512) for t in batch.column(1).slice(at, 512).to_pylist())
+            for text in texts:
                 n, chars, symbols, lines, repeats = text_statistics(text or "")
                 failed = n < min_words or 100 * repeats > 50 * n
                 p = 1.0 if learned is None else learned.probability(text or "")

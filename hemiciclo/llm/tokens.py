@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import shared_dir
+from hemiciclo.llm.common import hold, shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Words whose ids a worker remembers; beyond it forgets all and starts again, which changes no result.
-MEMORY = 1_500_000
+MEMORY = 800_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -32,7 +32,7 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 #: Bytes of a buffer that is cut into words at a time.
 CHUNK = 1 << 20
 #: Slots of the memory of words; more than MEMORY words never stand in it.
-SLOTS = 22
+SLOTS = 21
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _ODD_BYTE = np.zeros(256, bool)
@@ -239,6 +239,7 @@ def encoded(path: str, text_at: int, end: int | None, make: Callable[[pa.RecordB
     """A mapInArrow function: `make(rows, ids, ends)` for `step` rows at a time; NULL texts are empty, `end` closes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("tokens", encoder.cache_clear)
         encode = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, step):

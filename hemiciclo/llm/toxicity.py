@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import crc_fold, hash_sample
+from hemiciclo.llm.common import crc_fold, hash_sample, hold
 from hemiciclo.llm.quality import fit_platt
 
 #: Labelled documents in the sample of examples, at most.
@@ -28,7 +28,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6, 7)
 LEVELS = ((2, 0.01), (2, 0.03), (3, 0.012), (3, 0.018), (5, 0.015))
 #: Different words whose terms a worker remembers; beyond it forgets all, which changes no result.
-MEMORY = 400_000
+MEMORY = 120_000
 
 
 def levels(stems: dict[str, int], n_words: int) -> dict[str, int]:
@@ -120,6 +120,10 @@ class ToxicityModel:
             votes = np.array([self.vote(*self.index.search(vectors[i], k, but=place[examples[i][0]])) for i in some])
             self.slope, self.intercept = fit_platt(self._logit(votes), np.array([examples[i][2] for i in some], np.float64))
 
+    def forget(self) -> None:
+        self.parts.clear()
+        self.remembered.clear()
+
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
         raw = {self.number[t]: (1 + np.log(n)) * self.idf[self.number[t]] for t, n in sorted(counts.items()) if t in self.number}
         size = sum(x * x for x in raw.values()) ** 0.5
@@ -167,7 +171,7 @@ class ToxicityModel:
                 got = float(1 / (1 + np.exp(-z))), list(zip(self.index.ids[at].tolist(), self.index.labels[at].astype(int).tolist(), cosines.tolist(), strict=True))
             else:
                 got = self.without, []
-            if len(self.remembered) > 20_000:
+            if len(self.remembered) > 5_000:
                 self.remembered.clear()
             self.remembered[key] = got
         return got
@@ -254,8 +258,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, id_col: str
     @F.arrow_udf("struct<score: double, evidence: array<struct<doc_id: bigint, toxic: int, cosine: double>>>")
     def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         learned = sent.value
+        hold("toxicity", learned.forget if learned else list)
         for batch in texts:
-            got = [(0.0, []) if learned is None else learned.score(t or "") for t in batch.to_pylist()]
+            got = [(0.0, []) if learned is None else learned.score(t or "") for at in range(0, len(batch), 512) for t in batch.slice(at, 512).to_pylist()]
             yield pa.array([{"score": s, "evidence": [dict(zip(("doc_id", "toxic", "cosine"), e, strict=True)) for e in found]} for s, found in got], kind)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(crc_fold(F.col(id_col), 3) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
