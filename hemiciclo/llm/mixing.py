@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import WORD
+from hemiciclo.llm.common import WORD, stash
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -76,6 +76,8 @@ def mix(
         F.xxhash64(text_col).alias("tie"), F.shiftright(F.shiftright(key, 20) * F.lit(ranges).cast("long"), 40).alias("range"),
         *([F.struct("*").alias("row")] if carry else []),
     )
+    if not carry:  # the words are counted once, not for the sums and again for the order
+        base = stash(base, "sizes")
     sums = base.groupBy("source", "range").agg(F.sum("size").alias("words"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     up_to = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
