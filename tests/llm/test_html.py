@@ -27,6 +27,11 @@ def test_small_pages(page, expected):
     assert main_text(page) == expected
 
 
+def test_text_after_embed_stays():
+    assert main_text("<article><p>a</p><embed src=x><p>b</p></article>") == "a b"
+    assert main_text("<article><p>a<embed src=x></embed>b<embed src=y />c</p><p>d</p></article>") == "abc d"
+
+
 def test_no_text_is_lost_in_blocks():
     assert " ".join(b.text for b in blocks_of("<div>a<ul><li>b<li>c</ul>d</div>e")) == "a b c d e"
 
