@@ -434,9 +434,18 @@ def deputy_search(spark, sf):
 
 @query("""SELECT o_orderkey AS doc, CAST(3 AS INT) AS present, true AS reconciled, CAST(3 AS BIGINT) AS n FROM orders WHERE o_orderkey % 10 = 0""")
 def vote_sheets(spark, sf):
+    return _vote_sheets(read(spark, sf, "orders").where("o_orderkey % 10 = 0"))
+
+
+@query("""SELECT o_orderkey AS doc, CAST(3 AS INT) AS present, true AS reconciled, CAST(3 AS BIGINT) AS n FROM orders""")
+def vote_sheets_all(spark, sf):
+    return _vote_sheets(read(spark, sf, "orders"))
+
+
+def _vote_sheets(orders: DataFrame) -> DataFrame:
     first = F.concat(F.lit("1 Votación: Sesión: 2 Fecha: "), F.date_format("o_orderdate", "d-M-yyyy"), F.lit("\nPresentes Sí No Abstenciones No votan\n3 2 1 0 0"))
     second = F.lit("Sí\nGrupo Uno\n-Pérez Gil, Ana 12\n-Ruiz Sol, Luis TELEMÁTICO\nNo\n-Vega Paz, Eva 7")
-    docs = read(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("doc"), "o_orderdate", F.array(first, second).alias("pages"))
+    docs = orders.select(F.col("o_orderkey").alias("doc"), "o_orderdate", F.array(first, second).alias("pages"))
     return votes_text.reconciled_sheets(docs).select("doc", "present", "reconciled", F.col("rows").alias("n"))
 
 
