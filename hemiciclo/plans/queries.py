@@ -144,8 +144,19 @@ def redaction(spark, sf):
 SELECT c_custkey, c_name, c_mktsegment, n_name AS constituency FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_mktsegment), 'build') AND (c_acctbal < 0 OR c_custkey % 7 <> 0)
   AND (c_custkey % 3 = 0 OR c_custkey % 15 + 1 IN (14, 15))""")
 def domain_filter(spark, sf):
+    return _domain_filter(spark, sf, read(spark, sf, "customer").where("c_acctbal < 0 or c_custkey % 7 <> 0"))
+
+
+@query("""
+SELECT c_custkey, c_name, c_mktsegment, n_name AS constituency FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_mktsegment), 'build')
+  AND (c_custkey % 3 = 0 OR c_custkey % 15 + 1 IN (14, 15))""")
+def domain_filter_all(spark, sf):
+    return _domain_filter(spark, sf, read(spark, sf, "customer"))
+
+
+def _domain_filter(spark, sf, customers: DataFrame) -> DataFrame:
     n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("constituency"))
-    c = read(spark, sf, "customer").where("c_acctbal < 0 or c_custkey % 7 <> 0").join(F.broadcast(n), "c_nationkey")
+    c = customers.join(F.broadcast(n), "c_nationkey")
     c = c.withColumn("legislature", F.when(F.col("c_custkey") % 3 == 0, None).otherwise((F.col("c_custkey") % 15 + 1).cast("string"))).withColumn("parliamentary_group", F.col("c_mktsegment"))
     kept = c.where(filters.matches(c, {"parliamentary_group": "Build"}, legislatures=("XIV", "XV")))
     return kept.select("c_custkey", "c_name", "c_mktsegment", "constituency")
@@ -157,7 +168,20 @@ w AS (SELECT DISTINCT p_type, list_filter(list_distinct(regexp_extract_all({FOLD
 SELECT DISTINCT p_partkey, p_type, len(list_filter(p.t, lambda x: NOT list_contains({STOP}, x))) = len(w.t) AS matched_exactly FROM p JOIN w ON len(w.t) > 0 AND list_has_all(p.t, w.t)""")
 def token_subset_join(spark, sf):
     part = read(spark, sf, "part")
-    wanted = part.where("p_partkey <= 20").select("p_type", F.split("p_name", " ")[0].alias("wanted")).distinct()
+    return _token_subset_join(part, part.where("p_partkey <= 20"))
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, list_distinct(regexp_extract_all({FOLD.format("p_name")}, '[a-z0-9]+')) AS t FROM part),
+w AS (SELECT DISTINCT p_type, list_filter(list_distinct(regexp_extract_all({FOLD.format("split_part(p_name, ' ', 1)")}, '[a-z0-9]+')), lambda x: NOT list_contains({STOP}, x)) AS t FROM part)
+SELECT DISTINCT p_partkey, p_type, len(list_filter(p.t, lambda x: NOT list_contains({STOP}, x))) = len(w.t) AS matched_exactly FROM p JOIN w ON len(w.t) > 0 AND list_has_all(p.t, w.t)""")
+def token_subset_join_all(spark, sf):
+    part = read(spark, sf, "part")
+    return _token_subset_join(part, part)
+
+
+def _token_subset_join(part: DataFrame, chosen: DataFrame) -> DataFrame:
+    wanted = chosen.select("p_type", F.split("p_name", " ")[0].alias("wanted")).distinct()
     return joins.token_subset_join(part.select("p_partkey", "p_name"), wanted, name="p_name", wanted_name="wanted", exact_first=False).select("p_partkey", "p_type", "matched_exactly").distinct()
 
 
@@ -185,6 +209,13 @@ def reconcile(spark, sf):
     return joins.reconcile(read(spark, sf, "documents").where("doc_id % 3 <> 0"), read(spark, sf, "labels"), ["doc_id"])
 
 
+@query("""
+SELECT count(e) AS expected, count(a) AS actual, count(*) FILTER (a IS NULL) AS missing, count(*) FILTER (e IS NULL) AS unexpected, count(*) FILTER (a > 1) AS duplicates
+FROM (SELECT doc_id, count(*) e FROM documents GROUP BY 1) x FULL JOIN (SELECT doc_id, count(*) a FROM labels GROUP BY 1) y USING (doc_id)""")
+def reconcile_all(spark, sf):
+    return joins.reconcile(read(spark, sf, "documents"), read(spark, sf, "labels"), ["doc_id"])
+
+
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 s AS (SELECT doc_id, k, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
@@ -204,9 +235,22 @@ b AS (SELECT label, vec_id AS box_id, x - 0.05 - (vec_id % 3) * 0.05 AS x0, y -
 h AS (SELECT p.vec_id, box_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY (x1 - x0) * (y1 - y0), box_id) AS k FROM p JOIN b ON p.label = b.label AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)
 SELECT p.vec_id, box_id FROM p LEFT JOIN h ON h.vec_id = p.vec_id AND k = 1""")
 def containment_argmin(spark, sf):
+    return _containment_argmin(spark, sf, "vec_id % 5 = 0")
+
+
+@query("""
+WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+b AS (SELECT label, vec_id AS box_id, x - 0.05 - (vec_id % 3) * 0.05 AS x0, y - 0.05 - (vec_id % 3) * 0.05 AS y0, x + 0.1 AS x1, y + 0.1 AS y1 FROM p),
+h AS (SELECT p.vec_id, box_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY (x1 - x0) * (y1 - y0), box_id) AS k FROM p JOIN b ON p.label = b.label AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)
+SELECT p.vec_id, box_id FROM p LEFT JOIN h ON h.vec_id = p.vec_id AND k = 1""")
+def containment_argmin_all(spark, sf):
+    return _containment_argmin(spark, sf, "true")
+
+
+def _containment_argmin(spark, sf, boxed: str) -> DataFrame:
     p = read(spark, sf, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
     m = (F.col("vec_id") % 3) * 0.05
-    b = p.where("vec_id % 5 = 0").select("label", F.col("vec_id").alias("box_id"), F.array(F.col("x") - 0.05 - m, F.col("y") - 0.05 - m, F.col("x") + 0.1, F.col("y") + 0.1).alias("box"))
+    b = p.where(boxed).select("label", F.col("vec_id").alias("box_id"), F.array(F.col("x") - 0.05 - m, F.col("y") - 0.05 - m, F.col("x") + 0.1, F.col("y") + 0.1).alias("box"))
     return joins.smallest_container(p, b, ["label"], x="x", y="y", box="box", order=["box_id"]).select("vec_id", "box_id")
 
 
