@@ -15,6 +15,9 @@ from hemiciclo.llm.common import hash_sample
 #: Hash bits of a feature; half of the table is for bytes' n-grams, half for words'.
 BITS = 13
 HALF = 1 << (BITS - 1)
+#: Odd factors of the hashes, modulo 2**64.
+MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Labelled documents that the regression is fitted on, at most.
 TRAIN_DOCS = 4000
 #: Documents whose probability of good quality is below it are not kept.
@@ -63,21 +66,33 @@ def text_statistics(text: str) -> tuple[int, int, int, int, int]:
     return len(words), in_words, int(_SYMBOL[octets].sum()), duplicate_lines(text), repeated_words(words)
 
 
+def _word_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of whole words: differences of prefix sums, shifted back to the word's start."""
+    n = len(points)
+    up, down = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+    up[1:], down[1:] = BASE, BASE_INVERSE
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((points + np.uint64(1)) * up[:n], out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of the whole text: of three bytes, and of one and two words by their first and last bytes and length."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    b = raw.astype(np.uint32)
-    grams = ((b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(2654435761)) >> np.uint32(33 - BITS) if len(b) > 2 else np.zeros(0, np.uint32)
-    space = _SPACE[raw]
+    """Hashed n-grams of the whole text: of three characters (code points), and of one and two whole words."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    shift = np.uint64(65 - BITS)
+    grams = ((c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42)) * MIX) >> shift if len(c) > 2 else np.zeros(0, np.uint64)
+    space = _SPACE[np.minimum(c, np.uint64(255))]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return grams, np.zeros(0, np.uint32)
-    size = np.minimum(ends - starts, 255).astype(np.uint32)
-    one = (b[starts] | b[np.minimum(starts + 1, ends - 1)] << 8 | b[ends - 1] << 16 | size << 24) * np.uint32(2246822519)
-    two = (one[:-1] * np.uint32(3266489917)) ^ one[1:]
-    mixed = np.concatenate([one, two * np.uint32(668265263)])
-    return grams, (mixed >> np.uint32(33 - BITS)) + np.uint32(HALF)
+        return grams.astype(np.uint32), np.zeros(0, np.uint32)
+    one = _word_hashes(c, starts, ends)
+    one = (one ^ one >> np.uint64(32)) * MIX
+    two = (one[:-1] * MIX) ^ one[1:]
+    mixed = np.concatenate([one, (two ^ two >> np.uint64(32)) * MIX])
+    return grams.astype(np.uint32), (mixed >> shift).astype(np.uint32) + np.uint32(HALF)
 
 
 def feature_row(text: str) -> np.ndarray:

@@ -32,6 +32,13 @@ def test_statistics_of_a_long_text():
     assert quality.text_statistics(text) == statistics(text)
 
 
+def test_words_that_differ_in_the_middle_are_different_features():
+    words = [f"so{a}{b}n" for a in "abcdefgh" for b in "abcdefgh"]
+    assert len({int(quality.features(w)[1][0]) for w in words}) > 60
+    assert [f.tolist() for f in quality.features("one two\tone")][1][0] == [f.tolist() for f in quality.features("xyz one")][1][1]
+    assert [len(f) for f in quality.features("ñañá é")] == [4, 3]
+
+
 def test_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
