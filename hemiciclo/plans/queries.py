@@ -538,10 +538,17 @@ def json_records(spark, sf):
 
 @query("SELECT item_id, doc_id, CAST(instr(d.text, b.text) - 1 AS INT) AS first_at FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_evidence(spark, sf):
-    """Quotes are found by their first eight words, then confirmed: an equi-join, not every quote against every text."""
+    """Quotes of eight words or more are found by words two to seven, then confirmed: an equi-join, not every quote against every text.
+
+    Shorter quotes have no such words inside; each is looked for in every text.
+    """
     n = 8
     words = lambda c: F.split(c, " ")
     grams = read(spark, sf, "documents").select("doc_id", "text", words(F.regexp_replace("text", "\n", " ")).alias("w"))
     grams = grams.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(n - 2)), " ")))).alias("g"))
-    quotes = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(words(F.regexp_replace("text", "\n", " ")), 2, n - 2), " ").alias("g"))
-    return grams.join(quotes, "g").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("first_at")).distinct()
+    quotes = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"), words(F.regexp_replace("text", "\n", " ")).alias("w"))
+    long = quotes.where(F.size("w") >= n).select("item_id", "quote", F.array_join(F.slice("w", 2, n - 2), " ").alias("g"))
+    short = quotes.where(F.size("w") < n).select("item_id", "quote")
+    holds = F.contains("text", F.col("quote"))
+    found = grams.join(long, "g").where(holds).drop("g").unionByName(read(spark, sf, "documents").select("doc_id", "text").join(short, holds))
+    return found.select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("first_at")).distinct()
