@@ -62,15 +62,15 @@ def nearest_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return df.withColumn("previous", F.last(value, True).over(by.rowsBetween(-back, -1))).withColumn("next", F.first(value, True).over(by.rowsBetween(1, ahead)))
 
 
-def char_windows(df: DataFrame, text: str, *, size: int = 24_000, overlap: int = 500, most: int = 100) -> DataFrame:
+def char_windows(df: DataFrame, text: str, *, size: int = 24_000, overlap: int = 500, most: int | None = 100) -> DataFrame:
     """Windows of `size` characters that overlap: chunk, start (0-based), piece; the last one ends with the text.
 
-    More than `most` windows are an error; an empty text has none.
+    More than `most` windows are an error, unless it is None; an empty text has none.
     """
     step = size - overlap
     n = F.length(text)
     count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(step)) + 1)
-    checked = F.when(count > most, F.raise_error(F.format_string("text needs %s windows, more than %s", count, F.lit(most))).cast("int")).otherwise(count.cast("int"))
+    checked = count.cast("int") if most is None else F.when(count > most, F.raise_error(F.format_string("text needs %s windows, more than %s", count, F.lit(most))).cast("int")).otherwise(count.cast("int"))
     ordinals = F.when(checked > 0, F.sequence(F.lit(0), checked - 1)).otherwise(F.array().cast("array<int>"))
     chunks = df.withColumn("chunk", F.explode(ordinals)).withColumn("start", (F.col("chunk") * step).cast("long"))
     return chunks.withColumn("piece", F.substring(F.col(text), F.col("start").cast("int") + 1, F.lit(size)))

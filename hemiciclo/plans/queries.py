@@ -375,7 +375,7 @@ WITH n AS (SELECT doc_id, text, CASE WHEN length(text) = 0 THEN 0 WHEN length(te
 c AS (SELECT doc_id, text, unnest(range(k)) AS chunk FROM n)
 SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(chunk * 1900 AS BIGINT) AS start, CAST(length(substr(text, CAST(chunk * 1900 + 1 AS BIGINT), 2000)) AS INT) AS length, md5(substr(text, CAST(chunk * 1900 + 1 AS BIGINT), 2000)) AS digest FROM c""")
 def char_windows(spark, sf):
-    w = windows.char_windows(read(spark, sf, "documents").select("doc_id", "text"), "text", size=2000, overlap=100, most=10_000)
+    w = windows.char_windows(read(spark, sf, "documents").select("doc_id", "text"), "text", size=2000, overlap=100, most=None)
     return w.select("doc_id", "chunk", "start", F.length("piece").alias("length"), F.md5(F.col("piece").cast("binary")).alias("digest"))
 
 
@@ -473,7 +473,7 @@ SELECT c_custkey AS deputy_id, c_name AS full_name, c_mktsegment AS parliamentar
 def deputy_search(spark, sf):
     n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("constituency"))
     people = read(spark, sf, "customer").join(F.broadcast(n), "c_nationkey").select(F.col("c_custkey").alias("deputy_id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("parliamentary_group"), "constituency")
-    return services.search(people, services.Query(filters={"parliamentary_group": "building"}, max_results=1_000_000), identity="deputy_id", service="deputies")
+    return services.search(people, services.Query(filters={"parliamentary_group": "building"}, max_results=None), identity="deputy_id", service="deputies")
 
 
 @query("""SELECT o_orderkey AS doc, CAST(3 AS INT) AS present, true AS reconciled, CAST(3 AS BIGINT) AS n FROM orders WHERE o_orderkey % 10 = 0""")

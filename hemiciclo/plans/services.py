@@ -56,10 +56,10 @@ class Query:
     last_months: int | None = None
     today: dt.date | None = None
     descending: bool = False
-    max_results: int = 50_000
+    max_results: int | None = 50_000
 
     def __post_init__(self):
-        if not 1 <= self.max_results <= 1_000_000:
+        if self.max_results is not None and not 1 <= self.max_results <= 1_000_000:
             raise QueryError("max_results must lie between 1 and 1,000,000")
         object.__setattr__(self, "legislatures", tuple(dict.fromkeys(map(roman, self.legislatures))))
         if self.last_months is not None:
@@ -87,7 +87,7 @@ SERVICES = {
 
 
 def search(rows: DataFrame, query: Query, *, identity: str, service: str | None = None) -> DataFrame:
-    """The matching rows, the most complete of each identity, in order; more than the cap is an error."""
+    """The matching rows, the most complete of each identity, in order; more than the cap is an error, None is no cap."""
     if service is not None and (odd := set(query.filters) - set(SERVICES[service])):
         raise QueryError(f"{service} does not take {sorted(odd)}")
     aliases = dict(filters.ALIASES)
@@ -100,7 +100,7 @@ def search(rows: DataFrame, query: Query, *, identity: str, service: str | None
     kept = rows.where(filters.matches(rows, query.filters, legislatures=query.legislatures, date_from=query.date_from, date_to=query.date_to, aliases=aliases))
     day = filters.record_date(kept)
     best = dedup.most_complete(kept, [identity], [c for c in sorted(kept.columns) if dict(kept.dtypes)[c] in ("string", "date", "int", "bigint")])
-    out = limits.ensure_at_most(best, query.max_results)
+    out = best if query.max_results is None else limits.ensure_at_most(best, query.max_results)
     return out.orderBy(*limits.sort_key(day if day is not None else F.lit(""), F.col(identity), descending=query.descending))
 
 
