@@ -166,7 +166,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     Features are made on the executors; a row of fixed size for each comes to the driver.
     """
-    chosen = hash_sample(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y")), "_id", train_docs)
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    chosen = hash_sample(usable.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y")), "_id", train_docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

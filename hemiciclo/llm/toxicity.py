@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,120 +13,238 @@ from pyspark.sql import functions as F
 from hemiciclo.llm.common import crc_fold, hash_sample, hold
 from hemiciclo.llm.quality import fit_platt
 
-#: Labelled documents in the sample of examples, at most.
-EXAMPLES = 12_000
-#: Index terms at most, and what a term must show among the examples: documents, log-likelihood ratio, lift.
-TERMS, LEAST_DOCS, LEAST_RATIO, LEAST_LIFT = 2048, 4, 20.0, 3.0
-NEIGHBOURS = 15
+#: Labelled documents in the index, at most, and of these the ones whose leave-one-out votes fit the calibration.
+EXAMPLES, CALIBRATION = 8_000, 2_000
+#: Terms are hashed to 2**BITS slots: all words, and all beginnings of so many letters of longer words.
+BITS = 18
+BEGINNINGS = (3, 4, 5, 6, 7)
+NEIGHBOURS = 30
 #: Votes that the toxic share of all examples has.
-PRIOR_VOTES = 0.5
+PRIOR_VOTES = 0.3
+#: Weight of a term that is no more clustered in documents than chance would have it.
+EVEN = 0.1
 REJECT = 0.7
-BLOCK = 32
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Stems are the first so many letters of longer words. A text has the stem's term of a level if it has so many of these words and they are so large a share of all.
-STEMS = (3, 4, 5, 6, 7)
-LEVELS = ((2, 0.01), (2, 0.03), (3, 0.012), (3, 0.018), (5, 0.015))
-#: Different words whose terms a worker remembers; beyond it forgets all, which changes no result.
-MEMORY = 120_000
+#: Examples of a block; terms that more than one in DENSE examples has stand in a matrix, others in posting lists.
+BLOCK, DENSE = 64, 16
+#: Characters whose terms are made at a time, documents that are searched at a time.
+CHUNK, BATCH = 1 << 20, 256
+_MIX, _BASE, _PART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x5851F42D4C957F2D)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def levels(stems: dict[str, int], n_words: int) -> dict[str, int]:
-    return {f"{stem}-{k}": 1 for stem, n in stems.items() for k, (least, share) in enumerate(LEVELS) if n >= least and n >= share * n_words}
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), np.int8, 0x110000)
 
 
-def all_terms(text: str) -> dict[str, int]:
-    """Terms of a whole text with their counts: its letter runs in lower case, and its stems by level."""
-    words = LETTERS.findall(text.lower())
-    counts = Counter(words)
-    stems: Counter[str] = Counter()
-    for w, n in counts.items():
-        for k in STEMS:
-            if len(w) > k:
-                stems[w[:k]] += n
-    return counts | levels(stems, len(words))
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(1 << bits, _BASE), np.full(1 << bits, _INVERSE)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """The text in parts of about CHUNK characters, cut between a letter and something else."""
+    at = 0
+    while len(text) - at > CHUNK:
+        to = at + CHUNK
+        while to < len(text) and text[to].isalpha() and text[to - 1].isalpha():
+            to += 1
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def _chunk_terms(parts: list[tuple[int, str]]) -> np.ndarray:
+    """document << BITS | slot of every term of the parts (document, lower-case text), repeats included.
+
+    Hashes are polynomials of code points, so those of all beginnings of all words are differences of one running sum.
+    """
+    points = np.frombuffer("\n".join(p for _, p in parts).encode("utf-32-le"), np.uint32)
+    letter = np.zeros(len(points) + 2, np.int8)
+    letter[1:-1] = _letters()[points]
+    edge = np.diff(letter)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers((len(points) + 1).bit_length())
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
+    first = np.cumsum([0] + [len(p) + 1 for _, p in parts])
+    document = np.array([d for d, _ in parts], np.uint64)[np.searchsorted(first, start, "right") - 1]
+    back, base = down[start], sums[start]
+    hashes, of = [(sums[end] - base) * back], [document]
+    for k in BEGINNINGS:
+        long = np.flatnonzero(end - start > k)
+        hashes.append(((sums[start[long] + k] - base[long]) * back[long]) ^ _PART)
+        of.append(document[long])
+    h = np.concatenate(hashes)
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return np.concatenate(of) << np.uint64(BITS) | h >> np.uint64(64 - BITS)
+
+
+def term_counts(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, slot and count of the terms of whole texts (NULL: none), in order of document and slot.
+
+    A word is a run of letters, in lower case. Slots are shared where hashes collide; nothing else is left out.
+    """
+    found: list[np.ndarray] = []
+    parts, size = [], 0
+    for d, text in enumerate(texts):
+        for piece in _pieces(text.lower()) if text else ():
+            parts.append((d, piece))
+            size += len(piece)
+            if size >= CHUNK:
+                found.append(_chunk_terms(parts))
+                parts, size = [], 0
+    if parts:
+        found.append(_chunk_terms(parts))
+    counted = [np.unique(f, return_counts=True) for f in found]
+    keys = np.concatenate([k for k, _ in counted]) if counted else np.zeros(0, np.uint64)
+    n = np.concatenate([c for _, c in counted]) if counted else np.zeros(0, np.int64)
+    if len(counted) > 1:  # a text may lie in several chunks
+        keys, place = np.unique(keys, return_inverse=True)
+        n = np.bincount(place, n, len(keys)).astype(np.int64)
+    return (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64((1 << BITS) - 1)).astype(np.int64), n
+
+
+def _spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """first[0] .. last[0] - 1, first[1] .. last[1] - 1 and so on, in one array."""
+    n = last - first
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples, as postings by term and block of BLOCK examples, with each block's largest weight.
+    """Unit TF-IDF vectors of the examples, as postings by term and block of examples, with each block's largest weight.
 
-    Examples stand in order of their heaviest term, so that blocks are alike inside. A search bounds each block by
-    its largest weights and scores blocks from the highest bound down, until no bound reaches the k-th best cosine.
+    Examples stand in order of their heaviest term, so that blocks are alike inside. A search bounds each block by its
+    largest weights and scores blocks from the highest bounds down, until no bound reaches the k-th best cosine. Bounds
+    and scores are single precision, with the rounding of so many products allowed for; what can be among the k nearest
+    gets its cosine in double precision. Only vectors, labels and ids travel; the rest is built where it is searched.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int], terms: int):
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), ids[i]))
+    def __init__(self, vectors: Sequence[Mapping[int, float] | tuple[np.ndarray, np.ndarray]], labels: Sequence[int], ids: Sequence[int], terms: int):
+        pairs = [(np.fromiter(v, np.int64), np.fromiter(v.values(), np.float64)) if isinstance(v, Mapping) else v for v in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (int(pairs[i][0][pairs[i][1].argmax()]) if len(pairs[i][0]) else -1, ids[i]))
+        self.terms = terms
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.ids = np.array([ids[i] for i in order], np.int64)
-        self.blocks = -(-len(order) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                postings[t].append((at, w))
-        self.at = [np.array([a for a, _ in p], np.int64) for p in postings]
-        self.weight = [np.array([w for _, w in p]) for p in postings]
-        self.edges = [np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK).tolist() for a in self.at]
-        self.most = np.zeros((terms, self.blocks))
-        for t, (a, w) in enumerate(zip(self.at, self.weight, strict=True)):
-            np.maximum.at(self.most[t], a // BLOCK, w)
-
-    def search(self, vector: dict[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        self.first = np.cumsum([0] + [len(pairs[i][0]) for i in order])
+        self.slot = np.concatenate([pairs[i][0].astype(np.int32) for i in order] or [np.zeros(0, np.int32)])
+        self.weight = np.concatenate([pairs[i][1] for i in order] or [np.zeros(0)])
+        self.built = False
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("terms", "labels", "ids", "first", "slot", "weight")} | {"built": False}
+
+    def forget(self) -> None:
+        self.__dict__ = self.__getstate__()
+
+    def _build(self) -> None:
+        n = len(self.ids)
+        self.blocks = -(-n // BLOCK)
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
+        df = np.bincount(self.slot, minlength=self.terms)
+        common = np.flatnonzero(df * DENSE > n)
+        self.column = np.full(self.terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        at = self.column[self.slot]
+        self.rows = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        self.rows[example[at >= 0], at[at >= 0]] = self.weight[at >= 0]
+        self.row_most = self.rows.reshape(self.blocks, BLOCK, len(common)).max(axis=1)
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.slot[rare], kind="stable")]  # by slot, then by example
+        self.posted, self.posted_weight = example[rare], self.weight[rare].astype(np.float32)
+        place = self.slot[rare].astype(np.int64) * max(1, self.blocks) + self.posted // BLOCK
+        start = np.flatnonzero(np.diff(place, prepend=-1))
+        self.entry_first = np.append(start, len(rare))
+        self.entry_block = self.posted[start] // BLOCK
+        self.entry_most = np.maximum.reduceat(self.posted_weight, start) if len(start) else np.zeros(0, np.float32)
+        self.lists = np.searchsorted(self.slot[rare][start], np.arange(self.terms + 1))
+        self.built = True
+
+    def search(self, vector: Mapping[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the `k` nearest with a cosine above 0 (ties: the least id), without the example at `but`."""
-        bound = np.zeros(self.blocks)
-        for t, q in vector.items():
-            bound += q * self.most[t]
-        found, cosines, kth = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
+        return self.search_many([(np.fromiter(vector, np.int64), np.fromiter(vector.values(), np.float64))], k, [but])[0]
+
+    def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: Sequence[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.built:
+            self._build()
+        m, n = len(queries), len(self.ids)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        dense = np.zeros((m, self.rows.shape[1]), np.float32)
+        lists, weights = [], []
+        for i, (slot, w) in enumerate(queries):
+            at = self.column[slot]
+            dense[i, at[at >= 0]] = w[at >= 0]
+            slot, w = slot[at < 0], w[at < 0]
+            first, last = self.lists[slot], self.lists[slot + 1]
+            lists.append(_spans(first, last))
+            weights.append(np.repeat(w, last - first).astype(np.float32))
+        bound = dense @ self.row_most.T
+        for i in range(m):
+            bound[i] += np.bincount(self.entry_block[lists[i]], weights[i] * self.entry_most[lists[i]], self.blocks)
+        spare = 1 + 4 * (max(len(s) for s, _ in queries) + 8) * 2.0**-24  # rounding of sums of that many positive products
+        rank = np.argsort(-bound, axis=1, kind="stable")
+        scores = np.zeros((m, self.blocks * BLOCK), np.float32)
+        kth = np.zeros(m, np.float32)
+        lo, step = 0, 2 * -(-(k + 1) // BLOCK)
+        while lo < self.blocks:
+            wanted = np.zeros((m, self.blocks), bool)
+            np.put_along_axis(wanted, rank[:, lo : lo + step], True, axis=1)
+            wanted &= (bound > 0) & (bound * spare >= kth[:, None])
+            if not wanted.any():
                 break
-            scores = np.zeros(BLOCK)
-            for t, q in vector.items():
-                i, j = self.edges[t][b], self.edges[t][b + 1]
-                if j > i:
-                    scores[self.at[t][i:j] - b * BLOCK] += q * self.weight[t][i:j]
-            hit = np.flatnonzero(scores > 0) + b * BLOCK
-            found.append(hit)
-            cosines.append(scores[hit - b * BLOCK])
-            if sum(map(len, found)) > k:
-                c = np.concatenate(cosines)
-                kth = float(np.partition(c, len(c) - k - 1)[len(c) - k - 1])  # one spare, as `but` may be among them
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, c = np.concatenate(found), np.concatenate(cosines)
-        at, c = at[at != but], c[at != but]
-        best = np.lexsort((self.ids[at], -np.round(c, 12)))[:k]
-        return at[best], c[best]
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                need = np.flatnonzero(wanted[:, b])
+                scores[need, b * BLOCK : (b + 1) * BLOCK] = dense[need] @ self.rows[b * BLOCK : (b + 1) * BLOCK].T
+            for i in np.flatnonzero(wanted.any(axis=1)):
+                use = wanted[i, self.entry_block[lists[i]]]
+                entry = lists[i][use]
+                first, last = self.entry_first[entry], self.entry_first[entry + 1]
+                p = _spans(first, last)
+                scores[i] += np.bincount(self.posted[p], np.repeat(weights[i][use], last - first) * self.posted_weight[p], scores.shape[1])
+            if scores.shape[1] > k + 1:  # one spare, as `but` may be among them
+                kth = np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1] / np.float32(spare)
+            lo, step = lo + step, 2 * step
+        full, out = np.zeros(self.terms), []
+        for i, (slot, w) in enumerate(queries):
+            near = np.flatnonzero((scores[i] > 0) & (scores[i] * spare >= kth[i]))
+            if but is not None:
+                near = near[near != but[i]]
+            full[slot] = w
+            p = _spans(self.first[near], self.first[near + 1])
+            cosine = np.add.reduceat(self.weight[p] * full[self.slot[p]], np.cumsum(np.diff(self.first)[near]) - np.diff(self.first)[near]) if len(near) else np.zeros(0)
+            full[slot] = 0
+            best = np.lexsort((self.ids[near], -np.round(cosine, 12)))[:k]
+            out.append((near[best], cosine[best]))
+        return out
 
 
 class ToxicityModel:
-    """Terms with their weights, the index of examples, and the votes' calibration."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, dict[str, int], int]], k: int = NEIGHBOURS):
-        """examples: id, counts of terms, label."""
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf, self.k = idf, k
-        self.remembered: dict[tuple, tuple] = {}
-        self.stems = {t[:-2] for t in terms if t[-2] == "-"}
-        self.parts: dict[str, tuple[str | None, tuple[str, ...]] | None] = {}  # word: the term it is, and its stems, of those in the index
-        vectors = [self.vector(counts) for _, counts, _ in examples]
-        some = [i for i, v in enumerate(vectors) if v]
-        none = [e[2] for e, v in zip(examples, vectors, strict=True) if not v]
-        self.base = (sum(e[2] for e in examples) + 0.5) / (len(examples) + 1)
-        self.without = (sum(none) + 0.5) / (len(none) + 1)
-        self.index = BlockMaxIndex([vectors[i] for i in some], [examples[i][2] for i in some], [examples[i][0] for i in some], len(terms))
-        self.slope, self.intercept = 1.0, 0.0
-        if some:
-            place = {x: i for i, x in enumerate(self.index.ids.tolist())}
-            votes = np.array([self.vote(*self.index.search(vectors[i], k, but=place[examples[i][0]])) for i in some])
-            self.slope, self.intercept = fit_platt(self._logit(votes), np.array([examples[i][2] for i in some], np.float64))
-
-    def forget(self) -> None:
-        self.parts.clear()
-        self.remembered.clear()
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        raw = {self.number[t]: (1 + np.log(n)) * self.idf[self.number[t]] for t, n in sorted(counts.items()) if t in self.number}
-        size = sum(x * x for x in raw.values()) ** 0.5
-        return {t: float(x / size) for t, x in raw.items()} if size else {}
+    """Weights of the slots, the index of examples, and the votes' calibration."""
+
+    def __init__(self, weight: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], k: int = NEIGHBOURS, calibration: int = CALIBRATION):
+        """examples: id, slots, counts, label, in an order of which any beginning is a fair sample."""
+        self.weight, self.k = weight, k
+        labels, ids = [e[3] for e in examples], [e[0] for e in examples]
+        self.base = (sum(labels) + 0.5) / (len(labels) + 1)
+        vectors = [self.vector(slots, counts) for _, slots, counts, _ in examples]
+        self.index = BlockMaxIndex(vectors, labels, ids, len(weight))
+        place = {x: i for i, x in enumerate(self.index.ids.tolist())}
+        votes = []
+        for lo in range(0, min(calibration, len(examples)), BATCH):
+            hi = min(lo + BATCH, calibration, len(examples))
+            votes += [self.vote(*near) for near in self.index.search_many(vectors[lo:hi], k, [place[i] for i in ids[lo:hi]])]
+        self.slope, self.intercept = fit_platt(self._logit(np.array(votes)), np.array(labels[: len(votes)], np.float64))
+        self.index.forget()
+
+    def vector(self, slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = counts * self.weight[slots]
+        some = raw > 0
+        raw = raw[some]
+        return slots[some], raw / np.sqrt((raw * raw).sum()) if len(raw) else raw
 
     def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
         """Toxic share of the neighbours, each weighted by its cosine, with PRIOR_VOTES for the share of all examples."""
@@ -137,131 +254,93 @@ class ToxicityModel:
     def _logit(p):
         return np.log(p / (1 - p))
 
-    def _parts(self, word: str) -> tuple[str | None, tuple[str, ...]] | None:
-        if len(self.parts) > MEMORY:
-            self.parts.clear()
-        stems = tuple(word[:k] for k in STEMS if len(word) > k and word[:k] in self.stems)
-        found = self.parts[word] = (word if word in self.number else None, stems) if stems or word in self.number else None
-        return found
-
-    def terms(self, text: str) -> dict[str, int]:
-        """all_terms() of those in the index."""
-        words = LETTERS.findall(text.lower())
-        known, counts, stems = self.parts, {}, {}
-        for w in words:
-            found = known[w] if w in known else self._parts(w)
-            if found is not None:
-                if found[0] is not None:
-                    counts[w] = counts.get(w, 0) + 1
-                for stem in found[1]:
-                    stems[stem] = stems.get(stem, 0) + 1
-        if stems:
-            counts |= {t: n for t, n in levels(stems, len(words)).items() if t in self.number}
-        return counts
-
-    def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """Probability, and (id, label, cosine) of the neighbours that voted."""
-        counts = self.terms(text)
-        key = tuple(sorted(counts.items()))
-        if (got := self.remembered.get(key)) is None:
-            vector = self.vector(counts)
-            if vector:
-                at, cosines = self.index.search(vector, self.k)
-                z = self.slope * self._logit(self.vote(at, cosines)) + self.intercept
-                got = float(1 / (1 + np.exp(-z))), list(zip(self.index.ids[at].tolist(), self.index.labels[at].astype(int).tolist(), cosines.tolist(), strict=True))
-            else:
-                got = self.without, []
-            if len(self.remembered) > 5_000:
-                self.remembered.clear()
-            self.remembered[key] = got
-        return got
-
-
-def choose_terms(texts: DataFrame, *, limit: int = TERMS) -> list[str]:
-    """The terms of `texts` (columns text, y) that mark y = 1: by log-likelihood ratio and lift; at most `limit`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(all_terms(text))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["term", "y"])
-
-    whole = texts.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
-    n, pos = whole["n"] or 0, whole["pos"] or 0
-    if not 0 < pos < n:
-        return []
-    seen = texts.select("text", "y").mapInArrow(run, "term string, y int").groupBy("term").agg(F.count("*").alias("d"), F.sum("y").alias("a"))
+    def score(self, texts: Sequence[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """For each text the probability, and (id, label, cosine) of the neighbours that voted."""
+        document, slots, counts = term_counts(texts)
+        cut = np.searchsorted(document, np.arange(len(texts) + 1))
+        vectors = [self.vector(slots[i:j], counts[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        out = []
+        for at, cosines in self.index.search_many(vectors, self.k) if vectors else ():
+            z = self.slope * self._logit(self.vote(at, cosines)) + self.intercept
+            out.append((float(1 / (1 + np.exp(-z))), list(zip(self.index.ids[at].tolist(), self.index.labels[at].astype(int).tolist(), cosines.tolist(), strict=True))))
+        return out
 
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
 
-    a, d = F.col("a"), F.col("d")
-    ratio = 2 * (part(a, d * pos / n) + part(d - a, d * (n - pos) / n) + part(pos - a, (n - d) * pos / n) + part((n - pos) - (d - a), (n - d) * (n - pos) / n))
-    marked = seen.where((d >= LEAST_DOCS) & (d < n) & (a / d >= F.least(F.lit(LEAST_LIFT * pos / n), F.lit(0.9)))).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    return sorted(r["term"] for r in marked.orderBy(F.col("ratio").desc(), "term").limit(limit).select("term").collect())
+def term_weights(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
+    """What a term's count is multiplied by: idf times (EVEN + residual idf), over all documents.
 
-
-def document_frequencies(docs: DataFrame, terms: list[str], *, text_col: str = "text") -> tuple[int, np.ndarray]:
-    """Rows in all, and rows with each term, over all documents: counted by task, then summed."""
-    finder = ToxicityModel(terms, np.ones(len(terms)), [])
+    The residual idf (Church and Gale) is what the idf exceeds that of a word that falls as often, but by chance: it is
+    high for words that those who use them repeat. A task counts in two arrays of 2**BITS and sends what is not 0.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(len(terms) + 1, np.int64), 0
+        hold("toxicity", list)
+        df, cf, rows = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                rows += 1
-                for t in finder.terms(text) if text else ():
-                    df[finder.number[t]] += 1
-        df[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(df)), pa.int32()), pa.array(df)], names=["t", "n"])
-
-    out = np.zeros(len(terms) + 1, np.int64)
-    for r in docs.select(text_col).mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        out[r["t"]] = r["n"]
-    return int(out[-1]), out[:-1]
+            for at in range(0, batch.num_rows, BATCH):
+                texts = batch.column(0).slice(at, BATCH).to_pylist()
+                rows += len(texts)
+                _, slots, counts = term_counts(texts)
+                df += np.bincount(slots, minlength=1 << BITS)
+                cf += np.bincount(slots, counts, 1 << BITS).astype(np.int64)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(df[some], rows)), pa.array(np.append(cf[some], 0))], names=["slot", "df", "cf"])
+
+    sums = docs.select(text_col).mapInArrow(count, "slot int, df long, cf long").groupBy("slot").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).toArrow()
+    slot, df_of, cf_of = (sums.column(c).to_numpy() for c in ("slot", "df", "cf"))
+    n = int(df_of[slot < 0].sum())
+    df, cf = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    df[slot[slot >= 0]], cf[slot[slot >= 0]] = df_of[slot >= 0], cf_of[slot >= 0]
+    idf = np.log((n + 1) / (df + 1))
+    expected = -np.log(-np.expm1(-np.maximum(cf, 0.5) / max(n, 1)))
+    return idf * (EVEN + np.maximum(0, idf - expected))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> ToxicityModel | None:
     """From at most `examples` labelled documents outside the held-out fold (least hashes first, so the broadcast side is bounded); None unless both labels occur.
 
-    Terms are chosen on these; their document frequencies come from all documents.
+    An id that several label rows share counts once, as toxic if one of them says so; of several texts of an id the
+    least is the example. Terms are all words of the texts; their weights come from all documents.
     """
-    usable = labels.where(F.col(label_col).isNotNull() & (crc_fold(F.col(id_col), 3) != 1))
-    chosen = hash_sample(usable.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y")), "_id", examples)
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col("_id").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_y").alias("y"))
-    if not (terms := choose_terms(texts)):
-        return None
-    n, df = document_frequencies(docs, terms, text_col=text_col)
-    finder = ToxicityModel(terms, np.ones(len(terms)), [])
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc_fold(F.col(id_col), 3) != 1))
+    chosen = hash_sample(usable.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y")), "_id", examples)
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = found.groupBy("_id").agg(F.min("_text").alias("text"), F.max("_y").alias("y")).select(F.col("_id").cast("long"), "text", "y")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(finder.terms(t).items()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.struct([("t", pa.string()), ("n", pa.int32())])))], names=["id", "y", "found"])
+            out = [term_counts([t])[1:] for t in batch.column(1).to_pylist()]
+            made = [pa.array([x[k].astype("<i4").tobytes() for x in out], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["id", "y", "slots", "counts"])
 
-    got = texts.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(indexed, "id long, y int, found array<struct<t: string, n: int>>").collect()
-    rows = sorted((r["id"], [(f["t"], f["n"]) for f in r["found"]], r["y"]) for r in got)
-    once = {i: (i, dict(found), y) for i, found, y in rows}  # an id that several rows share votes once
-    return ToxicityModel(terms, np.log((n + 1) / (df + 1)) + 1, list(once.values()))
+    got = texts.select("_id", "text", "y").mapInArrow(indexed, "id long, y int, slots binary, counts binary").withColumn("place", F.xxhash64("id")).collect()
+    if len({r["y"] for r in got}) < 2:
+        return None
+    rows = sorted(got, key=lambda r: (r["place"], r["id"]))
+    return ToxicityModel(term_weights(docs, text_col=text_col), [(r["id"], np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.int64), r["y"]) for r in rows])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT, carry: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest examples) for every row; with `carry` also `row`, the input row.
 
-    Texts with none of the terms (NULL and empty ones too) have no neighbours and get the toxic share of such
-    examples; without a model (no labels of both kinds, or no word that marks one) all score 0.
+    Texts that share no term with an example (NULL and empty ones too) have no neighbours; their score is that of the
+    toxic share of all examples. Without a model (no labels of both kinds) all score 0. Equal cosines go to the least
+    example id; repeated rows are scored each; a NULL id is not held out; other columns, whatever their names, are not
+    looked at; an empty table gives no rows. One narrow pass over whole texts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the numbers of examples and terms
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the numbers of examples and slots
     near = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
-    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(near))])
 
     @F.arrow_udf("struct<score: double, evidence: array<struct<doc_id: bigint, toxic: int, cosine: double>>>")
     def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         learned = sent.value
-        hold("toxicity", learned.forget if learned else list)
+        hold("toxicity", learned.index.forget if learned else list)
         for batch in texts:
-            got = [(0.0, []) if learned is None else learned.score(t or "") for at in range(0, len(batch), 512) for t in batch.slice(at, 512).to_pylist()]
-            yield pa.array([{"score": s, "evidence": [dict(zip(("doc_id", "toxic", "cosine"), e, strict=True)) for e in found]} for s, found in got], kind)
+            got = [x for at in range(0, len(batch), BATCH) for x in ([(0.0, [])] * len(batch.slice(at, BATCH)) if learned is None else learned.score(batch.slice(at, BATCH).to_pylist()))]
+            flat = list(zip(*(e for _, found in got for e in found), strict=True)) or [(), (), ()]
+            ends = pa.array(np.cumsum([0, *(len(found) for _, found in got)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, near, strict=True)], fields=list(near)))
+            yield pa.StructArray.from_arrays([pa.array([s for s, _ in got], pa.float64()), lists], names=["score", "evidence"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(crc_fold(F.col(id_col), 3) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
     return rows.withColumn("_j", judged("text")).select("doc_id", "held_out", "_j.score", (F.col("_j.score") >= reject).cast("int").alias("predicted"), "_j.evidence", *(["row"] if carry else []))
