@@ -2,190 +2,237 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import crc_fold, hold
+from hemiciclo.llm.common import crc_fold, hold, stash
 
 ORDER = 4
-#: Training texts of a language, about: those of the least hashes.
-DOCS_PER_LANG = 400
-#: Words whose code lengths a worker remembers; beyond it forgets all, which changes no result.
-MEMORY = 120_000
+#: Bytes of training text of a language, about: those of the documents of the least hashes.
+TRAIN_BYTES = 2_000_000
+#: Byte strings that the trees of all languages are made from, at most: the most frequent ones.
+STRINGS = 2_000_000
+#: Languages, at most; more are refused.
+LANGS = 1_000
 UNKNOWN = "und"
 #: Bits of a byte that no context of a language has seen.
 FLAT_BITS = 8.0
-LETTERS = re.compile(r"[^\W\d_]+")
-_EDGE = 32
+#: Code lengths (bytes times languages) that are worked out at a time, but so many bytes at least.
+CELLS, LEAST_BYTES = 4_000_000, 4096
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
-@dataclass
-class ContextTrees:
-    """The trees of all languages over one set of nodes.
+def string_keys(octets: np.ndarray, size: int) -> np.ndarray:
+    """For each byte the string of `size` bytes that ends there, as a number: the size, then the bytes; those at the start hold zeros for what is missing."""
+    key = np.full(len(octets), size << 8 * (ORDER + 1), np.int64)
+    for back in range(min(size, len(octets))):
+        key[back:] |= octets[: len(octets) - back].astype(np.int64) << 8 * back
+    return key
 
-    Node 0 is dead, node 1 the root (the empty context); the others stand for byte strings of 1 to ORDER + 1 bytes.
-    parent, last: a node's string without its last byte's predecessor tree step, and that last byte's symbol.
-    bits: code length of the last byte after the string before it, infinite where the language has not seen it.
-    escape: code length of the escape from the node as a context, 0 where the language has not seen the context.
-    """
 
-    langs: list[str]
-    symbol: np.ndarray  # 256: byte -> symbol, 0 for a byte that training lacks
-    parent: np.ndarray
-    last: np.ndarray
-    bits: np.ndarray  # nodes x languages
-    escape: np.ndarray
+def longest_strings(octets: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different strings that end at the bytes, each with up to ORDER bytes before it in its text, and their counts; place: of a byte in its text."""
+    key = string_keys(octets, ORDER + 1)
+    for size in range(1, ORDER + 1):
+        short = place == size - 1
+        key[short] = string_keys(octets, size)[short]
+    return np.unique(key, return_counts=True)
 
-    def __post_init__(self):
-        self.child = None
-        self.known: dict[str, int] = {}
-        self.costs = np.zeros((0, len(self.langs)))
 
-    def forget(self) -> None:
-        self.known, self.costs = {}, self.costs[:0].copy()
-
-    @staticmethod
-    def _layout(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All words, each between edges, as one row of bytes; each byte's place in its word."""
-        raw = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8)
-        lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-        starts = np.cumsum(lengths) - lengths
-        return raw, np.arange(len(raw)) - np.repeat(starts, lengths)
-
-    @classmethod
-    def train(cls, rows: Iterable[tuple[str, str, int]], order: int = ORDER) -> ContextTrees:
-        """rows: language, word, count. Counts of every byte in the contexts of up to `order` bytes before it in its word; escapes by method C."""
-        rows = [(lang, w.encode(), n) for lang, w, n in rows]
-        langs = sorted({lang for lang, _, _ in rows})
-        of = {lang: i for i, lang in enumerate(langs)}
-        words = [w for _, w, _ in rows]
-        raw, at = cls._layout(words)
-        sizes = [len(w) + 2 for w in words]
-        lang = np.repeat(np.array([of[x] for x, _, _ in rows], np.int64), sizes)
-        n = np.repeat(np.array([c for _, _, c in rows], np.float64), sizes)
-        symbol = np.zeros(256, np.int32)
-        used = np.unique(raw)
-        symbol[used] = np.arange(1, len(used) + 1)
-        sym = symbol[raw].astype(np.int64)
-        parents, lasts, counts = [np.array([0, 0])], [np.array([0, 0])], [np.zeros((2, len(langs)))]
-        total = 2
-        before = np.ones(len(raw), np.int64)  # node of the string that ends at each byte, one shorter than now
-        for size in range(1, order + 2):
-            ok = np.flatnonzero(at >= size - 1)
-            up = before[ok - 1] if size > 1 else np.ones(len(ok), np.int64)
-            keys, inverse = np.unique(up * 257 + sym[ok], return_inverse=True)
-            seen = np.zeros((len(keys), len(langs)))
-            counted = at[ok] > 0  # an edge before a word is a context, not coded
-            np.add.at(seen, (inverse[counted], lang[ok][counted]), n[ok][counted])
-            parents.append(keys // 257)
-            lasts.append(keys % 257)
+class ContextTrees:
+    """The context trees of all languages, as one table of byte strings of 1 to ORDER + 1 bytes.
+
+    cost: bits of a string's last byte after the bytes before it, in each language: by the longest context that has
+    seen it there, after the escapes (method C) from longer ones. escape: bits of the escape from the string as a
+    context, 0 where the language has not seen it. A string that no language has seen is coded after an escape from
+    its context like the string without its first byte.
+    """
+
+    def __init__(self, rows: Iterable[tuple[str, int, int]] | tuple[list[str], np.ndarray, np.ndarray, np.ndarray]):
+        """rows: language, longest string, count; or the languages, and arrays of language number, string, count."""
+        if not isinstance(rows, tuple):
+            rows = list(rows)
+            langs = sorted({r[0] for r in rows})
+            rows = langs, np.array([langs.index(r[0]) for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        self.langs, lang, longest, n = rows
+        wide = 8 * (ORDER + 1)
+        size = longest >> wide
+        keys, counts = [np.zeros(1, np.int64)], [np.zeros((1, len(self.langs)))]  # the empty string comes first
+        for k in range(1, ORDER + 2):
+            some = size >= k
+            found, at = np.unique((longest[some] & ((1 << 8 * k) - 1)) | (k << wide), return_inverse=True)
+            seen = np.zeros((len(found), len(self.langs)))
+            np.add.at(seen, (at, lang[some]), n[some])
+            keys.append(found)
             counts.append(seen)
-            now = np.zeros(len(raw), np.int64)
-            now[ok] = total + inverse
-            before, total = now, total + len(keys)
-        parent, last, count = np.concatenate(parents), np.concatenate(lasts), np.concatenate(counts)
-        all_n, kinds = np.zeros_like(count), np.zeros_like(count)
-        np.add.at(all_n, parent[2:], count[2:])
-        np.add.at(kinds, parent[2:], count[2:] > 0)
+        self.key, count = np.concatenate(keys), np.concatenate(counts)
+        size, body = self.key >> wide, self.key & ((1 << wide) - 1)
+        context = np.searchsorted(self.key, np.where(size > 1, ((size - 1) << wide) | (body >> 8), 0))
+        suffix = np.searchsorted(self.key, np.where(size > 1, ((size - 1) << wide) | (body & ((1 << 8 * np.maximum(size - 1, 0)) - 1)), 0))
+        total, kinds = np.zeros_like(count), np.zeros_like(count)
+        known = np.flatnonzero((size > 0) & (self.key[np.minimum(context, len(self.key) - 1)] == np.where(size > 1, ((size - 1) << wide) | (body >> 8), 0)))
+        np.add.at(total, context[known], count[known])
+        np.add.at(kinds, context[known], count[known] > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            bits = np.where(count > 0, -np.log2(count / (all_n + kinds)[parent]), np.inf)
-            escape = np.where(kinds > 0, -np.log2(kinds / (all_n + kinds)), 0.0)
-        bits[:2] = np.inf
-        return cls(langs, symbol, parent.astype(np.int32), last.astype(np.int32), bits.astype(np.float32), escape.astype(np.float32))
-
-    def code_lengths(self, words: list[bytes], order: int = ORDER) -> np.ndarray:
-        """Bits of each word in each language: of its bytes and its end, each by the longest context that has seen it, after the escapes from longer ones."""
-        if self.child is None:
-            self.child = np.zeros((len(self.parent), int(self.symbol.max(initial=0)) + 1), np.int32)
-            self.child[self.parent[2:], self.last[2:]] = np.arange(2, len(self.parent))
-        raw, at = self._layout(words)
-        sym = self.symbol[raw]
-        nodes = [np.ones(len(raw), np.int32)]
-        for size in range(1, order + 2):
-            up = np.concatenate([[0], nodes[-1][:-1]]) if size > 1 else nodes[0]
-            nodes.append(np.where(at >= size - 1, self.child[up, sym], 0).astype(np.int32))
-        coded = np.flatnonzero(at > 0)
-        total = np.zeros((len(coded), len(self.langs)))
-        open_ = np.ones(total.shape, bool)
-        for size in range(order, -1, -1):
-            context = nodes[size][coded - 1] if size else np.ones(len(coded), np.int32)
-            bits = self.bits[nodes[size + 1][coded]]
-            seen = np.isfinite(bits)
-            total += np.where(open_, np.where(seen, bits, self.escape[context]), 0.0)
-            open_ &= ~seen
-        total += FLAT_BITS * open_
-        first = np.concatenate([[0], np.flatnonzero(np.diff(coded) > 1) + 1])
-        return np.add.reduceat(total, first, axis=0)
-
-    def of_texts(self, texts: list[str]) -> np.ndarray:
-        """Bits of the letter runs of each whole text (lower case) in each language, NaN for one without a letter."""
-        words = [LETTERS.findall(t.lower()) for t in texts]
-        need = set().union(*words)
-        if len(self.known) > MEMORY:
-            self.forget()
-        if new := [w for w in need if w not in self.known]:
-            size = len(self.known)
-            self.costs = np.concatenate([self.costs, self.code_lengths([w.encode() for w in new])])
-            self.known.update(zip(new, range(size, size + len(new)), strict=True))
-        out = np.full((len(texts), len(self.langs)), np.nan)
-        at = self.known.__getitem__
-        for i, w in enumerate(words):
-            if w:
-                out[i] = self.costs[np.fromiter(map(at, w), np.int64, len(w))].sum(axis=0)
+            self.escape = np.where(kinds > 0, -np.log2(kinds / (total + kinds)), 0.0)
+            cost = -np.log2(count / (total + kinds)[context])
+        cost[0] = FLAT_BITS
+        edge = np.searchsorted(size, np.arange(ORDER + 3))
+        for k in range(1, ORDER + 2):
+            here = slice(edge[k], edge[k + 1])
+            after = self.escape[context[here]] + cost[suffix[here]]
+            cost[here] = np.where(count[here] > 0, cost[here], after)
+        self.cost, self.escape = cost.astype(np.float32), self.escape.astype(np.float32)
+        self.table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def forget(self) -> None:
+        self.table = None
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _HASH >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _build(self) -> None:
+        self.bits = max(4, (4 * len(self.key)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        slot, open_ = self._slots(self.key), np.arange(len(self.key), dtype=np.int32)
+        while len(open_):
+            at = slot[open_]
+            free = self.table[at] < 0
+            self.table[at[free]] = open_[free]
+            open_ = open_[self.table[at] != open_]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each string, -1 where no language has seen it."""
+        slot = self._slots(keys)
+        row = self.table[slot]
+        open_ = np.flatnonzero((row >= 0) & (self.key[row] != keys))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            row[open_] = self.table[slot[open_]]
+            open_ = open_[(row[open_] >= 0) & (self.key[row[open_]] != keys[open_])]
+        return row
+
+    def byte_costs(self, octets: np.ndarray, place: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Bits of each byte but the first `skip` in each language."""
+        if self.table is None:
+            self._build()
+        bits = np.zeros((len(octets) - skip, len(self.langs)), np.float32)
+        open_ = np.arange(skip, len(octets))
+        for size in range(ORDER + 1, 0, -1):
+            key = string_keys(octets, size)
+            try_ = place[open_] >= size - 1
+            now, later = open_[try_], open_[~try_]
+            row = self.find(key[now])
+            hit = row >= 0
+            bits[now[hit] - skip] += self.cost[row[hit]]
+            now = now[~hit]
+            if size > 1:
+                context = self.find(string_keys(octets, size - 1)[now - 1])
+                bits[now[context >= 0] - skip] += self.escape[context[context >= 0]]
+                open_ = np.concatenate([now, later])
+            else:
+                bits[now - skip] += self.escape[0] + np.float32(FLAT_BITS)
+        return bits
+
+    def of_texts(self, octets: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Bits of whole texts (one after the other in `octets`; ends: len + 1 places) in each language."""
+        out = np.zeros((len(ends) - 1, len(self.langs)))
+        step = max(LEAST_BYTES, CELLS // max(1, len(self.langs)))
+        for lo in range(0, len(octets), step):
+            hi, back = min(lo + step, len(octets)), max(0, lo - ORDER)
+            text = np.searchsorted(ends, np.arange(back, hi), "right") - 1
+            costs = self.byte_costs(octets[back:hi], np.arange(back, hi) - ends[text], lo - back)
+            first = np.flatnonzero(np.diff(text[lo - back :], prepend=-1))
+            out[text[lo - back :][first]] += np.add.reduceat(costs, first, axis=0, dtype=np.float64)
         return out
 
 
-def train_trees(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, order: int = ORDER) -> ContextTrees | None:
-    """Trees from about `docs_per_lang` documents of each language outside the held-out fold; None without any.
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (NULL: none), one after the other, and where each ends (len + 1 places)."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
 
-    The sample is those whose hash is below the language's share, so its words, counted on the executors, are all
-    that comes to the driver.
+def train_trees(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = TRAIN_BYTES, strings: int = STRINGS) -> ContextTrees | None:
+    """Trees from about `train_bytes` bytes of whole texts of each language outside the held-out fold; None without any.
+
+    The sample is those documents whose hash is below the language's share. Their strings of ORDER + 1 bytes are counted
+    on the executors; of more than `strings` different ones, those that are more frequent make the trees.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (crc_fold(F.col("doc_id"), 4) != 2))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(LANGS + 1).collect()
+    if len(sizes) > LANGS:
+        raise ValueError(f"more than {LANGS} languages")
+    if not (sizes := {r["lang"]: r["n"] for r in sizes if r["n"]}):
+        return None
+    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, train_bytes / n)))))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "doc_id", "text"), 33) / (1 << 31)
+    kind = pa.schema([("lang", pa.string()), ("string", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                octets, _ = text_bytes(batch.column(1).slice(i, 1))
+                found, n = longest_strings(octets, np.arange(len(octets)))
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).slice(i, 1).to_pylist() * len(found), pa.string()), pa.array(found), pa.array(n, pa.int64())], schema=kind)
+
+    sample = known.where(place < F.element_at(share, F.col("lang"))).select("lang", "text")
+    counted = sample.mapInArrow(count, "lang string, string long, n long").groupBy("lang", "string").agg(F.sum("n").alias("n"))
+    counted = stash(counted, "strings")
+    least, total = 1, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("strings")).orderBy(F.col("n").desc()).toLocalIterator():
+        total += r["strings"]
+        if total > strings:
+            least = r["n"] + 1
+            break
+    got = counted.where(F.col("n") >= least).toArrow()
+    if not got.num_rows:
         return None
-    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, docs_per_lang / n)))))
-    place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    words = known.where(place < F.element_at(share, F.col("lang"))).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    rows = [(r["lang"], r["word"], r["count"]) for r in words.groupBy("lang", "word").count().collect()]
-    return ContextTrees.train(rows, order) if rows else None
+    lang, string, n = (got.column(c).to_numpy() for c in ("lang", "string", "n"))
+    langs, lang = np.unique(lang.astype(str), return_inverse=True)
+    return ContextTrees((langs.tolist(), lang, string, n))
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode's letters (general category L) stands in the text."""
+    return any(map(str.isalpha, text or ""))
 
 
 def identify(docs: DataFrame, trees: ContextTrees | None, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and bits a letter for every row; with `carry` also `row`, the input row.
+    """doc_id, held_out, lang_pred and score for every row; with `carry` also `row`, the input row.
 
-    The prediction is the language whose trees code the text in the fewest bits (ties: the first by name), the score
-    its probability under equal priors. NULL and letterless texts, and all texts where nothing could be learned, are
-    `und` with score 0. One narrow pass; a NULL id is not held out.
+    The prediction is the language whose trees code the whole text, byte by byte, in the fewest bits (ties: the first by
+    name), the score its probability under equal priors. NULL and letterless texts, and all texts where nothing could
+    be learned, are `und` with score 0. Repeated rows are judged each; a NULL id is not held out; other columns,
+    whatever their names, are not read; an empty table gives no rows. One narrow pass, a text of any length in chunks.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(trees)  # its size is bounded by the training sample's
+    sent = docs.sparkSession.sparkContext.broadcast(trees)  # its size is bounded by the numbers of strings and languages
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(crc_fold(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
 
-    def predict(texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(texts: pa.Array) -> tuple[list[str], list[float]]:
         model = sent.value
         if model is None:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        bits = model.of_texts(texts)
-        none = np.isnan(bits[:, 0])
-        bits[none] = 0
+        bits = model.of_texts(*text_bytes(texts))
         best = bits.argmin(axis=1)
         score = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
-        return [UNKNOWN if n else model.langs[b] for n, b in zip(none, best, strict=True)], np.where(none, 0, score).tolist()
-
-    kind = "struct<lang_pred: string, score: double>"
+        some = [has_letter(t) for t in texts.to_pylist()]
+        return [model.langs[b] if s else UNKNOWN for s, b in zip(some, best, strict=True)], np.where(some, score, 0).tolist()
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hold("language", sent.value.forget if sent.value else list)
         for batch in texts:
-            found = [predict([t or "" for t in batch.slice(at, 512).to_pylist()]) for at in range(0, len(batch), 512)]
+            found = [predict(batch.slice(at, 512)) for at in range(0, len(batch), 512)]
             yield pa.StructArray.from_arrays([pa.array([x for a, _ in found for x in a], pa.string()), pa.array([x for _, b in found for x in b], pa.float64())], names=["lang_pred", "score"])
 
     return rows.withColumn("_j", judged("text")).select("doc_id", "held_out", "_j.lang_pred", "_j.score", *(["row"] if carry else []))

@@ -1,24 +1,29 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from hemiciclo.llm import langid
-from llm_helpers import DOCS
+from hemiciclo.llm.queries import op9_language
+from llm_helpers import DOCS, SF1
 
 
-def brute(rows, lang: str, word: str, order: int = 4) -> float:
+def brute(texts: list[tuple[str, str]], lang: str, text: str, order: int = 4) -> float:
+    """Bits of the whole text, byte by byte, after training on whole texts of `lang`."""
     counts: dict[bytes, Counter] = defaultdict(Counter)
-    for who, w, n in rows:
+    for who, t in texts:
+        raw = t.encode()
         if who == lang:
-            raw = b" " + w.encode() + b" "
-            for i in range(1, len(raw)):
+            for i in range(len(raw)):
                 for k in range(min(order, i) + 1):
-                    counts[raw[i - k : i]][raw[i]] += n
-    raw, bits = b" " + word.encode() + b" ", 0.0
-    for i in range(1, len(raw)):
+                    counts[raw[i - k : i]][raw[i]] += 1
+    raw, bits = text.encode(), 0.0
+    for i in range(len(raw)):
         for k in range(min(order, i), -1, -1):
             c = counts.get(raw[i - k : i])
             if not c:
@@ -33,20 +38,42 @@ def brute(rows, lang: str, word: str, order: int = 4) -> float:
     return bits
 
 
-def test_code_lengths():
-    rows = [("en", "the", 5), ("en", "then", 2), ("en", "other", 1), ("de", "der", 4), ("de", "thür", 1)]
-    trees = langid.ContextTrees.train(rows)
-    for word in ("the", "thür", "zebra", "t", "othern", "漢"):
-        got = trees.code_lengths([b"x", word.encode()])[1]
-        assert got == pytest.approx([brute(rows, lang, word) for lang in trees.langs], rel=1e-5)
+TRAIN = [("en", "The other day, then the 2 others."), ("en", "the end\nof it all; a man, a plan"), ("de", "Der Tag, an dem die Tür der Halle zu war."), ("de", "über 12 % der Leute"), ("zz", "a")]
 
 
-def test_texts_are_sums_of_words_and_memory_is_bounded(monkeypatch):
-    trees = langid.ContextTrees.train([("en", "the", 5), ("de", "der", 4)])
-    monkeypatch.setattr(langid, "MEMORY", 2)
-    both = trees.code_lengths([b"the", b"der"]).sum(axis=0)
-    for _ in range(3):
-        assert trees.of_texts(["The, der!", "a b c d", "1 2"])[0] == pytest.approx(both)
+def trained(texts):
+    rows = []
+    for lang, t in texts:
+        found, n = langid.longest_strings(np.frombuffer(t.encode(), np.uint8), np.arange(len(t.encode())))
+        rows += [(lang, s, c) for s, c in zip(found.tolist(), n.tolist(), strict=True)]
+    return langid.ContextTrees(rows)
+
+
+@pytest.mark.parametrize("cells", [3, 12, 4_000_000])
+def test_code_lengths_of_whole_texts(monkeypatch, cells):
+    monkeypatch.setattr(langid, "CELLS", cells)
+    monkeypatch.setattr(langid, "LEAST_BYTES", 1)
+    trees = trained(TRAIN)
+    texts = ["the man of 12 halls", "über die Tür, the end", "zebra 漢字 \x00\t..", "", "a", "The other day, then the 2 others."]
+    got = trees.of_texts(*langid.text_bytes(pa.array(["cut", *texts, None])[1:]))
+    assert got == pytest.approx(np.array([[brute(TRAIN, lang, t) for lang in trees.langs] for t in [*texts, ""]]), rel=1e-5)
+
+
+def test_query_equals_brute_force(spark):
+    """op9 at the smallest size: which texts train, and the code lengths that decide."""
+    docs = spark.read.parquet(f"{SF1}/documents.parquet").collect()
+    train = [(r.lang, r.text) for r in docs if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    rows = {r.doc_id: r for r in op9_language(spark, SF1).collect()}
+    assert len(rows) == len(docs)
+    langs = sorted({lang for lang, _ in train})
+    for r in sorted(docs, key=lambda r: len(r.text))[:20]:
+        bits = [brute(train, lang, r.text) for lang in langs]
+        assert rows[r.doc_id].lang_pred == langs[int(np.argmin(bits))] and rows[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert rows[r.doc_id].score == pytest.approx(1 / sum(2 ** (min(bits) - b) for b in bits), abs=1e-2)
+
+
+def test_letters():
+    assert [langid.has_letter(t) for t in (None, "", "½ ² + 3", "١٢ Ⅷ", "ª", "1é", "漢")] == [False, False, False, False, True, True, True]
 
 
 def test_held_out_documents(spark):
@@ -63,9 +90,9 @@ def test_held_out_labels_are_never_read(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, None, None, None, 0), (2, "12 + ##", "x", "s", 0), (3, "the", None, "s", 0), (4, "the " * 20000, "en", "s", 0), (None, "der", "de", "s", 0), (5, "der", "de", "s", 0)], DOCS).selectExpr("*", "1 as score", "2 as row")
+    docs = spark.createDataFrame([(1, None, None, None, 0), (2, "12 + ##", "x", "s", 0), (3, "the", None, "s", 0), (4, "the " * 20000, "en", "s", 0), (None, "der", "de", "s", 0), (5, "der", "de", "s", 0), (6, "½ ² + 3", "en", "s", 0)], DOCS).selectExpr("*", "1 as score", "2 as row")
     rows = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.train_trees(docs)).collect()}
-    assert rows[1] == ("und", 0.0) == rows[2] and 0 <= rows[3][1] <= 1 and len(rows) == 6
+    assert rows[1] == ("und", 0.0) == rows[2] == rows[6] and 0 <= rows[3][1] <= 1 and len(rows) == 7
     assert {(r.lang_pred, r.score) for r in langid.identify(docs, None).collect()} == {("und", 0.0)}
     assert langid.in_known_language(docs).columns == docs.columns
     empty = docs.where("false")
