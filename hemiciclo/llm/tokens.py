@@ -60,6 +60,23 @@ def single_spaced(octets: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return some & (count[stops] == count[starts])
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes of `a` from each place `at` are those of `b` from each place `to`; eight bytes at a time, so both arrays have seven to spare."""
+    x, y = (np.ndarray(len(c) - 7, "<u8", c, strides=(1,)) for c in (a, b))
+    same, left, k = np.ones(len(at), bool), np.arange(len(at)), 0
+    while len(left) and k < 512:
+        mask = _MASKS[np.minimum(size[left] - k, 8)]
+        same[left] &= ((x[at[left] + k] ^ y[to[left] + k]) & mask) == 0
+        k += 8
+        left = left[size[left] > k]
+    for i in left.tolist():
+        same[i] = same[i] and np.array_equal(a[at[i] + k : at[i] + size[i]], b[to[i] + k : to[i] + size[i]])
+    return same
+
+
 class Encoder:
     """Ids of texts, the same as `Tokenizer.encode(text, add_special_tokens=False)` gives.
 
@@ -68,7 +85,8 @@ class Encoder:
     a word. So most texts can be put together from the ids of their words, each with the space or line feed before
     it; words repeat, and the library encodes each different one once, many in a text of a word a line. Words are
     cut, hashed (64 bits of a polynomial of the bytes, with length and lead) and looked up for many texts at a time
-    as arrays. A text with other white space goes to the library whole.
+    as arrays. A word that is found has its bytes compared; one whose hash belongs to another word is encoded by
+    itself. A text with other white space, or with the string of a special token, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -78,7 +96,9 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = [c.encode() for c in added]
+        self.by_words = not any(any(map(str.isspace, c)) for c in added)  # else a token could lie over two words
         if resize := getattr(self.whole.model, "_resize_cache", None):
             resize(1)  # words that come here are new, so its own memory of words would only cost time
         self.feed = int(self._encode("\n")[0])
@@ -89,6 +109,9 @@ class Encoder:
         self.words = 0
         self.first, self.count = np.zeros(MEMORY, np.int64), np.zeros(MEMORY, np.int32)  # of a word's ids in `ids`
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.kind = np.zeros(MEMORY, np.int64)  # 4 * length in bytes + lead
+        self.bytes_at = np.zeros(MEMORY, np.int64)  # of its bytes in `bytes`
+        self.bytes, self.bytes_used = np.zeros(1 << 16, np.uint8), 0
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -118,9 +141,17 @@ class Encoder:
             slot[open_] = (slot[open_] + 1) & ((1 << SLOTS) - 1)
         return out
 
-    def _add(self, keys: np.ndarray, found: list[np.ndarray]) -> None:
-        """Different new keys with their ids."""
+    def _add(self, keys: np.ndarray, found: list[np.ndarray], words: list[bytes], leads: np.ndarray) -> None:
+        """Different new keys with their words and ids."""
         n, flat = len(keys), np.concatenate(found)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        if self.bytes_used + len(raw) + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes[: self.bytes_used], np.zeros(max(len(self.bytes), len(raw)) + 8, np.uint8)])
+        self.bytes[self.bytes_used : self.bytes_used + len(raw)] = raw
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        self.kind[self.words : self.words + n] = 4 * lengths + leads
+        self.bytes_at[self.words : self.words + n] = self.bytes_used + np.cumsum(lengths) - lengths
+        self.bytes_used += len(raw)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(flat)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -158,6 +189,7 @@ class Encoder:
         closes[:-1] = gap | stop
         closes[ends[1:]] = True
         start, end = np.flatnonzero(begins), np.flatnonzero(closes)
+        padded = np.concatenate([octets, np.zeros(8, np.uint8)])
         lead = np.where(stop[start], 3, np.where(octets[start - 1] == _SPACE, 1, 2))
         text_start = np.searchsorted(start, ends[:-1])
         lead[text_start] = 0
@@ -167,6 +199,7 @@ class Encoder:
         key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (end - start).astype(np.uint64) * np.uint64(0x94D049BB133111EB) + lead.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         key = (key ^ (key >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
         key[key == 0] = 1
+        kind = 4 * (end - start) + lead
         word = self._find(key)
         new = np.flatnonzero(word < 0)
         if len(new):
@@ -177,21 +210,39 @@ class Encoder:
                 kinds, one = np.unique(key, return_index=True)
             at = new[one]
             raw = octets.tobytes()
-            text = [raw[i:j].decode() for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            leads = lead[at]
-            made: list[np.ndarray | None] = [None] * len(at)
-            for group, before in (((0, 2, 3), ""), ((1,), " ")):
-                mine = np.flatnonzero(np.isin(leads, group)).tolist()
-                for i, ids in zip(mine, self._by_line([text[i] for i in mine], before), strict=True):
-                    made[i] = np.concatenate([[np.uint32(self.feed)], ids]) if leads[i] == 2 else ids
+            words = [raw[i:j] for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            made = self._made(words, lead[at])
             if len(kinds) > len(self.first):  # more different words in one text than are ever remembered
                 size = np.fromiter(map(len, made), np.int64, len(made))
                 first, count, ids = np.cumsum(size) - size, size, np.concatenate(made)
                 word = np.searchsorted(kinds, key)
-                return _gather(ids, first[word], count[word], np.append(text_start, len(word)))
-            self._add(kinds, made)
+                same = (kind == kind[at][word]) & same_bytes(padded, start, padded, start[at][word], np.where(kind == kind[at][word], end - start, 0))
+                return self._joined(ids, first[word], count[word], same, octets, start, end, lead, np.append(text_start, len(word)))
+            self._add(kinds, made, words, lead[at])
             word = self._find(key)
-        return _gather(self.ids, self.first[word], self.count[word].astype(np.int64), np.append(text_start, len(word)))
+        alike = kind == self.kind[word]
+        same = alike & same_bytes(padded, start, self.bytes, self.bytes_at[word], np.where(alike, end - start, 0))
+        return self._joined(self.ids, self.first[word], self.count[word].astype(np.int64), same, octets, start, end, lead, np.append(text_start, len(word)))
+
+    def _made(self, words: list[bytes], leads: np.ndarray) -> list[np.ndarray]:
+        """The ids of each word with its lead."""
+        made: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        for group, before in (((0, 2, 3), ""), ((1,), " ")):
+            mine = np.flatnonzero(np.isin(leads, group)).tolist()
+            for i, ids in zip(mine, self._by_line([words[i].decode() for i in mine], before), strict=True):
+                made[i] = np.concatenate([[np.uint32(self.feed)], ids]) if leads[i] == 2 else ids
+        return made
+
+    def _joined(self, ids: np.ndarray, first: np.ndarray, count: np.ndarray, same: np.ndarray, octets: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_gather() of all words; those that are not the `same` as what their hash found are encoded here."""
+        if not same.all():
+            other = np.flatnonzero(~same)
+            made = self._made([octets[i:j].tobytes() for i, j in zip(start[other].tolist(), end[other].tolist(), strict=True)], lead[other])
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            first, count = first.copy(), count.copy()
+            first[other], count[other] = len(ids) + np.cumsum(size) - size, size
+            ids = np.concatenate([ids, *made])
+        return _gather(ids, first, count, groups)
 
     def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (NULL: none), one after the other, and where each ends (len + 1 places)."""
@@ -199,7 +250,13 @@ class Encoder:
         ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
         octets = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
         ends = ends - ends[0]
-        plain = single_spaced(octets, ends) if len(octets) else np.zeros(len(texts), bool)
+        plain = single_spaced(octets, ends) if len(octets) and self.by_words else np.zeros(len(texts), bool)
+        raw = octets.tobytes() if self.special else b""
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                plain[np.searchsorted(ends, at, "right") - 1] = False  # a token over two texts only sends the first one whole
+                at = raw.find(token, at + 1)
         parts, sizes, at = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64), 0
         while at < len(texts):
             if not plain[at]:
@@ -269,7 +326,8 @@ def write_tokens(
     encoding comes after it and keeps the order. Row groups and pages are small and carry min/max indexes over
     doc_id, so that a reader of some documents, or of n_tokens alone, touches few pages. Ids are dictionary-encoded;
     format version 2 packs doc_id and place as deltas. NULL text is empty (one id, the end), NULL ids come first,
-    repeated ids stay next to each other in order of text.
+    rows that share an id stay next to each other in order of a hash of the text, over several files if they are many;
+    columns of any other name are not read; an empty table gives files without rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
@@ -277,7 +335,8 @@ def write_tokens(
         tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
         return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), pa.array(np.diff(ends), pa.int32()), tokens], schema=schema)
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     placed = ordered.select("doc_id", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), "text")
     (
         placed.mapInArrow(encoded(tokenizer or vocabulary_path(), 2, end, make), "doc_id long, place long, n_tokens int, ids array<int>")
@@ -287,6 +346,16 @@ def write_tokens(
     )
 
 
+def file_offsets(rows: DataFrame) -> DataFrame:
+    """rows: at (file name), n_tokens. at, offset: the ids in all files before, in order of the numbers in the names.
+
+    The window runs over one row a file. Names count their task (part-00012-...) and the file of a task (...-c000).
+    """
+    number = [F.coalesce(F.regexp_extract("at", rule, 1).try_cast("long"), F.lit(0)) for rule in (r"part-(\d+)", r"-c(\d+)\.")]
+    before = F.sum("n").over(W.orderBy(*number, "at").rowsBetween(W.unboundedPreceding, -1))
+    return rows.groupBy("at").agg(F.sum("n_tokens").alias("n")).select("at", F.coalesce(before, F.lit(0)).alias("offset"))
+
+
 def read_spans(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, from the small columns alone; start by prefix sums.
 
@@ -294,8 +363,7 @@ def read_spans(spark, path: str) -> DataFrame:
     a running sum inside a file the rest.
     """
     rows = spark.read.parquet(path).select("doc_id", "place", "n_tokens", F.col("_metadata.file_name").alias("file"))
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    offsets = files.select(F.col("file").alias("at"), F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    offsets = file_offsets(rows.select(F.col("file").alias("at"), "n_tokens"))
     inside = F.sum("n_tokens").over(W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offsets, F.col("file") == F.col("at")).select("doc_id", "place", "file", (F.col("offset") + F.col("inside")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"))
 
@@ -326,7 +394,6 @@ def token_digests(docs: DataFrame, path: str | None = None, **kwargs) -> DataFra
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, **kwargs)
     rows = read_digests(spark, path)
-    sums = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("at"), "n_tokens").groupBy("at").agg(F.sum("n_tokens").alias("n"))
-    offsets = sums.select("at", F.coalesce(F.sum("n").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    offsets = file_offsets(spark.read.parquet(path).select(F.col("_metadata.file_name").alias("at"), "n_tokens"))
     inside = F.sum("n_read").over(W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offsets, F.col("file") == F.col("at")).select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), F.col("n_read").alias("n_tokens"), "ids_crc32")

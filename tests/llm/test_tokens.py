@@ -5,15 +5,17 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from hemiciclo.llm import tokens
 from llm_helpers import DOCS, SF1
 
 ENCODER = tokens.encoder(tokens.vocabulary_path())
+LIBRARY = Tokenizer.from_file(tokens.vocabulary_path())
 
 
 def direct(text: str) -> list[int]:
-    return ENCODER.whole.encode(text, add_special_tokens=False).ids
+    return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -22,6 +24,40 @@ def test_encoder_equals_library(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)] == [direct(t) for t in texts]
 
 
+def test_strings_of_special_tokens():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b c", "plain words", "<|endof", "text|> x", "x <|endoftext|><|endoftext|> y"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)] == [direct(t) for t in texts]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever the multiplier."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for room in (800_000, 1):  # kept in the memory of words; more words in a text than it holds
+        monkeypatch.setattr(tokens, "MEMORY", room)
+        encode = tokens.Encoder(tokens.vocabulary_path())
+        for texts in ([f"x {word} y {other} z"], [f"x {other} y", f"{word} {other}\n{word}"]):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [direct(t) for t in texts]
+
+
+def test_same_bytes():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2, 3000).astype(np.uint8)
+    at, to, size = rng.integers(0, 1200, 4000), rng.integers(0, 1200, 4000), rng.integers(0, 20, 4000)
+    to[:50], at[50:60], size[50:60] = at[:50], to[50:60], 1000
+    a[1800:] = a[:1200]
+    got = tokens.same_bytes(a, at, a, to, size)
+    assert got.tolist() == [bytes(a[i : i + n]) == bytes(a[j : j + n]) for i, j, n in zip(at, to, size, strict=True)] and got.any() and not got.all()
+
+
+def test_files_stand_in_order_of_their_numbers(spark):
+    rows = [(f"part-{n:05d}-0f0f0f0f-c{c:03d}.zstd.parquet", 1) for n in (0, 99999, 100000, 100001) for c in (0, 1, 1000)]
+    got = {r.at: r.offset for r in tokens.file_offsets(spark.createDataFrame(rows, "at string, n_tokens int")).collect()}
+    assert [got[name] for name, _ in rows] == list(range(12))
+
+
 def test_encoder_on_documents_and_after_forgetting(spark, monkeypatch):
     texts = [r.text for r in spark.read.parquet(f"{SF1}/documents.parquet").collect()]
     for room in (50, 3000):
