@@ -7,14 +7,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemiciclo.llm.common import crc_fold, hash_sample, hold
 from hemiciclo.llm.quality import fit_platt
 
 #: Labelled documents in the index, at most, and of these the ones whose leave-one-out votes fit the calibration.
-EXAMPLES, CALIBRATION = 8_000, 2_000
+EXAMPLES, CALIBRATION = 6_000, 2_000
 #: Terms are hashed to 2**BITS slots: all words, and all beginnings of so many letters of longer words.
 BITS = 18
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -225,20 +225,35 @@ class BlockMaxIndex:
 class ToxicityModel:
     """Weights of the slots, the index of examples, and the votes' calibration."""
 
-    def __init__(self, weight: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], k: int = NEIGHBOURS, calibration: int = CALIBRATION):
-        """examples: id, slots, counts, label, in an order of which any beginning is a fair sample."""
+    def __init__(self, weight: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], k: int = NEIGHBOURS):
+        """examples: id, slots, counts, label."""
         self.weight, self.k = weight, k
         labels, ids = [e[3] for e in examples], [e[0] for e in examples]
         self.base = (sum(labels) + 0.5) / (len(labels) + 1)
-        vectors = [self.vector(slots, counts) for _, slots, counts, _ in examples]
-        self.index = BlockMaxIndex(vectors, labels, ids, len(weight))
+        self.index = BlockMaxIndex([self.vector(slots, counts) for _, slots, counts, _ in examples], labels, ids, len(weight))
+        self.slope, self.intercept = 1.0, 0.0
+
+    def calibrate(self, spark: SparkSession, ids: Sequence[int]) -> None:
+        """Fits Platt's curve to the votes of the examples `ids`, each without itself; executors search."""
+        sent = spark.sparkContext.broadcast(self)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            learned = sent.value
+            hold("toxicity", learned.index.forget)
+            index = learned.index
+            for batch in batches:
+                places = batch.column(0).to_pylist()
+                for lo in range(0, len(places), BATCH):
+                    some = places[lo : lo + BATCH]
+                    spans = [slice(index.first[at], index.first[at + 1]) for at in some]
+                    found = index.search_many([(index.slot[s], index.weight[s]) for s in spans], learned.k, some)
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([learned.vote(*near) for near in found], pa.float64())], names=["at", "vote"])
+
         place = {x: i for i, x in enumerate(self.index.ids.tolist())}
-        votes = []
-        for lo in range(0, min(calibration, len(examples)), BATCH):
-            hi = min(lo + BATCH, calibration, len(examples))
-            votes += [self.vote(*near) for near in self.index.search_many(vectors[lo:hi], k, [place[i] for i in ids[lo:hi]])]
-        self.slope, self.intercept = fit_platt(self._logit(np.array(votes)), np.array(labels[: len(votes)], np.float64))
-        self.index.forget()
+        wanted = spark.createDataFrame([(place[i],) for i in ids], "at long").repartition(max(1, -(-len(ids) // BATCH)))
+        got = sorted((r["at"], r["vote"]) for r in wanted.mapInArrow(votes, "at long, vote double").collect())
+        sent.unpersist()
+        self.slope, self.intercept = fit_platt(self._logit(np.array([v for _, v in got])), self.index.labels[[at for at, _ in got]])
 
     def vector(self, slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = counts * self.weight[slots]
@@ -316,8 +331,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     got = texts.select("_id", "text", "y").mapInArrow(indexed, "id long, y int, slots binary, counts binary").withColumn("place", F.xxhash64("id")).collect()
     if len({r["y"] for r in got}) < 2:
         return None
-    rows = sorted(got, key=lambda r: (r["place"], r["id"]))
-    return ToxicityModel(term_weights(docs, text_col=text_col), [(r["id"], np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.int64), r["y"]) for r in rows])
+    rows = [(r["id"], np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["y"]) for r in sorted(got, key=lambda r: (r["place"], r["id"]))]
+    model = ToxicityModel(term_weights(docs, text_col=text_col), rows)
+    model.calibrate(docs.sparkSession, [r[0] for r in rows[:CALIBRATION]])
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT, carry: bool = False) -> DataFrame:
