@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word everywhere in this package: a run of anything but ASCII white space.
@@ -71,3 +72,18 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     total = df.count()
     share = min(1.0, 1.2 * n / max(total, 1) + 100 / max(total, 1))
     return df.where(place < F.lit(int(share * (1 << 31)))).orderBy(place, key).limit(n)
+
+
+def range_offsets(sums: DataFrame, group: str, at: str, value: str, fan: int = 1000) -> DataFrame:
+    """sums: group (may be NULL), at (a whole number), value. Adds `offset`: the group's values at all lower places.
+
+    In two levels, so that a group of very many places is no one task's: runs of `fan` places are summed, the runs' sums
+    are added up along the group, the values along their run.
+    """
+    runs = sums.withColumn("_offset_run", F.floor(F.col(at) / fan))
+    upto = W.unboundedPreceding, -1
+    whole = runs.groupBy(group, "_offset_run").agg(F.sum(value).alias("_offset_sum"))
+    whole = whole.select(F.col(group).alias("_offset_group"), F.col("_offset_run").alias("_offset_at"), F.coalesce(F.sum("_offset_sum").over(W.partitionBy(group).orderBy("_offset_run").rowsBetween(*upto)), F.lit(0)).alias("_offset_before"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(group, "_offset_run").orderBy(at).rowsBetween(*upto)), F.lit(0))
+    found = runs.withColumn("_offset_inside", inside).join(whole, F.col(group).eqNullSafe(F.col("_offset_group")) & (F.col("_offset_run") == F.col("_offset_at")))
+    return found.select(*sums.columns, (F.col("_offset_before") + F.col("_offset_inside")).alias("offset"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import WORD, stash
+from hemiciclo.llm.common import WORD, range_offsets, stash
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -61,8 +61,8 @@ def mix(
     """What a mix takes of every document: doc_id, size, source_size, target, taken; with `carry` also `row`, the input row.
 
     Within a source, documents stand in the order of a hash-random key. The key's values are cut into ranges of equal
-    width, so a source's words are summed by range, the ranges' sums give each range's offset, and a running sum
-    inside a range gives each document's place: a hot source is spread over as many tasks as it has ranges. The
+    width, so a source's words are summed by range, the ranges' sums give each range's offset (in two levels, as a hot
+    source has very many ranges), and a running sum inside a range gives each document's place. The
     source's budget is its rounded target; it takes whole epochs of all its documents and then, in key order, exactly
     what is left, so one document a source may be taken in part.
 
@@ -80,8 +80,7 @@ def mix(
         base = stash(base, "sizes")
     sums = base.groupBy("source", "range").agg(F.sum("size").alias("words"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
-    up_to = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("source", "range", F.coalesce(F.sum("words").over(up_to), F.lit(0)).alias("offset"))
+    offsets = range_offsets(sums, "source", "range", "words").drop("words")
     plan = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.*", "source_size", "target")
     inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = base.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
