@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import stash
+from hemiciclo.llm.common import range_offsets, stash
 from hemiciclo.llm.tokens import END, encoded, vocabulary_path
 
 CAPACITY = 1024
@@ -126,9 +126,10 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, range_rows: int = RANGE_R
     Pieces are encoded once and kept in the shared folder. Their histogram (at most `capacity` rows) comes to the
     driver, which plans for all of them; the plan goes back as rank ranges by length, whose number depends on the
     capacity alone. A piece's rank among those of its length is its place in its hash range plus the sizes of the
-    ranges before, so a length that many pieces share is spread over many tasks.
+    ranges before (in two levels), so a length that many pieces share is spread over many tasks.
 
-    NULL text is empty and packs as its end token; repeated rows are packed each; an empty table gives no rows.
+    NULL text is empty and packs as its end token; repeated rows are packed each; equal pieces take any order among
+    themselves; only the id and text columns are read, whatever others are called; an empty table gives no rows.
     """
     spark = docs.sparkSession
     cut = stash(pieces(docs, capacity=capacity, **kwargs), "pieces")
@@ -138,8 +139,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, range_rows: int = RANGE_R
     counts = stash(rows.groupBy("length", "_r").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.createDataFrame(bin_slots(plan_bins(histogram, capacity)), "at long, low long, high long, sequence long, offset long")
-    before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select(F.col("length").alias("_length"), F.col("_r").alias("_range"), before.alias("_before"))
+    first = range_offsets(counts, "length", "_r", "n").select(F.col("length").alias("_length"), F.col("_r").alias("_range"), F.col("offset").alias("_before"))
     inside = F.row_number().over(W.partitionBy("length", "_r").orderBy("_h", "doc_id", "piece", "ids_crc32", "start")) - 1
     ranked = rows.withColumn("_inside", inside).join(first, (F.col("length") == F.col("_length")) & (F.col("_r") == F.col("_range")))
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside"))

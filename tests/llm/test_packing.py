@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from hemiciclo.llm import packing, tokens
 from llm_helpers import DOCS, SF1
@@ -36,7 +37,7 @@ def test_plan_is_near_the_bound():
 
 
 def check(spark, docs):
-    encode = tokens.encoder(tokens.vocabulary_path())
+    library = Tokenizer.from_file(tokens.vocabulary_path())
     texts = Counter()
     rows = packing.pack(docs, range_rows=11, with_ids=True).collect()
     bins = defaultdict(list)
@@ -52,7 +53,7 @@ def check(spark, docs):
         assert at <= 1024
     want = Counter()
     for r in docs.collect():
-        ids = [*np.frombuffer(encode([r.text or ""])[0], "<u4").tolist(), 2]
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
         head = (len(ids) - 1) % 1024 + 1
         for k, at in enumerate([0, *range(head, len(ids), 1024)]):
             part = ids[at : (head if k == 0 else at + 1024)]
@@ -67,7 +68,7 @@ def test_documents(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, None, "x", "s", 0), (1, "", "x", "s", 0), (2, "a b", None, None, 0), (2, "a b", None, None, 0), (None, "z", "x", "s", 0), (3, "word " * 5000, "x", "s", 0)], DOCS)
+    docs = spark.createDataFrame([(1, None, "x", "s", 0), (1, "", "x", "s", 0), (2, "a b", None, None, 0), (2, "a b", None, None, 0), (None, "z", "x", "s", 0), (3, "word " * 5000, "x", "s", 0), (4, "a <|endoftext|> b", "x", "s", 0)], DOCS).selectExpr("*", "1 as piece", "'x' as length", "2 as at", "3 as sequence_id")
     check(spark, docs)
     assert packing.pack(docs.where("false")).count() == 0
 
