@@ -14,18 +14,18 @@ from hemiciclo.llm.common import crc_fold, hash_sample, hold
 from hemiciclo.llm.quality import fit_platt
 
 #: Labelled documents in the index, at most, and of these the ones whose leave-one-out votes fit the calibration.
-EXAMPLES, CALIBRATION = 6_000, 2_000
+EXAMPLES, CALIBRATION = 4_000, 2_000
 #: Terms are hashed to 2**BITS slots: all words, and all beginnings of so many letters of longer words.
 BITS = 18
-BEGINNINGS = (3, 4, 5, 6, 7)
-NEIGHBOURS = 30
+BEGINNINGS = (4, 5, 6)
+NEIGHBOURS = 20
 #: Votes that the toxic share of all examples has.
 PRIOR_VOTES = 0.3
 #: Weight of a term that is no more clustered in documents than chance would have it.
 EVEN = 0.1
 REJECT = 0.7
 #: Examples of a block; terms that more than one in DENSE examples has stand in a matrix, others in posting lists.
-BLOCK, DENSE = 64, 16
+BLOCK, DENSE = 64, 32
 #: Characters whose terms are made at a time, documents that are searched at a time.
 CHUNK, BATCH = 1 << 20, 256
 _MIX, _BASE, _PART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x5851F42D4C957F2D)
@@ -118,9 +118,10 @@ class BlockMaxIndex:
     """Unit TF-IDF vectors of the examples, as postings by term and block of examples, with each block's largest weight.
 
     Examples stand in order of their heaviest term, so that blocks are alike inside. A search bounds each block by its
-    largest weights and scores blocks from the highest bounds down, until no bound reaches the k-th best cosine. Bounds
-    and scores are single precision, with the rounding of so many products allowed for; what can be among the k nearest
-    gets its cosine in double precision. Only vectors, labels and ids travel; the rest is built where it is searched.
+    largest weights, scores the blocks with the highest bounds, then all others whose bound reaches the k-th best cosine
+    of these. Bounds and scores are single precision, with the rounding of so many products allowed for; what can be
+    among the k nearest gets its cosine in double precision, equal examples one for all. Only vectors, labels and ids
+    travel; the rest is built where it is searched.
     """
 
     def __init__(self, vectors: Sequence[Mapping[int, float] | tuple[np.ndarray, np.ndarray]], labels: Sequence[int], ids: Sequence[int], terms: int):
@@ -143,6 +144,7 @@ class BlockMaxIndex:
     def _build(self) -> None:
         n = len(self.ids)
         self.blocks = -(-n // BLOCK)
+        self.wide_slot = self.slot.astype(np.intp)
         example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
         df = np.bincount(self.slot, minlength=self.terms)
         common = np.flatnonzero(df * DENSE > n)
@@ -161,6 +163,9 @@ class BlockMaxIndex:
         self.entry_block = self.posted[start] // BLOCK
         self.entry_most = np.maximum.reduceat(self.posted_weight, start) if len(start) else np.zeros(0, np.float32)
         self.lists = np.searchsorted(self.slot[rare][start], np.arange(self.terms + 1))
+        kinds: dict[bytes, int] = {}  # equal vectors: the first example that has it
+        ends = self.first.tolist()
+        self.like = np.array([kinds.setdefault(self.slot[i:j].tobytes() + self.weight[i:j].tobytes(), k) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True))], np.int64)
         self.built = True
 
     def search(self, vector: Mapping[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -189,13 +194,11 @@ class BlockMaxIndex:
         rank = np.argsort(-bound, axis=1, kind="stable")
         scores = np.zeros((m, self.blocks * BLOCK), np.float32)
         kth = np.zeros(m, np.float32)
-        lo, step = 0, 2 * -(-(k + 1) // BLOCK)
-        while lo < self.blocks:
+        top = min(self.blocks, -(-(k + 1) // BLOCK) + self.blocks // 8)
+        for ranks in (slice(0, top), slice(top, None)):
             wanted = np.zeros((m, self.blocks), bool)
-            np.put_along_axis(wanted, rank[:, lo : lo + step], True, axis=1)
+            np.put_along_axis(wanted, rank[:, ranks], True, axis=1)
             wanted &= (bound > 0) & (bound * spare >= kth[:, None])
-            if not wanted.any():
-                break
             for b in np.flatnonzero(wanted.any(axis=0)):
                 need = np.flatnonzero(wanted[:, b])
                 scores[need, b * BLOCK : (b + 1) * BLOCK] = dense[need] @ self.rows[b * BLOCK : (b + 1) * BLOCK].T
@@ -207,15 +210,15 @@ class BlockMaxIndex:
                 scores[i] += np.bincount(self.posted[p], np.repeat(weights[i][use], last - first) * self.posted_weight[p], scores.shape[1])
             if scores.shape[1] > k + 1:  # one spare, as `but` may be among them
                 kth = np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1] / np.float32(spare)
-            lo, step = lo + step, 2 * step
         full, out = np.zeros(self.terms), []
         for i, (slot, w) in enumerate(queries):
             near = np.flatnonzero((scores[i] > 0) & (scores[i] * spare >= kth[i]))
             if but is not None:
                 near = near[near != but[i]]
             full[slot] = w
-            p = _spans(self.first[near], self.first[near + 1])
-            cosine = np.add.reduceat(self.weight[p] * full[self.slot[p]], np.cumsum(np.diff(self.first)[near]) - np.diff(self.first)[near]) if len(near) else np.zeros(0)
+            kinds, kind = np.unique(self.like[near], return_inverse=True)
+            ends = zip(self.first[kinds].tolist(), self.first[kinds + 1].tolist(), strict=True)
+            cosine = np.array([self.weight[a:b] @ full[self.wide_slot[a:b]] for a, b in ends] or [0.0])[kind]
             full[slot] = 0
             best = np.lexsort((self.ids[near], -np.round(cosine, 12)))[:k]
             out.append((near[best], cosine[best]))
