@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from hemiciclo.llm.embedding_dedup import Quantised, linked_pairs, near_vectors
+from hemiciclo.llm.embedding_dedup import Quantised, code_pairs, linked_pairs, near_vectors
 from llm_helpers import components
 
 
@@ -42,6 +42,33 @@ def test_pairs_near_the_threshold_are_recomputed():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(cosine >= 0.95)), strict=True))
 
 
+def test_codes_bound_cosines_at_any_length():
+    """What the codes call sure is linked, what they leave out is not, at 1,000 dimensions as at 3."""
+    rng = np.random.default_rng(9)
+    for dims in (3, 64, 1000, 1100):
+        x = rng.normal(size=(120, dims))
+        y = x * 0.95 + np.sqrt(1 - 0.95**2) * rng.normal(size=(120, dims))
+        y[:20] = 2 * x[:20]
+        i, j, sure = code_pairs(Quantised(x), Quantised(y), 0.95, 0, 120)
+        linked = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= 0.95
+        assert linked[i[sure], j[sure]].all() and sure.any() and not sure.all()
+        may = np.zeros((120, 120), bool)
+        may[i, j] = True
+        assert not linked[~may].any()
+
+
+def test_open_pairs_over_blocks_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=24)
+    vectors = [(i, (base + rng.normal(size=24) * 0.32).tolist()) for i in range(150)]  # cosines around the threshold
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for block in (20, 64, 1000):
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df, block=block).collect()} == brute(vectors)
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (5, [0.0, 1.0]), (7, [0.0, 3.0])]
+    out = {(r.vec_id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert (6, 1, 5) in out and (7, 1, 5) in out
+
+
 def test_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [1e-30, 0.0]), (11, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rep", "2 as print")
