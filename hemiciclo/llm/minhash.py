@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hemiciclo.llm.common import LOWER, UPPER, hold, stash
@@ -22,6 +21,8 @@ BINS, BAND_ROWS = 256, 6
 #: A pair at the threshold shares none of the BINS // BAND_ROWS bands with a probability of 3 in a million.
 BANDS = BINS // BAND_ROWS
 MEMORY = 100_000
+#: Rows of a key that one task joins, about, and the keys that are so large, at most one in so many rows.
+SPREAD_ROWS, SPREAD_KEYS = 1_000, 5_000
 #: Sets of a block, and shingles in all of them, about; a tile compares two blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -120,15 +121,15 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose full sets link; texts: doc_id, text."""
+    """Those of `pairs` (a, b) of which full sets link; texts: doc_id, text, a row for each text of an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint64))
+        last: tuple[tuple, np.ndarray] = ((), np.zeros(0, np.uint64))
         for batch in batches:
             linked = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last[0] != a:
-                    last = a, shingle_set(x, size)
+                if last[0] != (a, x):
+                    last = (a, x), shingle_set(x, size)
                 mine, other = last[1], shingle_set(y, size)
                 if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)):
                     both = len(np.intersect1d(mine, other, assume_unique=True))
@@ -227,6 +228,20 @@ def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
     return stash(moved.unionByName(merged.join(component, "node", "left_anti")), "component")
 
 
+def with_sums(rows: DataFrame, sums: DataFrame, key: str, member: str) -> DataFrame:
+    """rows and sums (a row a key, with the number `n` of its rows) joined on `key`, a large key by several tasks.
+
+    Keys of more rows than SPREAD_ROWS and than one in SPREAD_KEYS of all are few, so they can be sent to every task;
+    their rows are dealt by a hash of `member`, and their sums are copied for each part.
+    """
+    total = sums.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = F.ceil(F.col("n") / SPREAD_ROWS).cast("int")
+    large = sums.where(F.col("n") > max(SPREAD_ROWS, total // SPREAD_KEYS)).select(F.col(key).alias("_key"), F.least(parts, F.lit(1_000)).alias("_parts"))
+    dealt = rows.join(F.broadcast(large), F.col(key) == F.col("_key"), "left").withColumn("_part", F.pmod(F.xxhash64(member), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_key", "_parts")
+    copied = sums.join(F.broadcast(large), F.col(key) == F.col("_key"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_key", "_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -240,27 +255,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        a family are compared in tiles of bounded size. So every link between bucket members counts, while a bucket
        that is one component costs no more, and no pair leaves a tile but spanning links.
 
-    Sets without a word (NULL and empty texts) link with nothing. Rows that share an id count as one document. Rows
-    with a NULL id link with nothing, have a NULL component and are kept. An empty table gives no rows.
+    Sets without a word (NULL and empty texts) link with nothing. Rows that share an id count as one document, which
+    links by any of its texts. Rows with a NULL id link with nothing, have a NULL component and are kept. A pair exactly
+    at the threshold links. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stash(_signed(source, shingle_words), "signed")
     able = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = able.groupBy("print").agg(F.min("doc_id").alias("rep"))
     members = able.join(classes, "print").where("doc_id = rep").select("rep", F.explode("bands").alias("key"))
-    whole = W.partitionBy("key")
-    buckets = members.select("key", "rep", F.count("*").over(whole).alias("n"), F.min("rep").over(whole).alias("centre")).where("n > 1").distinct()
-    buckets = stash(buckets, "buckets")
+    sums = stash(members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1"), "sums")
+    buckets = stash(with_sums(members, sums, "key", "rep").distinct(), "buckets")
     pairs = stash(buckets.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stash(source.join(wanted, "doc_id", "left_semi").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = stash(source.join(wanted, "doc_id", "left_semi").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").distinct(), "texts")
     component = stash(connected_components(_confirmed(pairs, texts, shingle_words, percent)), "component")
 
     def mixed_members(component: DataFrame) -> DataFrame:
         """key, rep, component of the buckets of three or more members and several components, and a centre for each."""
         placed = buckets.where("n > 2").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key")).alias("centre"))
-        return stash(placed.join(several.where("low < high").select("key", "centre"), "key"), "mixed")
+        order = F.struct(F.xxhash64("rep", "key").alias("hash"), "rep", "component")
+        several = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(order).alias("centre"))
+        several = stash(several.where("low < high").select("key", "n", "centre"), "several")
+        return stash(with_sums(placed, several, "key", "rep").drop("n"), "mixed")
 
     mixed = mixed_members(component)
     if not mixed.isEmpty():
@@ -277,9 +294,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(component_id == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """One document, the one with the least id, of each group of near-duplicates; all columns. Of rows that share an id one stays."""
-    kept = near_duplicates(docs, id_col=id_col, **kwargs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"))
-    named = rows.where("_id is not null").join(kept, "_id", "left_semi").groupBy("_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
+    """One document, the one with the least id, of each group of near-duplicates; all columns. Of its rows one stays for each text."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **kwargs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.md5(F.col(text_col).cast("binary")).alias("_text"))
+    named = rows.where("_id is not null").join(kept, "_id", "left_semi").groupBy("_id", "_text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return named.select("row.*").unionByName(rows.where("_id is null").select("row.*"))

@@ -73,6 +73,31 @@ def test_short_texts_and_edges(spark):
     assert near_duplicates(docs.where("false")).count() == 0
 
 
+def test_every_text_of_an_id_is_compared(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(5, b, "x", "s", 0), (5, a, "x", "s", 0), (5, a, "x", "s", 0), (7, a + " one", "x", "s", 0), (8, b + " more", "x", "s", 0)], DOCS)
+    out = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, shingle_words=2).collect()}
+    assert out == {(5, 5, True), (7, 5, False), (8, 5, False)}
+    assert sorted((r.doc_id, r.text) for r in without_near_duplicates(docs).collect()) == [(5, a), (5, b)]
+
+
+def test_hot_keys_are_dealt_over_parts(spark, monkeypatch):
+    from hemiciclo.llm import minhash
+
+    monkeypatch.setattr(minhash, "SPREAD_ROWS", 3)
+    monkeypatch.setattr(minhash, "SPREAD_KEYS", 1_000)
+    rows = spark.createDataFrame([(k, m) for k in range(5) for m in range(10**k // 100 + 1)], "key long, rep long")
+    sums = rows.groupBy("key").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+    got = minhash.with_sums(rows, sums, "key", "rep").collect()
+    assert sorted((r.key, r.rep, r.n) for r in got) == sorted((k, m, 10**k // 100 + 1) for k in range(5) for m in range(10**k // 100 + 1))
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join(f"z{rng.random()}" if rng.random() < 0.03 else w for w in base) for i in range(80)}
+    docs = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in texts.items()], DOCS)
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, shingle_words=2).collect()} == components(texts, near_links(texts, 2))
+
+
 def test_signature_agreement_estimates_similarity():
     rng = random.Random(1)
     a = [f"t{rng.random()}" for _ in range(400)]
