@@ -252,7 +252,7 @@ def document_assets(raw: DataFrame, family: str, dataset: str) -> DataFrame:
 
 def profile(pages: DataFrame) -> DataFrame:
     """pages: visible_text, source_url. The profile's fields by line rules."""
-    lines = F.filter(F.transform(F.split("visible_text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("visible_text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = pages.withColumn("_l", lines)
     line, none = F.col("_l"), F.lit(None).cast("string")
     first = lambda keep: F.get(F.filter(line, keep), F.lit(0))
@@ -282,7 +282,7 @@ def profile(pages: DataFrame) -> DataFrame:
 
 def salaries(pages: DataFrame) -> DataFrame:
     """pages: source_url, text. Role and concept are carried forward over the lines to the amount that follows them."""
-    lines = pages.select("source_url", F.nullif(F.regexp_extract("text", "(?i)Información actualizada el (\\d{1,2} de [a-záéíóú]+ de \\d{4})", 1), F.lit("")).alias("_upd"), F.posexplode(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")).alias("pos", "line"))
+    lines = pages.select("source_url", F.nullif(F.regexp_extract("text", "(?i)Información actualizada el (\\d{1,2} de [a-záéíóú]+ de \\d{4})", 1), F.lit("")).alias("_upd"), F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "line"))
     lines = lines.withColumns({"_amount": money.euro_amount(F.col("line")), "_role": F.when(F.col("line").isin(*SALARY_ROLES), F.col("line"))})
     keys, order = ["source_url"], ["pos"]
     lines = windows.carry_forward(lines, keys, order, F.col("_role"), "role")

@@ -552,3 +552,7 @@ def quote_evidence(spark, sf):
     holds = F.contains("text", F.col("quote"))
     found = grams.join(long, "g").where(holds).drop("g").unionByName(read(spark, sf, "documents").select("doc_id", "text").join(short, holds))
     return found.select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("first_at")).distinct()
+
+
+# These register their own queries here.
+from hemiciclo.plans import queries_domains, queries_text  # noqa: E402, F401
