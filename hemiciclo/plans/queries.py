@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hemiciclo.functions import dates, ids, money, references, text, urls
 from hemiciclo.operators import aggregates, dedup, filters, joins, limits, windows
 from hemiciclo.plans import declarations, domains, extraction, services, speech, votes_text
+from hemiciclo.session import shared_dir
 from hemiciclo.sources import catalog, html, records, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -501,13 +502,11 @@ def request_pages(spark, sf):
 
 @query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
 def export_roundtrip(spark, sf):
-    import tempfile
     import uuid
 
     region, out = read(spark, sf, "region"), None
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     for kind in sinks.FORMATS:
-        path = f"{base}/export-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
         sinks.export_records(region, path, format_name=kind)
         back = sinks.read_export(spark, path, kind, region.schema).select(F.col("r_regionkey").cast("int"), "r_name")
         out = back if out is None else out.union(back)
@@ -516,12 +515,11 @@ def export_roundtrip(spark, sf):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf):
-    import tempfile
     import uuid
 
     from hemiciclo.streaming import ingest
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = read(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     ingest.run_available(ingest.distinct_stream(rows.select("user_id", "event_type"), ["user_id", "event_type"]), f"{base}/out", f"{base}/state")
@@ -555,4 +553,4 @@ def quote_evidence(spark, sf):
 
 
 # These register their own queries here.
-from hemiciclo.plans import queries_domains, queries_text  # noqa: E402, F401
+from hemiciclo.plans import queries_domains, queries_sources, queries_text  # noqa: E402, F401
