@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -24,7 +25,9 @@ CAPITALS = re.compile(rf"^(?:El|La) {_HONORIFIC} (?P<name>[A-ZÁÉÍÓÚÜÑÇ][
 CHAIR = re.compile(r"^(?:El|La) (?P<name>(?:vice)?president[ea])[^:\n]*:\s*(?P<body>.*)$", re.I | re.S)
 PAGE_MARK = re.compile(r"^\s*P[áa]gina\s+(\d+)\s*$", re.I)
 INTERRUPTION = re.compile(rf"\((?P<heading>(?:El|La) {_HONORIFIC} (?P<name>[^:()\n]{{3,160}})):\s*(?P<body>[^()]{{1,500}}?)\)")
-NONVERBAL = re.compile(rf"{_HONORIFIC.replace('se', '[Ss]e', 1)} (?P<name>[A-ZÀ-Þ][^?().,;:\n]{{1,90}}?)[.,][^():]{{0,300}}?\((?P<body>Asentimiento|Denegaci(?:ón|ones))[^)]{{0,180}}\)")
+#: An answer without words, and the person whom the sentence before it speaks to.
+ANSWER = re.compile(r"\((?:Asentimiento|Denegaci(?:ón|ones))\b[^()]*\)")
+ADDRESSED = re.compile(rf"\b{_HONORIFIC} (?P<name>[A-ZÀ-Þ][^?().,;:\n]{{1,90}})(?=[.,])", re.I)
 GESTURE = re.compile(rf"\(El {_HONORIFIC} (?P<name>[A-ZÀ-Þ][^():\n]{{1,90}}?) (?P<body>hace signos negativos)\)", re.I)
 #: What a narrated, not a spoken, line says.
 NARRATIVE = re.compile(r"\b(?:dijo|contestó|respondió|manifestó|preguntó|votaron|votos)\b", re.I)
@@ -34,18 +37,40 @@ _KIND = pa.list_(pa.struct([("ordinal", pa.int32()), ("speaker_heading", pa.stri
 SCHEMA = from_arrow_type(_KIND)
 
 
-COLLAPSED = re.compile(r"^\(?(El|E1|Ei|8l|La)\s*([^\s:]{3,10}?)\s*(?=[A-ZÁÉÍÓÚÜÑ]{2})")
+#: What scans make of the articles.
+ARTICLES = {"el": "El", "e1": "El", "ei": "El", "8l": "El", "81": "El", "8i": "El", "la": "La", "1a": "La", "ia": "La"}
+TITLES = ("señor", "señora")
 
 
 def repaired_heading(line: str) -> str:
-    """A heading whose article, honorific and name a scan ran together, with its spaces; the honorific must be nearly one."""
-    m = COLLAPSED.match(line)
-    if m is None or ":" not in line:
+    """A heading whose article, honorific and name a scan ran together or misread, with its spaces.
+
+    After the article, of the beginnings that a run of capitals follows, the one that is most like an honorific counts,
+    if it is nearly one.
+    """
+    start = line.removeprefix("(")
+    article = ARTICLES.get(start[:2].casefold())
+    if article is None or ":" not in line:
         return line
-    for title in ("señor", "señora"):
-        if SequenceMatcher(None, m[2].casefold(), title).ratio() >= 0.8:
-            return f"{'La' if m[1] == 'La' else 'El'} {title} {line[m.end() :]}"
-    return line
+    rest = start[2:].lstrip()
+    found = []
+    for k in range(3, min(10, len(rest))):
+        name = rest[k:].lstrip()
+        if name[:2].isalpha() and name[:2].isupper() and not rest[k - 1].isspace():
+            found += [(SequenceMatcher(None, rest[:k].casefold(), t).ratio(), t, name) for t in TITLES]
+    ratio, title, name = max(found, default=(0.0, "", ""))
+    return f"{article} {title} {name}" if ratio >= 0.8 else line
+
+
+def answers(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, person and kind of each answer without words: the last person spoken to in the 400 characters before, with no aside or new heading between."""
+    for m in ANSWER.finditer(text):
+        begin = max(text.rfind(c, max(0, m.start() - 400), m.start()) for c in "():") + 1 or max(0, m.start() - 400)
+        spoken_to = None
+        for spoken_to in ADDRESSED.finditer(text, begin, m.start()):
+            pass
+        if spoken_to is not None:
+            yield spoken_to.start(), m.end(), spoken_to["name"], re.match(r"\w+", text[m.start() + 1 :])[0]
 
 
 def _heading(line: str) -> re.Match | None:
@@ -82,10 +107,18 @@ def _asides(text: str) -> list[tuple[int, int]]:
 def _lines(text: str) -> Iterator[tuple[int, int]]:
     """Where the lines begin and end: also before a heading inside a line, unless it stands in an aside; a heading that is wrapped over up to ten lines is one."""
     asides = _asides(text)
-    cuts = [m.start() for m in INLINE.finditer(text) if not any(a < m.start() < b for a, b in asides)]
+    at = 0  # how many asides are open is a running sum of their ends
+    edges = sorted([(a, 1) for a, _ in asides] + [(b - 1, -1) for _, b in asides])
+    cuts, depth = [], 0
+    for m in INLINE.finditer(text):
+        while at < len(edges) and edges[at][0] < m.start():
+            depth += edges[at][1]
+            at += 1
+        if not depth:
+            cuts.append(m.start())
     edges, at = [], 0
     for raw in text.split("\n"):
-        inside = [c for c in cuts if at < c < at + len(raw)]
+        inside = cuts[bisect_right(cuts, at) : bisect_left(cuts, at + len(raw))]
         edges += list(zip([at, *inside], [*inside, at + len(raw)], strict=True))
         at += len(raw) + 1
     k = 0
@@ -132,14 +165,19 @@ def split_turns(text: str | None) -> list[dict]:
     out = [t | {"text": "\n".join(t.pop("parts"))} for t in turns]
     out = [t for t in out if t["text"]]
 
-    def page_at(offset: int) -> int | None:
-        return next((t["page_start"] for t in reversed(turns) if t["source_start"] <= offset), None)
+    begins = [t["source_start"] for t in turns]
 
-    for kind, pattern in (("interruption", INTERRUPTION), ("nonverbal_response", NONVERBAL), ("nonverbal_response", GESTURE)):
-        for m in pattern.finditer(text):
-            if m["body"].count("\n") <= 4 and not NARRATIVE.search(m["name"]):
-                p = page_at(m.start())
-                out.append({"speaker_heading": m.groupdict().get("heading") or m["name"], "speaker": speaker_name(m["name"]), "text": m["body"].strip(), "source_start": m.start(), "source_end": m.end(), "page_start": p, "page_end": p, "turn_kind": kind})
+    def page_at(offset: int) -> int | None:
+        k = bisect_right(begins, offset)
+        return turns[k - 1]["page_start"] if k else None
+
+    asides = [("interruption", m.start(), m.end(), m["heading"], m["name"], m["body"]) for m in INTERRUPTION.finditer(text)]
+    asides += [("nonverbal_response", a, b, name, name, body) for a, b, name, body in answers(text)]
+    asides += [("nonverbal_response", m.start(), m.end(), m["name"], m["name"], m["body"]) for m in GESTURE.finditer(text)]
+    for kind, a, b, heading, name, body in asides:
+        if body.count("\n") <= 4 and not NARRATIVE.search(name):
+            p = page_at(a)
+            out.append({"speaker_heading": heading, "speaker": speaker_name(name), "text": body.strip(), "source_start": a, "source_end": b, "page_start": p, "page_end": p, "turn_kind": kind})
     out.sort(key=lambda t: (t["source_start"], t["turn_kind"] != "formal_turn"))
     return [t | {"ordinal": i} for i, t in enumerate(out)]
 

@@ -17,7 +17,7 @@ CATEGORIES = {"si": "Sí", "no": "No", "abstencion": "Abstención", "abstencione
 START = r"^comienza la votacion|senores diputados que dijeron «si»:?$"
 LABELS = ("Sí", "No", "Abstención", "Nulo", "No vota")
 NAME = r"^\p{Lu}[\p{L} \-.'’]*, *\p{Lu}[\p{L} \-.'’]*$"
-NOISE = r"^(cve:|diario de sesiones)|^congreso de los diputados$|^pleno y diputacion permanente$|^num\. \d+( .+ pag\. \d+)?$|^pag\. \d+$|^\d{1,2} de \w+ de \d{4}$"
+NOISE = r"^(cve:|diario de sesiones)|^congreso de los diputados$|^pleno y diputacion permanente$|^num\. \d+( (.+ )?pag\. \d+)?$|^pag\. \d+$|^\d{1,2} de \w+ de \d{4}$"
 
 
 def page_lines(docs: DataFrame, pages: str = "pages", first_page: Column | None = None) -> DataFrame:
