@@ -14,11 +14,14 @@ def euro_amount(c: Column) -> Column:
 
 def mixed_amount(c: Column) -> Column:
     """The first number with any separators: the last one is a decimal point if one or two digits follow it."""
-    raw = F.nullif(F.regexp_extract(c, r"(\d[\d.,]*)", 1), F.lit(""))
-    raw = F.regexp_replace(raw, r"[.,]+$", "")
-    fraction = F.regexp_extract(raw, r"[.,](\d{1,2})$", 1)
-    whole = F.regexp_replace(F.when(fraction != "", F.regexp_replace(raw, r"[.,]\d{1,2}$", "")).otherwise(raw), "[.,]", "")
-    return F.when(fraction != "", F.concat_ws(".", whole, fraction)).otherwise(whole).try_cast("double")
+
+    def value(raw: Column) -> Column:
+        last = F.length(F.substring_index(F.translate(raw, ",", "."), ".", -1))
+        places = F.when(raw.rlike("[.,]") & last.between(1, 2), last).otherwise(0)
+        return F.translate(raw, ".,", "").try_cast("double") / F.pow(F.lit(10.0), places)
+
+    raw = F.rtrim(F.nullif(F.regexp_extract(c, r"(\d[\d.,]*)", 1), F.lit("")), F.lit(".,"))
+    return F.transform(F.array(raw), value)[0]  # the pattern is searched once
 
 
 def format_eur(c: Column) -> Column:

@@ -9,12 +9,16 @@ _NUMBER = r"^(\d{2,3})/(\d{1,6})(?:/(\d{1,4}))?$"
 _IN_TEXT = r"(\d{2,3}/\d{1,6}(?:/\d{1,4})?)"
 
 
+def _canonical(c: Column) -> Column:
+    """The parts of a file number, filled with zeros; the text is cut once."""
+    whole = F.transform(F.array(F.split(c, "/")), lambda p: F.concat_ws("/", F.lpad(p[0], 3, "0"), F.lpad(p[1], 6, "0"), F.lpad(F.coalesce(F.get(p, F.lit(2)), F.lit("")), 4, "0")))
+    return whole[0]
+
+
 def file_number(c: Column) -> Column:
     """'121/1' as '121/000001/0000'; other text only trimmed."""
     t = F.trim(c)
-    part = lambda k: F.regexp_extract(t, _NUMBER, k)
-    canonical = F.concat_ws("/", F.lpad(part(1), 3, "0"), F.lpad(part(2), 6, "0"), F.lpad(part(3), 4, "0"))
-    return F.when(t.rlike(_NUMBER), canonical).otherwise(F.nullif(t, F.lit("")))
+    return F.when(t.rlike(_NUMBER), _canonical(t)).otherwise(F.nullif(t, F.lit("")))
 
 
 def file_reference(c: Column) -> Column:
@@ -26,7 +30,7 @@ def file_reference(c: Column) -> Column:
 
 def file_numbers_in(c: Column) -> Column:
     """All file numbers of a text, canonical, each once, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_IN_TEXT), F.lit(1)), file_number))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_IN_TEXT), F.lit(1)), _canonical))
 
 
 def file_prefix(c: Column) -> Column:

@@ -176,23 +176,34 @@ def structured_liabilities(lines: DataFrame) -> DataFrame:
 
 def structured_real_estate(lines: DataFrame, reach: int = 7) -> DataFrame:
     """From a property marker to the purchase marker within `reach` lines: the lines between describe one property."""
+    from pyspark.sql import Window as W
+
     f = fold(F.col("line"))
     opens = f.rlike(r"\b(vivienda|piso|finca|garaje|solar|local|trastero)\b")
     closes = f.rlike("compraventa|herencia|donacion|adquisicion")
-    rows = lines.withColumn("_open", F.when(opens, F.col("pos")))
-    rows = windows.carry_forward(rows, ["doc", "page"], ["pos"], F.when(closes, F.lit(-1)).when(opens, F.col("pos")), "_last", strictly_before=True)
-    starts = rows.where(opens & (F.coalesce("_last", F.lit(-1)) < 0)).select("doc", "page", F.col("pos").alias("start"))
-    ends = lines.where(closes).select("doc", "page", F.col("pos").alias("end"))
-    spans = starts.join(ends, ["doc", "page"]).where(F.col("end").between(F.col("start"), F.col("start") + reach - 1)).groupBy("doc", "page", "start").agg(F.min("end").alias("end"))
-    inside = lines.join(spans, ["doc", "page"]).where(F.col("pos").between(F.col("start"), F.col("end")))
+    rows = windows.carry_forward(lines, ["doc", "page"], ["pos"], F.when(closes, F.lit(-1)).when(opens, F.col("pos")), "_last", strictly_before=True)
+    by = W.partitionBy("doc", "page").orderBy("pos")
+    ahead = F.min(F.when(closes, F.col("pos"))).over(by.rangeBetween(0, reach - 1))
+    span = F.when(opens & (F.coalesce("_last", F.lit(-1)) < 0) & ahead.isNotNull(), F.struct(F.col("pos").alias("start"), ahead.alias("end")))
+    rows = windows.carry_forward(rows, ["doc", "page"], ["pos"], span, "_span")
+    inside = rows.where(F.col("pos") <= F.col("_span.end")).select("doc", "page", F.col("_span.start").alias("start"), "pos", "line")
     parts = F.sort_array(F.collect_list(F.struct("pos", "line")))
     return inside.groupBy("doc", "page", "start").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "; ").alias("description")).withColumns({"family": F.lit("real_estate"), "confidence": F.lit(0.86)})
 
 
-def economic_interests(texts: DataFrame, specs: DataFrame) -> DataFrame:
-    """texts: doc, text. specs: category, tokens (ARRAY<STRING>), a small caller's table. Documents whose text has all tokens of a spec."""
+def economic_interests(texts: DataFrame, specs: DataFrame, *, most: int = 1_000) -> DataFrame:
+    """texts: doc, text. specs: category, tokens (ARRAY<STRING>), a caller's table of at most `most` rows. Documents whose text has all tokens of a spec.
+
+    The specs become part of the expression, so texts are read once and meet no join; more specs are an error.
+    """
+    from hemiciclo.operators.limits import collect_at_most
+
+    wanted = [F.struct(F.lit(r["category"]).alias("category"), F.array(*(fold(F.lit(t)) for t in r["tokens"])).alias("tokens")) for r in collect_at_most(specs.select("category", "tokens"), most)]
+    if not wanted:
+        return texts.select("doc", F.lit(None).cast("string").alias("category")).limit(0)
     folded = texts.select("doc", fold(F.col("text")).alias("f"))
-    return folded.crossJoin(F.broadcast(specs)).where(F.forall("tokens", lambda t: F.contains(F.col("f"), fold(t)))).select("doc", "category")
+    hits = F.filter(F.array(*wanted), lambda s: F.forall(s["tokens"], lambda t: F.contains(F.col("f"), t)))
+    return folded.select("doc", F.explode(F.transform(hits, lambda s: s["category"])).alias("category"))
 
 
 def human_join(*parts: Column) -> Column:

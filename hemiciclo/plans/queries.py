@@ -141,48 +141,24 @@ def redaction(spark, sf):
     return read(spark, sf, "events").select("event_id", F.element_at(m, "Api-Key").alias("api_key"), F.element_at(m, "kind").alias("kind"))
 
 
-@query("""
-SELECT c_custkey, c_name, c_mktsegment, n_name AS constituency FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_mktsegment), 'build') AND (c_acctbal < 0 OR c_custkey % 7 <> 0)
-  AND (c_custkey % 3 = 0 OR c_custkey % 15 + 1 IN (14, 15))""")
-def domain_filter(spark, sf):
-    return _domain_filter(spark, sf, read(spark, sf, "customer").where("c_acctbal < 0 or c_custkey % 7 <> 0"))
-
-
 @query("""
 SELECT c_custkey, c_name, c_mktsegment, n_name AS constituency FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_mktsegment), 'build')
   AND (c_custkey % 3 = 0 OR c_custkey % 15 + 1 IN (14, 15))""")
-def domain_filter_all(spark, sf):
-    return _domain_filter(spark, sf, read(spark, sf, "customer"))
-
-
-def _domain_filter(spark, sf, customers: DataFrame) -> DataFrame:
+def domain_filter(spark, sf):
     n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("constituency"))
-    c = customers.join(F.broadcast(n), "c_nationkey")
+    c = read(spark, sf, "customer").join(n, "c_nationkey")
     c = c.withColumn("legislature", F.when(F.col("c_custkey") % 3 == 0, None).otherwise((F.col("c_custkey") % 15 + 1).cast("string"))).withColumn("parliamentary_group", F.col("c_mktsegment"))
     kept = c.where(filters.matches(c, {"parliamentary_group": "Build"}, legislatures=("XIV", "XV")))
     return kept.select("c_custkey", "c_name", "c_mktsegment", "constituency")
 
 
-@query(f"""
-WITH p AS (SELECT p_partkey, list_distinct(regexp_extract_all({FOLD.format("p_name")}, '[a-z0-9]+')) AS t FROM part),
-w AS (SELECT DISTINCT p_type, list_filter(list_distinct(regexp_extract_all({FOLD.format("split_part(p_name, ' ', 1)")}, '[a-z0-9]+')), lambda x: NOT list_contains({STOP}, x)) AS t FROM part WHERE p_partkey <= 20)
-SELECT DISTINCT p_partkey, p_type, len(list_filter(p.t, lambda x: NOT list_contains({STOP}, x))) = len(w.t) AS matched_exactly FROM p JOIN w ON len(w.t) > 0 AND list_has_all(p.t, w.t)""")
-def token_subset_join(spark, sf):
-    part = read(spark, sf, "part")
-    return _token_subset_join(part, part.where("p_partkey <= 20"))
-
-
 @query(f"""
 WITH p AS (SELECT p_partkey, list_distinct(regexp_extract_all({FOLD.format("p_name")}, '[a-z0-9]+')) AS t FROM part),
 w AS (SELECT DISTINCT p_type, list_filter(list_distinct(regexp_extract_all({FOLD.format("split_part(p_name, ' ', 1)")}, '[a-z0-9]+')), lambda x: NOT list_contains({STOP}, x)) AS t FROM part)
 SELECT DISTINCT p_partkey, p_type, len(list_filter(p.t, lambda x: NOT list_contains({STOP}, x))) = len(w.t) AS matched_exactly FROM p JOIN w ON len(w.t) > 0 AND list_has_all(p.t, w.t)""")
-def token_subset_join_all(spark, sf):
+def token_subset_join(spark, sf):
     part = read(spark, sf, "part")
-    return _token_subset_join(part, part)
-
-
-def _token_subset_join(part: DataFrame, chosen: DataFrame) -> DataFrame:
-    wanted = chosen.select("p_type", F.split("p_name", " ")[0].alias("wanted")).distinct()
+    wanted = part.select("p_type", F.split("p_name", " ")[0].alias("wanted")).distinct()
     return joins.token_subset_join(part.select("p_partkey", "p_name"), wanted, name="p_name", wanted_name="wanted", exact_first=False).select("p_partkey", "p_type", "matched_exactly").distinct()
 
 
@@ -203,17 +179,10 @@ def resume_pending(spark, sf):
     return joins.pending(plan, read(spark, sf, "labels"), ["doc_id"], at="quality", valid=F.col("quality") == 1)
 
 
-@query("""
-SELECT count(e) AS expected, count(a) AS actual, count(*) FILTER (a IS NULL) AS missing, count(*) FILTER (e IS NULL) AS unexpected, count(*) FILTER (a > 1) AS duplicates
-FROM (SELECT doc_id, count(*) e FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1) x FULL JOIN (SELECT doc_id, count(*) a FROM labels GROUP BY 1) y USING (doc_id)""")
-def reconcile(spark, sf):
-    return joins.reconcile(read(spark, sf, "documents").where("doc_id % 3 <> 0"), read(spark, sf, "labels"), ["doc_id"])
-
-
 @query("""
 SELECT count(e) AS expected, count(a) AS actual, count(*) FILTER (a IS NULL) AS missing, count(*) FILTER (e IS NULL) AS unexpected, count(*) FILTER (a > 1) AS duplicates
 FROM (SELECT doc_id, count(*) e FROM documents GROUP BY 1) x FULL JOIN (SELECT doc_id, count(*) a FROM labels GROUP BY 1) y USING (doc_id)""")
-def reconcile_all(spark, sf):
+def reconcile(spark, sf):
     return joins.reconcile(read(spark, sf, "documents"), read(spark, sf, "labels"), ["doc_id"])
 
 
@@ -230,28 +199,15 @@ def interval_pages(spark, sf):
     return joins.range_join(points, pages, ["doc_id"], at="start", start="from", end="to").select("doc_id", "line_no", "start", "page")
 
 
-@query("""
-WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-b AS (SELECT label, vec_id AS box_id, x - 0.05 - (vec_id % 3) * 0.05 AS x0, y - 0.05 - (vec_id % 3) * 0.05 AS y0, x + 0.1 AS x1, y + 0.1 AS y1 FROM p WHERE vec_id % 5 = 0),
-h AS (SELECT p.vec_id, box_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY (x1 - x0) * (y1 - y0), box_id) AS k FROM p JOIN b ON p.label = b.label AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)
-SELECT p.vec_id, box_id FROM p LEFT JOIN h ON h.vec_id = p.vec_id AND k = 1""")
-def containment_argmin(spark, sf):
-    return _containment_argmin(spark, sf, "vec_id % 5 = 0")
-
-
 @query("""
 WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 b AS (SELECT label, vec_id AS box_id, x - 0.05 - (vec_id % 3) * 0.05 AS x0, y - 0.05 - (vec_id % 3) * 0.05 AS y0, x + 0.1 AS x1, y + 0.1 AS y1 FROM p),
 h AS (SELECT p.vec_id, box_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY (x1 - x0) * (y1 - y0), box_id) AS k FROM p JOIN b ON p.label = b.label AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)
 SELECT p.vec_id, box_id FROM p LEFT JOIN h ON h.vec_id = p.vec_id AND k = 1""")
-def containment_argmin_all(spark, sf):
-    return _containment_argmin(spark, sf, "true")
-
-
-def _containment_argmin(spark, sf, boxed: str) -> DataFrame:
+def containment_argmin(spark, sf):
     p = read(spark, sf, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
     m = (F.col("vec_id") % 3) * 0.05
-    b = p.where(boxed).select("label", F.col("vec_id").alias("box_id"), F.array(F.col("x") - 0.05 - m, F.col("y") - 0.05 - m, F.col("x") + 0.1, F.col("y") + 0.1).alias("box"))
+    b = p.select("label", F.col("vec_id").alias("box_id"), F.array(F.col("x") - 0.05 - m, F.col("y") - 0.05 - m, F.col("x") + 0.1, F.col("y") + 0.1).alias("box"))
     return joins.smallest_container(p, b, ["label"], x="x", y="y", box="box", order=["box_id"]).select("vec_id", "box_id")
 
 
@@ -260,7 +216,7 @@ SELECT o_orderkey, o_totalprice FROM orders o WHERE NOT EXISTS (SELECT 1 FROM li
 def overlap_suppress(spark, sf):
     g = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")
     s = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_extendedprice")
-    out = joins.suppress_overlaps(g, s, ["k"], F.abs(F.col("s.l_extendedprice") - F.col("g.o_totalprice")) <= 20000)
+    out = joins.suppress_overlaps(g, s, ["k"], F.abs(F.col("s.l_extendedprice") - F.col("g.o_totalprice")) <= 20000, near=("o_totalprice", "l_extendedprice", 20000.0))
     return out.select(F.col("k").alias("o_orderkey"), "o_totalprice")
 
 
@@ -473,25 +429,19 @@ def deputy_rows(spark, sf):
 SELECT c_custkey AS deputy_id, c_name AS full_name, c_mktsegment AS parliamentary_group, n_name AS constituency FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING'""")
 def deputy_search(spark, sf):
     n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("constituency"))
-    people = read(spark, sf, "customer").join(F.broadcast(n), "c_nationkey").select(F.col("c_custkey").alias("deputy_id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("parliamentary_group"), "constituency")
+    people = read(spark, sf, "customer").join(n, "c_nationkey").select(F.col("c_custkey").alias("deputy_id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("parliamentary_group"), "constituency")
     return services.search(people, services.Query(filters={"parliamentary_group": "building"}, max_results=None), identity="deputy_id", service="deputies")
 
 
-@query("""SELECT o_orderkey AS doc, CAST(3 AS INT) AS present, true AS reconciled, CAST(3 AS BIGINT) AS n FROM orders WHERE o_orderkey % 10 = 0""")
+@query("""SELECT o_orderkey AS doc, CAST(3 + o_orderkey % 2 AS INT) AS present, o_orderkey % 3 <> 0 AS reconciled, CAST(3 + o_orderkey % 2 AS BIGINT) AS n, CAST(o_orderkey AS INT) AS vote_number, CAST(o_orderdate AS DATE) AS vote_date FROM orders""")
 def vote_sheets(spark, sf):
-    return _vote_sheets(read(spark, sf, "orders").where("o_orderkey % 10 = 0"))
-
-
-@query("""SELECT o_orderkey AS doc, CAST(3 AS INT) AS present, true AS reconciled, CAST(3 AS BIGINT) AS n FROM orders""")
-def vote_sheets_all(spark, sf):
-    return _vote_sheets(read(spark, sf, "orders"))
-
-
-def _vote_sheets(orders: DataFrame) -> DataFrame:
-    first = F.concat(F.lit("1 Votación: Sesión: 2 Fecha: "), F.date_format("o_orderdate", "d-M-yyyy"), F.lit("\nPresentes Sí No Abstenciones No votan\n3 2 1 0 0"))
-    second = F.lit("Sí\nGrupo Uno\n-Pérez Gil, Ana 12\n-Ruiz Sol, Luis TELEMÁTICO\nNo\n-Vega Paz, Eva 7")
-    docs = orders.select(F.col("o_orderkey").alias("doc"), "o_orderdate", F.array(first, second).alias("pages"))
-    return votes_text.reconciled_sheets(docs).select("doc", "present", "reconciled", F.col("rows").alias("n"))
+    """Sheets of two sizes; every third one's totals are not those of its names."""
+    k = F.col("o_orderkey")
+    total = F.concat((3 + k % 2).cast("string"), F.when(k % 3 == 0, " 3 ").otherwise(" 2 "), F.when(k % 3 == 0, "0 ").otherwise("1 "), (k % 2).cast("string"), F.lit(" 0"))
+    first = F.concat(k.cast("string"), F.lit(" Votación: Sesión: 2 Fecha: "), F.date_format("o_orderdate", "d-M-yyyy"), F.lit("\nPresentes Sí No Abstenciones No votan\n"), total)
+    second = F.concat_ws("\n", F.lit("Sí\nGrupo Uno\n-Pérez Gil, Ana 12\n-Ruiz Sol, Luis TELEMÁTICO\nNo\n-Vega Paz, Eva 7"), F.when(k % 2 == 1, "Abstenciones\n-Mar Río, Noa 9"))
+    docs = read(spark, sf, "orders").select(k.alias("doc"), F.array(first, second).alias("pages"))
+    return votes_text.reconciled_sheets(docs).select("doc", "present", "reconciled", F.col("rows").alias("n"), "vote_number", "vote_date")
 
 
 @query("SELECT c_nationkey AS legislature, count(*) AS total, CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages, max(n) AS last FROM (SELECT c_nationkey, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) GROUP BY 1")
@@ -529,27 +479,37 @@ def stream_dedup(spark, sf):
 @query("SELECT o_orderstatus, o_orderkey, o_custkey FROM orders")
 def json_records(spark, sf):
     o = read(spark, sf, "orders")
-    files = o.groupBy((F.col("o_orderkey") % 50).alias("f")).agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_orderstatus"))).alias("content"))
+    files = o.groupBy(F.floor(F.col("o_orderkey") / 50).alias("f")).agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_orderstatus"))).alias("content"))
     r = lambda k: F.element_at("record", k)
     return records.json_records(files).select(r("o_orderstatus").alias("o_orderstatus"), r("o_orderkey").cast("long").alias("o_orderkey"), r("o_custkey").cast("long").alias("o_custkey"))
 
 
 @query("SELECT item_id, doc_id, CAST(instr(d.text, b.text) - 1 AS INT) AS first_at FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_evidence(spark, sf):
-    """Quotes of eight words or more are found by words two to seven, then confirmed: an equi-join, not every quote against every text.
+    """Quotes of three words or more are found by their words but the first and the last, at most six, then confirmed: an equi-join on a hash.
 
-    Shorter quotes have no such words inside; each is looked for in every text.
+    Words at a quote's ends may be parts of a text's words, those inside are whole. Quotes of fewer words have none
+    inside; they are the stated query set, each looked for in every text.
     """
-    n = 8
-    words = lambda c: F.split(c, " ")
-    grams = read(spark, sf, "documents").select("doc_id", "text", words(F.regexp_replace("text", "\n", " ")).alias("w"))
-    grams = grams.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(n - 2)), " ")))).alias("g"))
-    quotes = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"), words(F.regexp_replace("text", "\n", " ")).alias("w"))
-    long = quotes.where(F.size("w") >= n).select("item_id", "quote", F.array_join(F.slice("w", 2, n - 2), " ").alias("g"))
-    short = quotes.where(F.size("w") < n).select("item_id", "quote")
-    holds = F.contains("text", F.col("quote"))
-    found = grams.join(long, "g").where(holds).drop("g").unionByName(read(spark, sf, "documents").select("doc_id", "text").join(short, holds))
-    return found.select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("first_at")).distinct()
+    most = 6
+    words = lambda c: F.split(F.regexp_replace(c, "\n", " "), " ")
+    gram = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
+    quotes = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"), words(F.col("text")).alias("w"))
+    long = quotes.where(F.size("w") > 2).select("item_id", F.least(F.size("w") - 2, F.lit(most)).alias("n"), "w").select("item_id", "n", gram(F.col("w"), 2, F.col("n")).alias("g"))
+    sizes = [r.n for r in long.select("n").distinct().collect()]  # six at most
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    found = None
+    for n in sizes:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        grams = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: gram(F.col("w"), i, F.lit(n))))).alias("g"))  # noqa: B023
+        hits = grams.join(long.where(F.col("n") == n).select("item_id", "g"), "g").select("doc_id", "item_id")
+        found = hits if found is None else found.union(hits)
+    at = (F.instr("text", F.col("quote")) - 1).alias("first_at")
+    short = docs.join(quotes.where(F.size("w") < 3).select("item_id", "quote"), F.contains("text", F.col("quote"))).select("item_id", "doc_id", at)
+    if found is None:
+        return short
+    pairs = found.distinct().join(quotes.select("item_id", "quote"), "item_id").join(docs, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id", at)
+    return pairs.union(short)
 
 
 # These register their own queries here.

@@ -38,11 +38,11 @@ CATALOG_SQL = """
 SELECT o_orderkey, 'votos' AS family, CASE o_orderkey % 4 WHEN 0 THEN 'Votacion' WHEN 1 THEN 'SesionVotaciones' ELSE 'Pleno' END AS dataset, CASE o_orderkey % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'zip' ELSE 'csv' END AS format,
   CASE WHEN o_orderkey % 4 IN (0, 2) THEN strftime(o_orderdate, '%Y%m%d') || '101112' END AS snapshot_token, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey % 5 + 11 AS VARCHAR) WHEN 1 THEN '15' END AS legislature,
   CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_custkey AS VARCHAR) END AS session, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS vote_number FROM orders WHERE o_orderkey % 4 <> 3"""
-_KEY = F.regexp_extract("url", r"(?:VOT_|_)(\d+)\.(?:zip|csv)$", 1)
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.select(F.coalesce("vote_number", _KEY).cast("long").alias("o_orderkey"), "family", "dataset", "format", "snapshot_token", "legislature", "session", "vote_number")
+    key = F.regexp_extract("url", r"(?:VOT_|_)(\d+)\.(?:zip|csv)$", 1)
+    return rows.select(F.coalesce("vote_number", key).cast("long").alias("o_orderkey"), "family", "dataset", "format", "snapshot_token", "legislature", "session", "vote_number")
 
 
 @query(CATALOG_SQL)

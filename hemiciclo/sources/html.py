@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 HIDDEN = frozenset({"script", "style", "noscript", "template", "svg"})
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: What an open element is closed by when one of the same kind begins beside it; it stands in one of the others.
+SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "p": ({"p"}, {"div", "td", "th", "li", "body", "section", "article", "blockquote"})}
+#: Elements further down hang on the last one above, so that a page's paths stay short.
+MAX_DEPTH = 256
 SCHEMA = "struct<visible_text: string, links: array<struct<text: string, url: string>>, content_selector: string, quality_issues: array<string>, projection: array<struct<start: int, end: int, path: string>>>"
 _LINE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("path", pa.string())])
 _KIND = pa.struct([("visible_text", pa.string()), ("links", pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())]))), ("content_selector", pa.string()), ("quality_issues", pa.list_(pa.string())), ("projection", pa.list_(_LINE))])
@@ -35,6 +39,16 @@ class _Reader(HTMLParser):
         self.transcripts = 0
 
     def handle_starttag(self, tag, attrs):
+        if tag in SIBLINGS:
+            kinds, walls = SIBLINGS[tag]
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] in walls:
+                    break
+                if self.open[k][0] in kinds:
+                    self._close(k)
+                    break
+        if len(self.open) >= MAX_DEPTH and tag not in VOID:
+            self._close(MAX_DEPTH - 1)
         seen = self.counts[-1]
         seen[tag] = seen.get(tag, 0) + 1
         if tag in VOID:
@@ -48,13 +62,15 @@ class _Reader(HTMLParser):
         if tag == "a" and known.get("href"):
             self.anchor = [known["href"], []]
 
+    def _close(self, k):
+        """The open elements from the k-th on."""
+        del self.open[k:], self.paths[k + 1 :], self.counts[k + 1 :]
+
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.open):
-            while True:
-                self.paths.pop()
-                self.counts.pop()
-                if self.open.pop()[0] == tag:
-                    break
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                self._close(k)
+                break
         if tag == "a" and self.anchor is not None:
             if text := _squeeze(" ".join(self.anchor[1])):
                 self.links.append((text, self.anchor[0]))
@@ -92,6 +108,6 @@ def visible_html(df: DataFrame, column: str, *, base_url: str = "https://www.con
     @F.arrow_udf(SCHEMA)
     def parse(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in pages:
-            yield pa.array([read_visible(p, base_url=base_url, container=container) for p in batch.to_pylist()], _KIND)
+            yield pa.concat_arrays([pa.array([read_visible(p, base_url=base_url, container=container) for p in batch.slice(at, 64).to_pylist()], _KIND) for at in range(0, max(1, len(batch)), 64)])
 
     return df.withColumn(out, parse(column))

@@ -1,4 +1,4 @@
-"""The queries on whole tables leave no row out: those named ..._all beside a query whose SQL reads a part."""
+"""Queries that once read a part of their tables leave no row out."""
 
 from __future__ import annotations
 
@@ -8,25 +8,25 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_vote_sheets_of_every_order(spark):
-    sheets, orders = queries.QUERIES["vote_sheets_all"](spark, SF), queries.read(spark, SF, "orders")
+    sheets, orders = queries.QUERIES["vote_sheets"](spark, SF), queries.read(spark, SF, "orders")
     assert sorted(r.doc for r in sheets.collect()) == sorted(r.o_orderkey for r in orders.collect())
 
 
 def test_every_part_is_a_wanted_name(spark):
-    found = {(r.p_partkey, r.p_type) for r in queries.QUERIES["token_subset_join_all"](spark, SF).collect()}
+    found = {(r.p_partkey, r.p_type) for r in queries.QUERIES["token_subset_join"](spark, SF).collect()}
     assert {(r.p_partkey, r.p_type) for r in queries.read(spark, SF, "part").collect()} <= found
 
 
 def test_every_vector_has_a_box(spark):
-    found = queries.QUERIES["containment_argmin_all"](spark, SF)
+    found = queries.QUERIES["containment_argmin"](spark, SF)
     assert found.count() == queries.read(spark, SF, "embeddings").where("label is not null").count() == found.where("box_id is not null").count()
 
 
 def test_every_document_is_expected(spark):
-    assert queries.QUERIES["reconcile_all"](spark, SF).first()["expected"] == queries.read(spark, SF, "documents").select("doc_id").distinct().count()
+    assert queries.QUERIES["reconcile"](spark, SF).first()["expected"] == queries.read(spark, SF, "documents").select("doc_id").distinct().count()
 
 
 def test_customers_of_every_id_and_balance(spark):
-    found = {r.c_custkey for r in queries.QUERIES["domain_filter_all"](spark, SF).collect()}
+    found = {r.c_custkey for r in queries.QUERIES["domain_filter"](spark, SF).collect()}
     left_out = {r.c_custkey for r in queries.read(spark, SF, "customer").where("c_mktsegment = 'BUILDING' and c_custkey % 7 = 0 and c_acctbal >= 0 and (c_custkey % 3 = 0 or c_custkey % 15 >= 13)").collect()}
     assert left_out and left_out <= found
