@@ -188,7 +188,9 @@ def judge_quality(docs: DataFrame, model: QualityModel | None, *, id_col: str =
 
     base_failed: fewer than `min_words` words, or more than half of the words in repeated 3-word windows. Of the
     others, those whose probability of good quality is at least `threshold` are kept; without a model (no labels of
-    both kinds) all are. NULL and empty texts have no words and fail. One narrow pass over whole texts.
+    both kinds) all are; a probability that equals the threshold is kept. NULL and empty texts have no words and fail.
+    Repeated rows are judged each; other columns, whatever their names, are not read; an empty table gives no rows. One
+    narrow pass over whole texts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"]

@@ -1,8 +1,6 @@
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -10,32 +8,7 @@ import pytest
 
 from hemiciclo.llm import langid
 from hemiciclo.llm.queries import op9_language
-from llm_helpers import DOCS, SF1
-
-
-def brute(texts: list[tuple[str, str]], lang: str, text: str, order: int = 4) -> float:
-    """Bits of the whole text, byte by byte, after training on whole texts of `lang`."""
-    counts: dict[bytes, Counter] = defaultdict(Counter)
-    for who, t in texts:
-        raw = t.encode()
-        if who == lang:
-            for i in range(len(raw)):
-                for k in range(min(order, i) + 1):
-                    counts[raw[i - k : i]][raw[i]] += 1
-    raw, bits = text.encode(), 0.0
-    for i in range(len(raw)):
-        for k in range(min(order, i), -1, -1):
-            c = counts.get(raw[i - k : i])
-            if not c:
-                continue
-            total = sum(c.values()) + len(c)
-            if raw[i] in c:
-                bits -= math.log2(c[raw[i]] / total)
-                break
-            bits -= math.log2(len(c) / total)
-        else:
-            bits += langid.FLAT_BITS
-    return bits
+from llm_helpers import DOCS, SF1, code_lengths
 
 
 TRAIN = [("en", "The other day, then the 2 others."), ("en", "the end\nof it all; a man, a plan"), ("de", "Der Tag, an dem die Tür der Halle zu war."), ("de", "über 12 % der Leute"), ("zz", "a")]
@@ -56,7 +29,7 @@ def test_code_lengths_of_whole_texts(monkeypatch, cells):
     trees = trained(TRAIN)
     texts = ["the man of 12 halls", "über die Tür, the end", "zebra 漢字 \x00\t..", "", "a", "The other day, then the 2 others."]
     got = trees.of_texts(*langid.text_bytes(pa.array(["cut", *texts, None])[1:]))
-    assert got == pytest.approx(np.array([[brute(TRAIN, lang, t) for lang in trees.langs] for t in [*texts, ""]]), rel=1e-5)
+    assert got == pytest.approx(np.array([[code_lengths(TRAIN, trees.langs, t)[k] for k in range(len(trees.langs))] for t in [*texts, ""]]), rel=1e-5)
 
 
 def test_query_equals_brute_force(spark):
@@ -67,7 +40,7 @@ def test_query_equals_brute_force(spark):
     assert len(rows) == len(docs)
     langs = sorted({lang for lang, _ in train})
     for r in sorted(docs, key=lambda r: len(r.text))[:20]:
-        bits = [brute(train, lang, r.text) for lang in langs]
+        bits = code_lengths(train, langs, r.text)
         assert rows[r.doc_id].lang_pred == langs[int(np.argmin(bits))] and rows[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
         assert rows[r.doc_id].score == pytest.approx(1 / sum(2 ** (min(bits) - b) for b in bits), abs=1e-2)
 

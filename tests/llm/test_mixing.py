@@ -4,25 +4,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from hemiciclo.llm.common import range_offsets
 from hemiciclo.llm.mixing import mix, mixed_documents, source_targets
-from llm_helpers import DOCS, SF2, words
-
-
-def filled(sizes: list[int], weights: list[int]) -> list[float]:
-    """Targets by repeated resharing."""
-    target, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while free:
-        total = sum(weights[i] for i in free)
-        over = {i for i in free if left * weights[i] / total > 3 * sizes[i]}
-        if not over:
-            for i in free:
-                target[i] = left * weights[i] / total
-            break
-        for i in over:
-            target[i] = 3.0 * sizes[i]
-        left -= sum(target[i] for i in over)
-        free -= over
-    return target
+from llm_helpers import DOCS, SF2, filled, mixed, words
 
 
 @settings(max_examples=12, deadline=None)
@@ -36,7 +20,9 @@ def test_targets(spark, sizes):
 def test_documents_mix(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet")
     rows = mix(docs, range_rows=7).collect()
-    assert rows == sorted(mix(docs, range_rows=7).collect(), key=rows.index) or {tuple(r) for r in rows} == {tuple(r) for r in mix(docs).collect()}
+    for again in (mix(docs, range_rows=7), mix(docs.repartition(5)), mix(docs.orderBy(docs.text), range_rows=3)):
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
+    assert {r.doc_id: r.taken for r in rows} == mixed([(r.doc_id, r.text, r.source) for r in docs.collect()])
     sources, taken, target = {r.doc_id: r.source for r in docs.collect()}, {}, {}
     for r in rows:
         assert 0 <= r.taken <= 3 * r.size
@@ -54,3 +40,16 @@ def test_edges(spark):
     copies = mixed_documents(docs.withColumn("n", docs.n_chars).selectExpr("*", "1 as size", "2 as range", "3 as key"))
     assert copies.columns == ["doc_id", "text", "lang", "source", "n_chars", "n", "size", "range", "key"]
     assert all(words(r.text) for r in copies.collect())
+
+
+def test_range_offsets_in_two_levels(spark):
+    rows = [(g, at, (at * 7) % 5) for g in ("a", None) for at in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, "source string, range long, words long")
+    got = {(r.source, r.range): r.offset for r in range_offsets(df, "source", "range", "words", fan=7).collect()}
+    assert got == {(g, at): sum(w for h, b, w in rows if h == g and b < at) for g, at, _ in rows}
+    assert range_offsets(df.where("false"), "source", "range", "words").count() == 0
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "x", "a", 0), (2, "one two", "x", "b", 0)], DOCS)
+    assert {r.doc_id: (r.size, r.taken) for r in mix(docs).collect()} == {i: (n, t) for i, n, t in ((1, 300_000, 300_000 - 4), (2, 2, 6))}

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hemiciclo.llm import quality
-from llm_helpers import DOCS, words
+from hemiciclo.llm.queries import op8_quality
+from llm_helpers import DOCS, SF1, words
 
 
 def statistics(text: str) -> tuple:
@@ -54,3 +57,37 @@ def test_edges(spark):
     out = [(r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality.judge_quality(docs, quality.train_quality(docs, none)).collect()]
     assert out == [(1, 0, True, False), (2, 0, True, False), (2, 60, True, False), (None, 9000, False, True)]
     assert quality.judge_quality(docs.where("false"), None).count() == 0
+
+
+def hashed(text: str) -> np.ndarray:
+    """Shares of the two kinds of n-grams, one hash at a time."""
+    mix, base, top = int(quality.MIX), int(quality.BASE), (1 << 64) - 1
+    row = np.zeros(2 * quality.HALF)
+    grams = [((ord(a) | ord(b) << 21 | ord(c) << 42) & top) * mix % (1 << 64) >> (65 - quality.BITS) for a, b, c in zip(text, text[1:], text[2:], strict=False)]
+    one = [sum((ord(c) + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) % (1 << 64) for w in words(text)]
+    one = [(h ^ h >> 32) * mix % (1 << 64) for h in one]
+    two = [(a * mix % (1 << 64)) ^ b for a, b in zip(one, one[1:], strict=False)]
+    both = [quality.HALF + (h >> (65 - quality.BITS)) for h in one + [(h ^ h >> 32) * mix % (1 << 64) for h in two]]
+    for part in (grams, both):
+        for h in part:
+            row[h] += 1 / len(part)
+    return row
+
+
+def test_query_equals_brute_force(spark):
+    """Every probability and verdict of op8 at the smallest size, from n-grams hashed one by one and the fitted weights."""
+    docs, labels = spark.read.parquet(f"{SF1}/documents.parquet"), spark.read.parquet(f"{SF1}/labels.parquet")
+    model = quality.train_quality(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = {r.doc_id: r for r in op8_quality(spark, SF1).collect()}
+    assert set(rows) == set(texts) and len({r.kept for r in rows.values()}) == 2
+    for i, text in texts.items():
+        z = model.bias + float(hashed(text) @ model.weights)
+        p = 1 / (1 + np.exp(-(model.slope * z + model.intercept)))
+        assert rows[i].probability == pytest.approx(p, abs=1e-4)
+        w = words(text)
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {k + d for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        assert (rows[i].n_words, rows[i].n_repeat_words, rows[i].base_failed) == (len(w), len(again), failed)
+        assert rows[i].kept == (not failed and rows[i].probability >= quality.THRESHOLD)
