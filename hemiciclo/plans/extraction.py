@@ -148,3 +148,47 @@ def model_candidates(texts: DataFrame, task: Task, backends: Sequence[Callable[[
     found = windows.mapInArrow(run, f"`{key}` {kind}, {_FOUND}")
     evidence = F.array_sort(F.collect_set(F.when(F.col("error").isNull(), F.struct("start", "end", "literal"))))
     return found.groupBy(key, "kind", "value", "error").agg(F.max("confidence").alias("confidence"), evidence.alias("evidence")).withColumn("status", F.lit(REVIEW))
+
+
+def entity_backend(pipeline: Callable[[str], object], labels: Sequence[str] = ()) -> Callable[[Task, str], dict]:
+    """A backend of a named-entity pipeline: its document has `ents` with `text` and `label_`; other labels than the wanted ones go."""
+
+    def backend(task: Task, text: str) -> dict:
+        return {"candidates": [{"kind": e.label_, "value": e.text, "quote": e.text, "confidence": None} for e in pipeline(text).ents if not labels or e.label_ in labels]}
+
+    return backend
+
+
+def generative_backend(generate: Callable[[str, str], str], kind: str = "text") -> Callable[[Task, str], dict]:
+    """A backend of a model that answers in free text: never literal, as nothing says where in the source it stands."""
+
+    def backend(task: Task, text: str) -> dict:
+        return {"candidates": [{"kind": kind, "value": line, "quote": None, "confidence": None} for line in generate(task.instructions, text).splitlines() if line.strip()]}
+
+    return backend
+
+
+#: What a provider's answer must look like.
+ANSWER_SCHEMA = {
+    "type": "object", "required": ["candidates"], "additionalProperties": False,
+    "properties": {"candidates": {"type": "array", "items": {"type": "object", "required": ["kind", "value"], "properties": {"kind": {"type": "string"}, "value": {"type": "string"}, "quote": {"type": ["string", "null"]}, "confidence": {"type": ["number", "null"], "minimum": 0, "maximum": 1}}}}},
+}
+
+
+def provider_backend(call: Callable[[str, str, dict], object], model: str) -> Callable[[Task, str], object]:
+    """A backend of a provider's client: `call(model, prompt, schema)` answers as JSON; the client and its key are the caller's."""
+
+    def backend(task: Task, text: str) -> object:
+        return call(model, f"{task.instructions}\n\n{text}", ANSWER_SCHEMA)
+
+    return backend
+
+
+def discover(registry: Registry, group: str) -> list[str]:
+    """Registers the backends that installed packages name as entry points of `group`; returns their names. One that cannot be loaded is an error."""
+    from importlib.metadata import entry_points
+
+    found = sorted(entry_points(group=group), key=lambda e: e.name)
+    for e in found:
+        registry.register(e.name, e.load())
+    return [e.name for e in found]

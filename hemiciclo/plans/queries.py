@@ -513,4 +513,4 @@ def quote_evidence(spark, sf):
 
 
 # These register their own queries here.
-from hemiciclo.plans import queries_domains, queries_rules, queries_sources, queries_text  # noqa: E402, F401
+from hemiciclo.plans import queries_domains, queries_pages, queries_rules, queries_sources, queries_text  # noqa: E402, F401
