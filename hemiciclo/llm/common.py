@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -13,32 +13,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hemiciclo.session import shared_dir
+
 #: A word everywhere in this package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as in
-    tests on one machine, an own temporary folder is made and removed at exit.
-    """
-    if not (named := spark.conf.get("spark.checkpoint.dir", None)):
-        named = tempfile.mkdtemp(prefix="hemiciclo-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+_held: dict[str, Callable[[], object]] = {}
 
 
-_held: dict[str, Callable[[], object]] = {}
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where its allocator can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def hold(owner: str, forget: Callable[[], object]) -> None:
     """In a Python worker: what `owner` remembers from task to task may stay, what others left is forgotten, so that a worker that serves many stages holds one memory."""
-    for other in [k for k in _held if k != owner]:
-        _held.pop(other)()
-        pa.default_memory_pool().release_unused()
+    if others := [k for k in _held if k != owner]:
+        for other in others:
+            _held.pop(other)()
+        give_back()
     _held[owner] = forget
 
 

@@ -27,7 +27,7 @@ REJECT = 0.7
 #: Examples of a block; terms that more than one in DENSE examples has stand in a matrix, others in posting lists.
 BLOCK, DENSE = 64, 32
 #: Characters whose terms are made at a time, documents that are searched at a time.
-CHUNK, BATCH = 1 << 20, 256
+CHUNK, BATCH = 1 << 18, 256
 _MIX, _BASE, _PART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
