@@ -232,11 +232,9 @@ def nth_match(spark, sf):
 
 
 @query("""
-SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(DISTINCT role) = 1 UNION ALL SELECT user_id + 1000000000 FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = 1""")
+SELECT l_orderkey, min(l_suppkey) AS l_suppkey, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1""")
 def unique_role(spark, sf):
-    c = aggregates.unique_values(read(spark, sf, "conversations"), ["conv_id"], "role", "turn").select("conv_id")
-    e = aggregates.unique_values(read(spark, sf, "events"), ["user_id"], "event_type", "event_id").select((F.col("user_id") + 1000000000).alias("conv_id"))
-    return c.union(e)
+    return aggregates.unique_values(read(spark, sf, "lineitem"), ["l_orderkey"], "l_suppkey", "l_linenumber").select("l_orderkey", "l_suppkey", "l_linenumber")
 
 
 @query("""

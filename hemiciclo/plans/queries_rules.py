@@ -310,7 +310,8 @@ def matched_interventions(spark, sf):
 @query("""
 WITH e AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)
 SELECT CAST(count(*) * 2 AS BIGINT) AS expected, CAST(count(*) * 2 AS BIGINT) AS actual, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS different, true AS passed, false AS broken, (SELECT count(*) FROM customer) AS records, CAST(1 AS BIGINT) AS datasets, true AS owned, false AS all_datasets, (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0) AS anomalies,
-  CAST(count(*) AS BIGINT) AS profiles_expected, CAST(0 AS BIGINT) AS shared_documents, true AS profiles_passed, CAST(0 AS BIGINT) AS foreign_dates, true AS discovered, true AS inventories FROM e""")
+  CAST(count(*) AS BIGINT) AS profiles_expected, CAST(0 AS BIGINT) AS shared_documents, true AS profiles_passed, CAST(0 AS BIGINT) AS foreign_dates, true AS discovered, true AS inventories, (SELECT count(*) FROM customer WHERE c_custkey % 9 = 0) AS bad_type, (SELECT count(*) FROM customer WHERE c_custkey % 5 = 0) AS bad_request, (SELECT count(*) FROM customer WHERE c_custkey % 4 = 0) AS foreign_url, (SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) AS bad_hash,
+  false AS one_manifest_each, (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey % 3 = 0) AS completed_without_votes, CAST(0 AS BIGINT) AS unplanned_resources FROM e""")
 def source_audits(spark, sf):
     """The audits of acquired sources: organs in two formats that hold the same rows (and once with a row changed), initiative owners, profiles, vote discovery, inventories."""
     c = read(spark, sf, "customer").withColumn("slug", F.col("c_nationkey").cast(S))
@@ -329,10 +330,19 @@ def source_audits(spark, sf):
     people = audits.profile_sources(index, index.withColumn("links", F.array(F.lit("a"))), planned, planned).select("profiles_expected", "shared_documents", F.col("passed").alias("profiles_passed"))
     days = index.select(F.lit("XV").alias("legislature"), F.lpad((F.lit(20240100) + F.col("code").cast("int") + 1).cast(S), 8, "0").alias("day"))
     pages = days.select("day", F.concat(F.lit("https://x.es/"), "day").alias("url"))
-    found = audits.discovery_state(days.select("legislature").distinct(), days, pages, pages.select("day", F.concat("url", F.lit("/v")).alias("url"), F.col("url").alias("page_url"))).select("foreign_dates", F.col("passed").alias("discovered"))
+    terms, variants = days.select("legislature").distinct(), pages.select("day", F.concat("url", F.lit("/v")).alias("url"), F.col("url").alias("page_url"))
+    found = audits.discovery_state(terms, days, pages, variants, calendars=days).select("foreign_dates", F.col("passed").alias("discovered"))
+    votes = days.withColumns({"url": F.concat(F.lit("https://x.es/v/"), "day"), "format": F.when(F.col("day").cast("int") % 100 % 3 != 1, "json").otherwise("pdf")})
+    late = audits.discovery_state(terms, days, pages, variants, completed=days.select("day"), resources=votes).select("completed_without_votes", "unplanned_resources")
+    k = F.col("c_custkey")
+    kept = c.select(
+        F.lit("ProyectosDeLey").alias("dataset"), F.lit(200).alias("status_code"), F.lit(True).alias("valid"), (k % 7 != 0).alias("hash_valid"), F.lit("json").alias("format"), F.when(k % 9 == 0, "text/html").otherwise("application/json").alias("content_type"),
+        F.when(k % 2 == 0, "POST").otherwise("GET").alias("request_method"), F.when((k % 2 == 0) != (k % 5 == 0), "abc").alias("request_parameters_sha256"), F.when(k % 4 == 0, "https://x.es/a").otherwise("https://www.congreso.es/a").alias("source_url"),
+    )
+    states = audits.initiative_owners(records, {"ProyectosDeLey": ("121",)}, "XV", kept).select("bad_type", "bad_request", "foreign_url", "bad_hash", "one_manifest_each")
     stock = audits.required_inventories(manifests.select(F.col("format").alias("dataset")), ("json", "csv")).select(F.col("passed").alias("inventories"))
     out = good.select("expected", "actual", "missing", "different", "passed")
-    for part in (bad, owners, odd, people, found, stock):
+    for part in (bad, owners, odd, people, found, stock, late, states):
         out = out.crossJoin(part)  # one row each
     return out
 
