@@ -257,16 +257,22 @@ def speech_turns(spark, sf):
 
 
 @query("""
-SELECT p_partkey, CAST(k AS INT) AS ordinal, kind AS turn_kind, lower(speaker) AS speaker, text, page_start, embedded FROM (
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1 AS INT) AS ordinal, kind AS turn_kind, lower(speaker) AS speaker, text, page_start, embedded FROM (
   SELECT p_partkey, 0 AS k, 'formal_turn' AS kind, 'RUIZ GIL' AS speaker, 'Hablo de ' || p_name || '. (El señor VEGA: ¡No!). (Aplausos).' AS text, CAST(12 AS INT) AS page_start, false AS embedded FROM part
   UNION ALL SELECT p_partkey, 1, 'interruption', 'VEGA', '¡No!', 12, false FROM part
   UNION ALL SELECT p_partkey, 2, 'formal_turn', 'SOL PAZ', 'Sigo yo.', 12, false FROM part WHERE p_size % 2 = 0
-  UNION ALL SELECT p_partkey, 2 + (p_size % 2 = 0)::INT, 'formal_turn', 'PRESIDENTA', 'Gracias.' || chr(10) || 'Hemos terminado.', 13, false FROM part)""")
+  UNION ALL SELECT p_partkey, 3, 'formal_turn', 'el REY', 'Señorías.', 12, false FROM part WHERE p_size % 3 = 0
+  UNION ALL SELECT p_partkey, 4, 'formal_turn', 'MAR CID', 'Voto ' || p_brand || '.', 12, false FROM part WHERE p_size % 5 = 0
+  UNION ALL SELECT p_partkey, 5, 'formal_turn', 'MAR PAZ', '¿Está de acuerdo, señor Vega? (Asentimiento).', 12, false FROM part WHERE p_size % 7 = 0
+  UNION ALL SELECT p_partkey, 6, 'formal_turn', 'PRESIDENTA', 'Gracias.' || chr(10) || 'Hemos terminado.', 13, false FROM part)""")
 def transcript_forms(spark, sf):
-    """A page mark, an agenda title, an interruption in parentheses, a heading inside a line, one that a scan ran together, and the chair."""
+    """A page mark, an agenda title, an interruption in parentheses, headings that a scan ran together or misread, the Crown, a name alone on its line, and the chair."""
+    n = F.col("p_size")
     text = F.concat_ws(
         "\n", F.lit("Página 12"), F.lit("PREGUNTAS ORALES"), F.concat(F.lit("La señora RUIZ GIL: Hablo de "), "p_name", F.lit(". (El señor VEGA: ¡No!). (Aplausos).")),
-        F.when(F.col("p_size") % 2 == 0, "Elseñor SOL PAZ: Sigo yo."), F.lit("Página 13"), F.lit("La PRESIDENTA: Gracias."), F.lit("Hemos terminado."),
+        F.when(n % 2 == 0, F.when(n % 4 == 0, "Elseñor SOL PAZ: Sigo yo.").otherwise("81 señorSOL PAZ: Sigo yo.")), F.when(n % 3 == 0, "Su Majestad el REY: Señorías."),
+        F.when(n % 5 == 0, F.concat(F.lit("La señora MAR CID.\nVoto "), "p_brand", F.lit("."))), F.when(n % 7 == 0, "El señor MAR PAZ: ¿Está de acuerdo, señor Vega? (Asentimiento)."),
+        F.lit("Página 13"), F.lit("La PRESIDENTA: Gracias."), F.lit("Hemos terminado."),
     )
     blocks = speech.speech_blocks(read(spark, sf, "part").select("p_partkey", text.alias("text")), key="p_partkey")
     return blocks.select("p_partkey", "ordinal", "turn_kind", F.col("normalized_speaker").alias("speaker"), "text", "page_start", speech.has_embedded_heading(F.col("text")).alias("embedded"))

@@ -20,9 +20,12 @@ from hemiciclo.operators import windows
 
 _HONORIFIC = r"(?:se(?:ñ|n|Ã±)or(?:a)?)"
 #: A heading: article and honorific, office or 'De', a name, a colon; or an office holder in parentheses and a full stop.
-HEADING = re.compile(rf"^(?:De )?(?:El|La|el|la) (?:{_HONORIFIC} |diputad[oa] |(?=(?:MINISTR|SECRETARI|PRESIDENT|VICEPRESIDENT|DIRECTOR|FISCAL|DEFENSOR)))(?P<name>[^:\n]{{2,450}}?)(?::|(?<=\))\.)\s*(?P<body>.*)$", re.S)
+HEADING = re.compile(rf"^(?:De )?(?:El|La|el|la) (?:{_HONORIFIC} |diputad[oa] |(?=(?:MINISTR|SECRETARI|PRESIDENT|VICEPRESIDENT|DIRECTOR|FISCAL|DEFENSOR|CANDIDAT|LETRAD|REY\b|REINA\b|PR[IÍ]NCIPE\b)))(?P<name>[^:\n]{{2,450}}?)(?::|(?<=\))\.)\s*(?P<body>.*)$", re.S)
 CAPITALS = re.compile(rf"^(?:El|La) {_HONORIFIC} (?P<name>[A-ZÁÉÍÓÚÜÑÇ][A-ZÁÉÍÓÚÜÑÇ .,'’-]{{2,120}})\.\s+(?P<body>\S.*)$", re.S)
 CHAIR = re.compile(r"^(?:El|La) (?P<name>(?:vice)?president[ea])[^:\n]*:\s*(?P<body>.*)$", re.I | re.S)
+#: A name by itself, its words on the lines that follow; and the Crown.
+ALONE = re.compile(rf"^(?:El|La) {_HONORIFIC} (?P<name>[A-ZÁÉÍÓÚÜÑÇ][A-ZÁÉÍÓÚÜÑÇ ,'’-]{{4,120}})\.(?P<body>)$")
+CROWN = re.compile(r"^(?:Su Majestad|S\. ?M\.) (?P<name>(?:el|la) (?:REY|REINA)[^:\n]{0,80}):\s*(?P<body>.*)$", re.S)
 PAGE_MARK = re.compile(r"^\s*P[áa]gina\s+(\d+)\s*$", re.I)
 INTERRUPTION = re.compile(rf"\((?P<heading>(?:El|La) {_HONORIFIC} (?P<name>[^:()\n]{{3,160}})):\s*(?P<body>[^()]{{1,500}}?)\)")
 #: An answer without words, and the person whom the sentence before it speaks to.
@@ -74,7 +77,7 @@ def answers(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 
 def _heading(line: str) -> re.Match | None:
-    for pattern in (HEADING, CAPITALS, CHAIR):
+    for pattern in (HEADING, CAPITALS, ALONE, CHAIR, CROWN):
         m = pattern.match(line)
         if m and not NARRATIVE.search(m["name"]) and "?" not in m["name"] and not m["name"].startswith("("):
             return m
