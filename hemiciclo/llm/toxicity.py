@@ -7,10 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import crc_fold, hash_sample, hold
+from hemiciclo.llm.common import crc_fold, give_back, hash_sample, hold
 from hemiciclo.llm.quality import fit_platt
 
 #: Labelled documents in the index, at most, and of these the ones whose leave-one-out votes fit the calibration.
@@ -25,9 +26,9 @@ PRIOR_VOTES = 0.3
 EVEN = 0.1
 REJECT = 0.7
 #: Examples of a block; terms that more than one in DENSE examples has stand in a matrix, others in posting lists.
-BLOCK, DENSE = 64, 32
+BLOCK, DENSE = 64, 16
 #: Characters whose terms are made at a time, documents that are searched at a time.
-CHUNK, BATCH = 1 << 18, 256
+CHUNK, BATCH = 1 << 18, 128
 _MIX, _BASE, _PART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -144,7 +145,6 @@ class BlockMaxIndex:
     def _build(self) -> None:
         n = len(self.ids)
         self.blocks = -(-n // BLOCK)
-        self.wide_slot = self.slot.astype(np.intp)
         example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
         df = np.bincount(self.slot, minlength=self.terms)
         common = np.flatnonzero(df * DENSE > n)
@@ -165,7 +165,10 @@ class BlockMaxIndex:
         self.lists = np.searchsorted(self.slot[rare][start], np.arange(self.terms + 1))
         kinds: dict[bytes, int] = {}  # equal vectors: the first example that has it
         ends = self.first.tolist()
-        self.like = np.array([kinds.setdefault(self.slot[i:j].tobytes() + self.weight[i:j].tobytes(), k) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True))], np.int64)
+        print_ = lambda i, j: xxhash.xxh3_128_digest(self.slot[i:j].tobytes() + self.weight[i:j].tobytes())
+        self.like = np.array([kinds.setdefault(print_(i, j), k) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True))], np.int64)
+        del example, at, place, rare
+        give_back()
         self.built = True
 
     def search(self, vector: Mapping[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +221,7 @@ class BlockMaxIndex:
             full[slot] = w
             kinds, kind = np.unique(self.like[near], return_inverse=True)
             ends = zip(self.first[kinds].tolist(), self.first[kinds + 1].tolist(), strict=True)
-            cosine = np.array([self.weight[a:b] @ full[self.wide_slot[a:b]] for a, b in ends] or [0.0])[kind]
+            cosine = np.array([self.weight[a:b] @ full.take(self.slot[a:b]) for a, b in ends] or [0.0])[kind]
             full[slot] = 0
             best = np.lexsort((self.ids[near], -np.round(cosine, 12)))[:k]
             out.append((near[best], cosine[best]))
