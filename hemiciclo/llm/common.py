@@ -33,10 +33,9 @@ def give_back() -> None:
 
 def hold(owner: str, forget: Callable[[], object]) -> None:
     """In a Python worker: what `owner` remembers from task to task may stay, what others left is forgotten, so that a worker that serves many stages holds one memory."""
-    if others := [k for k in _held if k != owner]:
-        for other in others:
-            _held.pop(other)()
-        give_back()
+    for other in [k for k in _held if k != owner]:
+        _held.pop(other)()
+    give_back()
     _held[owner] = forget
 
 

@@ -22,7 +22,7 @@ UNKNOWN = "und"
 #: Bits of a byte that no context of a language has seen.
 FLAT_BITS = 8.0
 #: Code lengths (bytes times languages) that are worked out at a time, but so many bytes at least.
-CELLS, LEAST_BYTES = 4_000_000, 4096
+CELLS, LEAST_BYTES = 1_000_000, 4096
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -17,7 +17,7 @@ from hemiciclo.llm.common import hold, shared_dir
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Words whose ids a worker remembers; beyond it forgets all and starts again, which changes no result.
-MEMORY = 800_000
+MEMORY = 400_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -30,7 +30,7 @@ _SPACE, _FEED = 32, 10
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 #: Bytes of a buffer that is cut into words at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Slots of the memory of words; more than MEMORY words never stand in it.
 SLOTS = 21
 _LETTER = np.zeros(256, bool)
