@@ -90,19 +90,21 @@ def table_blocks(page_rows: DataFrame, least: int = 3) -> DataFrame:
 
 
 def layout_lines(results: DataFrame, *, tolerance: float = 2.0) -> DataFrame:
-    """results: doc, page, width, height, texts, scores, boxes ([x0, y0, x1, y1]), blocks (ARRAY<STRUCT<label, bbox>>).
+    """results: doc, page, width, height, texts, scores, boxes ([x0, y0, x1, y1]), blocks (ARRAY<STRUCT<label, bbox>>): a row a page.
 
     A row a line with the label of the smallest block that holds its centre and whether it may be read (it is in a
-    block that is no figure or header). Arrays of different lengths and boxes outside the page are errors.
+    block that is no figure or header). Arrays of different lengths and boxes outside the page are errors. A line meets
+    the blocks of its own row, so whole pages pass through without a shuffle.
     """
     same = (F.size("texts") == F.size("scores")) & (F.size("texts") == F.size("boxes"))
     rows = results.withColumn("_z", F.when(same, F.arrays_zip("texts", "scores", "boxes")).otherwise(F.raise_error(F.lit("texts, scores and boxes differ in length")).cast("array<struct<texts: string, scores: double, boxes: array<double>>>")))
-    lines = rows.select("doc", "page", "width", "height", F.posexplode("_z").alias("line", "z")).select("doc", "page", "line", F.col("z.texts").alias("text"), F.col("z.scores").alias("score"), F.col("z.boxes").alias("box"), "width", "height")
+    lines = rows.select("doc", "page", "width", "height", "blocks", F.posexplode("_z").alias("line", "z")).select("doc", "page", "line", F.col("z.texts").alias("text"), F.col("z.scores").alias("score"), F.col("z.boxes").alias("box"), "width", "height", "blocks")
     b = F.col("box")
     inside = (b[0] >= -tolerance) & (b[1] >= -tolerance) & (b[2] <= F.col("width") + tolerance) & (b[3] <= F.col("height") + tolerance)
     lines = lines.withColumn("x", F.when(inside, (b[0] + b[2]) / 2).otherwise(F.raise_error(F.lit("a box lies outside its page")).cast("double"))).withColumn("y", (b[1] + b[3]) / 2)
-    blocks = results.select("doc", "page", F.posexplode("blocks").alias("block", "k")).select("doc", "page", "block", F.col("k.label").alias("label"), F.col("k.bbox").alias("bbox"))
-    out = joins.smallest_container(lines, blocks, ["doc", "page"], x="x", y="y", box="bbox", order=["block"])
+    out = lines.withColumn("block", joins.smallest_box(F.col("blocks"), x=F.col("x"), y=F.col("y"), box="bbox"))
+    k = F.get("blocks", F.col("block"))
+    out = out.withColumns({"label": k["label"], "bbox": k["bbox"]}).drop("blocks")
     return out.withColumn("eligible", F.coalesce(~F.col("label").isin("figure", "image", "header", "footer", "seal"), F.lit(False)))
 
 

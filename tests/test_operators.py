@@ -46,6 +46,22 @@ def test_smallest_container(spark):
     assert rows(joins.smallest_container(p, b, ["d"], x="x", y="y", box="box").select("x", "name"), "x") == [(5.0, "small"), (50.0, None)]
 
 
+def test_smallest_container_does_not_broadcast_boxes(spark):
+    p = spark.sql("select * from values (1, 5D, 5D), (2, 5D, 5D), (null, 5D, 5D) as p(d, x, y)")
+    b = spark.sql("select * from values (1, array(0D, 0D, 300D, 300D), 'big'), (1, array(4D, 4D, 6D, 6D), 'small'), (2, array(5D, 5D, 5D, 5D), 'point'), (2, array(0D, 0D, 3D, 3D), 'other'), (null, array(0D, 0D, 9D, 9D), 'none') as b(d, box, name)")
+    out = joins.smallest_container(p, b, ["d"], x="x", y="y", box="box")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [d#" in plan and "BroadcastHashJoin [d#" not in plan
+    assert {(r.d, r.name) for r in out.collect()} == {(1, "small"), (2, "point"), (None, None)}
+
+
+def test_smallest_box_of_a_row(spark):
+    boxes = [("big", [0.0, 0.0, 10.0, 10.0]), ("small", [4.0, 4.0, 6.0, 6.0]), ("as small", [5.0, 5.0, 7.0, 7.0]), ("inverted", [6.0, 6.0, 4.0, 4.0]), ("none", None)]
+    points = spark.createDataFrame([(1, 5.0, 5.0, boxes), (2, 10.0, 0.0, boxes), (3, 10.1, 5.0, boxes), (4, 7.0, 7.0, boxes), (5, 5.0, 5.0, []), (6, 5.0, 5.0, None), (7, None, 5.0, boxes)], "k int, x double, y double, b array<struct<name: string, box: array<double>>>")
+    found = points.select("k", joins.smallest_box(F.col("b"), x=F.col("x"), y=F.col("y"), box="box").alias("place"))
+    assert rows(found, "k") == [(1, 1), (2, 0), (3, None), (4, 2), (5, None), (6, None), (7, None)]
+
+
 def test_most_complete_first_of_ties(spark):
     df = spark.createDataFrame([(1, 1, None, "x"), (1, 2, 0, "y"), (1, 3, 5, "z"), (2, 4, None, "")], "id int, pos int, n int, t string")
     assert rows(dedup.most_complete(df, ["id"], ["pos"]), "id") == [(1, 2, 0, "y"), (2, 4, None, "")]

@@ -172,6 +172,16 @@ def test_layout(spark):
     assert declarations.numeric_candidates(lines).first().quarantine == "outside_eligible_block"
 
 
+def test_layout_meets_the_blocks_of_its_own_row(spark):
+    kinds = "doc int, page int, width int, height int, texts array<string>, scores array<double>, boxes array<array<double>>, blocks array<struct<label: string, bbox: array<double>>>"
+    one = lambda doc, *blocks: (doc, 1, 100, 100, ["12,50"], [0.9], [[1.0, 1.0, 5.0, 5.0]], list(blocks))
+    whole = [0.0, 0.0, 50.0, 50.0]
+    lines = declarations.layout_lines(spark.createDataFrame([one(1, ("text", whole), ("figure", whole)), one(2, ("seal", whole), ("text", [2.0, 2.0, 4.0, 4.0])), one(3), one(None, ("text", whole))], kinds))
+    assert {(r.doc, r.block, r.label, r.eligible) for r in lines.collect()} == {(1, 0, "text", True), (2, 1, "text", True), (3, None, None, False), (None, 0, "text", True)}
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_visible_html():
     page = "<html><head><title>t</title><style>x</style></head><body><p>a <b>b</b></p><script>no</script><a href='/x'> l  i </a><div class='c textoIntegro'>El señor X: hola<br>más</div></body></html>"
     out = html.read_visible(page, base_url="https://h", container="textoIntegro")

@@ -30,3 +30,11 @@ def test_customers_of_every_id_and_balance(spark):
     found = {r.c_custkey for r in queries.QUERIES["domain_filter"](spark, SF).collect()}
     left_out = {r.c_custkey for r in queries.read(spark, SF, "customer").where("c_mktsegment = 'BUILDING' and c_custkey % 7 = 0 and c_acctbal >= 0 and (c_custkey % 3 = 0 or c_custkey % 15 >= 13)").collect()}
     assert left_out and left_out <= found
+
+
+def test_scanned_amounts_is_one_narrow_pass(spark):
+    """A join of its lines and blocks was sent to the driver, which had no memory for it at 60 times sf0.1."""
+    found = queries.QUERIES["scanned_amounts"](spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert found.count() == 4 * queries.read(spark, SF, "part").count()
