@@ -118,10 +118,12 @@ def _spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Unit TF-IDF vectors of the examples, as postings by term and block of examples, with each block's largest weight.
 
-    Examples stand in order of their heaviest term, so that blocks are alike inside. A search bounds each block by its
+    Examples stand in order of their heaviest term, so that blocks are alike inside. Terms have the numbers of their rank,
+    the most frequent first, so that what is read again and again lies together; terms of no example have none. A search bounds each block by its
     largest weights, scores the blocks with the highest bounds, then all others whose bound reaches the k-th best cosine
     of these. Bounds and scores are single precision, with the rounding of so many products allowed for; what can be
-    among the k nearest gets its cosine in double precision, equal examples one for all. Only vectors, labels and ids
+    among the k nearest gets its cosine in double precision, equal examples one for all, from the products that the lists
+    gave and those of frequent terms. Only vectors, labels and ids
     travel; the rest is built where it is searched.
     """
 
@@ -132,12 +134,24 @@ class BlockMaxIndex:
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.first = np.cumsum([0] + [len(pairs[i][0]) for i in order])
-        self.slot = np.concatenate([pairs[i][0].astype(np.int32) for i in order] or [np.zeros(0, np.int32)])
+        slot = np.concatenate([pairs[i][0].astype(np.int32) for i in order] or [np.zeros(0, np.int32)])
+        df = np.bincount(slot, minlength=terms)
+        self.slot_of = np.argsort(-df, kind="stable")[: np.count_nonzero(df)].astype(np.int32)
+        self.rank = np.full(terms, -1, np.int32)
+        self.rank[self.slot_of] = np.arange(len(self.slot_of))
+        self.term = self.rank[slot]
         self.weight = np.concatenate([pairs[i][1] for i in order] or [np.zeros(0)])
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
+            up = a + np.argsort(self.term[a:b])
+            self.term[a:b], self.weight[a:b] = self.term[up], self.weight[up]
         self.built = False
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("terms", "labels", "ids", "first", "slot", "weight")} | {"built": False}
+        return {k: self.__dict__[k] for k in ("terms", "labels", "ids", "first", "slot_of", "rank", "term", "weight")} | {"built": False}
+
+    def vector(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots and weights of the example at that place."""
+        return self.slot_of[self.term[self.first[at] : self.first[at + 1]]], self.weight[self.first[at] : self.first[at + 1]]
 
     def forget(self) -> None:
         self.__dict__ = self.__getstate__()
@@ -146,28 +160,27 @@ class BlockMaxIndex:
         n = len(self.ids)
         self.blocks = -(-n // BLOCK)
         example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
-        df = np.bincount(self.slot, minlength=self.terms)
-        common = np.flatnonzero(df * DENSE > n)
-        self.column = np.full(self.terms, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        at = self.column[self.slot]
-        self.rows = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
-        self.rows[example[at >= 0], at[at >= 0]] = self.weight[at >= 0]
-        self.row_most = self.rows.reshape(self.blocks, BLOCK, len(common)).max(axis=1)
-        rare = np.flatnonzero(at < 0)
-        rare = rare[np.argsort(self.slot[rare], kind="stable")]  # by slot, then by example
-        self.posted, self.posted_weight = example[rare], self.weight[rare].astype(np.float32)
-        place = self.slot[rare].astype(np.int64) * max(1, self.blocks) + self.posted // BLOCK
+        df = np.bincount(self.term, minlength=len(self.slot_of))
+        self.common = common = np.count_nonzero(df * DENSE > n)  # these have the lowest numbers
+        dense = self.term < common
+        self.rows = np.zeros((self.blocks * BLOCK, common), np.float32)
+        self.rows[example[dense], self.term[dense]] = self.weight[dense]
+        self.row_most = self.rows.reshape(self.blocks, BLOCK, common).max(axis=1)
+        rare = np.flatnonzero(~dense)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]  # by term, then by example
+        self.posted, self.posted_weight = example[rare], self.weight[rare]
+        place = self.term[rare].astype(np.int64) * max(1, self.blocks) + self.posted // BLOCK
         start = np.flatnonzero(np.diff(place, prepend=-1))
-        self.entry_first = np.append(start, len(rare))
+        self.entry_first = np.append(start, len(rare)).astype(np.int32)
         self.entry_block = self.posted[start] // BLOCK
-        self.entry_most = np.maximum.reduceat(self.posted_weight, start) if len(start) else np.zeros(0, np.float32)
-        self.lists = np.searchsorted(self.slot[rare][start], np.arange(self.terms + 1))
+        self.entry_most = np.maximum.reduceat(self.posted_weight, start).astype(np.float32) if len(start) else np.zeros(0, np.float32)
+        self.dense_last = self.first[:-1] + np.bincount(example[dense], minlength=n)  # an example's terms stand in order of rank
+        self.lists = np.searchsorted(self.term[rare][start], np.arange(len(self.slot_of) + 1))
         kinds: dict[bytes, int] = {}  # equal vectors: the first example that has it
         ends = self.first.tolist()
-        print_ = lambda i, j: xxhash.xxh3_128_digest(self.slot[i:j].tobytes() + self.weight[i:j].tobytes())
+        print_ = lambda i, j: xxhash.xxh3_128_digest(self.term[i:j].tobytes() + self.weight[i:j].tobytes())
         self.like = np.array([kinds.setdefault(print_(i, j), k) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True))], np.int64)
-        del example, at, place, rare
+        del example, dense, place, rare
         give_back()
         self.built = True
 
@@ -181,23 +194,29 @@ class BlockMaxIndex:
         m, n = len(queries), len(self.ids)
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * m
-        dense = np.zeros((m, self.rows.shape[1]), np.float32)
-        lists, weights = [], []
+        dense = np.zeros((m, self.common), np.float32)
+        known, lists, weights, blocks = [], [], [], []
         for i, (slot, w) in enumerate(queries):
-            at = self.column[slot]
-            dense[i, at[at >= 0]] = w[at >= 0]
-            slot, w = slot[at < 0], w[at < 0]
-            first, last = self.lists[slot], self.lists[slot + 1]
+            term = self.rank[slot]
+            up = np.argsort(term)[np.count_nonzero(term < 0) :]
+            at, w = term[up], w[up]
+            low = np.searchsorted(at, self.common)
+            dense[i, at[:low]] = w[:low]
+            known.append((at[:low], w[:low]))
+            at, w = at[low:], w[low:]
+            first, last = self.lists[at], self.lists[at + 1]
             lists.append(_spans(first, last))
-            weights.append(np.repeat(w, last - first).astype(np.float32))
+            weights.append(np.repeat(w, last - first))
+            blocks.append(self.entry_block[lists[i]])
         bound = dense @ self.row_most.T
         for i in range(m):
-            bound[i] += np.bincount(self.entry_block[lists[i]], weights[i] * self.entry_most[lists[i]], self.blocks)
+            bound[i] += np.bincount(blocks[i], weights[i] * self.entry_most[lists[i]], self.blocks)
         spare = 1 + 4 * (max(len(s) for s, _ in queries) + 8) * 2.0**-24  # rounding of sums of that many positive products
         rank = np.argsort(-bound, axis=1, kind="stable")
         scores = np.zeros((m, self.blocks * BLOCK), np.float32)
         kth = np.zeros(m, np.float32)
         top = min(self.blocks, -(-(k + 1) // BLOCK) + self.blocks // 8)
+        seen: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(m)]
         for ranks in (slice(0, top), slice(top, None)):
             wanted = np.zeros((m, self.blocks), bool)
             np.put_along_axis(wanted, rank[:, ranks], True, axis=1)
@@ -205,24 +224,35 @@ class BlockMaxIndex:
             for b in np.flatnonzero(wanted.any(axis=0)):
                 need = np.flatnonzero(wanted[:, b])
                 scores[need, b * BLOCK : (b + 1) * BLOCK] = dense[need] @ self.rows[b * BLOCK : (b + 1) * BLOCK].T
-            for i in np.flatnonzero(wanted.any(axis=1)):
-                use = wanted[i, self.entry_block[lists[i]]]
+            for i in range(m):
+                use = np.flatnonzero(wanted[i][blocks[i]])
                 entry = lists[i][use]
                 first, last = self.entry_first[entry], self.entry_first[entry + 1]
                 p = _spans(first, last)
-                scores[i] += np.bincount(self.posted[p], np.repeat(weights[i][use], last - first) * self.posted_weight[p], scores.shape[1])
-            if scores.shape[1] > k + 1:  # one spare, as `but` may be among them
-                kth = np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1] / np.float32(spare)
-        full, out = np.zeros(self.terms), []
-        for i, (slot, w) in enumerate(queries):
+                example, product = self.posted[p], np.repeat(weights[i][use], last - first) * self.posted_weight[p]
+                scores[i] += np.bincount(example, product, scores.shape[1])
+                if scores.shape[1] > k + 1:  # one spare, as `but` may be among them
+                    kth[i] = np.partition(scores[i], -k - 1)[-k - 1] / np.float32(spare)
+                hit = np.flatnonzero((scores[i] * spare >= kth[i])[example])
+                seen[i].append((example[hit], product[hit]))
+        full, place, out = np.zeros(self.common), np.full(len(scores[0]), -1, np.int32), []
+        for i, (at, w) in enumerate(known):
             near = np.flatnonzero((scores[i] > 0) & (scores[i] * spare >= kth[i]))
             if but is not None:
                 near = near[near != but[i]]
-            full[slot] = w
-            kinds, kind = np.unique(self.like[near], return_inverse=True)
-            ends = zip(self.first[kinds].tolist(), self.first[kinds + 1].tolist(), strict=True)
-            cosine = np.array([self.weight[a:b] @ full.take(self.slot[a:b]) for a, b in ends] or [0.0])[kind]
-            full[slot] = 0
+            _, one, kind = np.unique(self.like[near], return_index=True, return_inverse=True)
+            one = near[one]  # its products with the query: those of frequent terms, and those that the lists gave
+            full[at] = w
+            ends = zip(self.first[one].tolist(), self.dense_last[one].tolist(), strict=True)
+            cosine = np.array([self.weight[a:b] @ full.take(self.term[a:b]) for a, b in ends], np.float64)
+            full[at] = 0
+            place[one] = np.arange(len(one))
+            for example, product in seen[i]:
+                of = place[example]
+                hit = np.flatnonzero(of >= 0)
+                cosine += np.bincount(of[hit], product[hit], len(one))
+            place[one] = -1
+            cosine = cosine[kind]
             best = np.lexsort((self.ids[near], -np.round(cosine, 12)))[:k]
             out.append((near[best], cosine[best]))
         return out
@@ -251,8 +281,7 @@ class ToxicityModel:
                 places = batch.column(0).to_pylist()
                 for lo in range(0, len(places), BATCH):
                     some = places[lo : lo + BATCH]
-                    spans = [slice(index.first[at], index.first[at + 1]) for at in some]
-                    found = index.search_many([(index.slot[s], index.weight[s]) for s in spans], learned.k, some)
+                    found = index.search_many([index.vector(at) for at in some], learned.k, some)
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([learned.vote(*near) for near in found], pa.float64())], names=["at", "vote"])
 
         place = {x: i for i, x in enumerate(self.index.ids.tolist())}

@@ -90,3 +90,23 @@ def test_edges(spark):
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows) and {r.predicted for r in rows if r.doc_id is None} == {1}
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
     assert toxicity.score_toxicity(docs.where("false"), model).count() == 0
+
+
+def test_a_query_pays_for_the_terms_it_shares_with_an_example(monkeypatch):
+    """Examples with many words of their own: only frequent terms are looked up again for the cosines, however long the examples are."""
+    rng = np.random.default_rng(5)
+    vectors = []
+    for i in range(400):
+        slots = np.concatenate([rng.choice(30, 6, replace=False), 100 + 500 * i + np.arange(500), rng.choice(np.arange(40, 100), 2, replace=False)])
+        w = rng.random(len(slots)) + 0.1
+        vectors.append((slots, w / np.sqrt((w * w).sum())))
+    index = toxicity.BlockMaxIndex(vectors, [i % 2 for i in range(400)], list(range(400)), 210_000)
+    queries = [vectors[3], (np.array([1, 2, 50, 209_999]), np.full(4, 0.5)), vectors[7]]
+    place = int(np.flatnonzero(index.ids == 7)[0])
+    found = index.search_many(queries, 10, [-1, -1, place])
+    for (slots, w), (at, cosines), but in zip(queries, found, [-1, -1, 7], strict=True):
+        full = np.zeros(210_000)
+        full[slots] = w
+        every = sorted((-round(float(full[s] @ x), 12), i) for i, (s, x) in enumerate(vectors) if i != but)[:10]
+        assert [(-round(c, 12), i) for c, i in zip(cosines.tolist(), index.ids[at].tolist(), strict=True)] == every
+    assert (index.dense_last - index.first[:-1]).max() <= 30 < np.diff(index.first).min()
