@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of an Arrow batch where tasks read whole texts: a batch lies in the executor and in its Python worker at once.
+TEXT_ROWS = 1_000
 _held: dict[str, Callable[[], object]] = {}
 
 
@@ -39,10 +41,24 @@ def hold(owner: str, forget: Callable[[], object]) -> None:
     _held[owner] = forget
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs a reread."""
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send at most `rows` rows of a batch to Python, fewer if the session says so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stash(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs a reread. texts: its tasks send whole texts to Python."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession, TEXT_ROWS) if texts else contextlib.nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

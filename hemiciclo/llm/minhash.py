@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import LOWER, UPPER, hold, stash
+from hemiciclo.llm.common import LOWER, UPPER, give_back, hold, stash
 from hemiciclo.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -116,6 +116,8 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                     bands.append(band_keys(signature(s)) if len(s) else np.zeros(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate(bands)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists], schema=schema)
+        batch = part = lists = bands = None
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>")
 
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     at the threshold links. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stash(_signed(source, shingle_words), "signed")
+    signed = stash(_signed(source, shingle_words), "signed", texts=True)
     able = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = able.groupBy("print").agg(F.min("doc_id").alias("rep"))
     members = able.join(classes, "print").where("doc_id = rep").select("rep", F.explode("bands").alias("key"))

@@ -132,7 +132,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, range_rows: int = RANGE_R
     themselves; only the id and text columns are read, whatever others are called; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    cut = stash(pieces(docs, capacity=capacity, **kwargs), "pieces")
+    cut = stash(pieces(docs, capacity=capacity, **kwargs), "pieces", texts=True)
     ranges = max(1, -(-cut.count() // range_rows))
     hashed = F.xxhash64("doc_id", "piece", "ids_crc32")
     rows = cut.withColumns({"_h": hashed, "_r": F.pmod(hashed, F.lit(ranges)).cast("int")})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.common import hold, shared_dir
+from hemiciclo.llm.common import TEXT_ROWS, arrow_rows, give_back, hold, shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
@@ -305,6 +305,8 @@ def encoded(path: str, text_at: int, end: int | None, make: Callable[[pa.RecordB
                 if end is not None:
                     ids, ends = np.insert(ids, ends[1:], np.uint32(end)), ends + np.arange(len(ends))
                 yield make(rows, ids, ends)
+        rows = ids = ends = batch = None
+        give_back()
 
     return run
 
@@ -338,12 +340,13 @@ def write_tokens(
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     placed = ordered.select("doc_id", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), "text")
-    (
-        placed.mapInArrow(encoded(tokenizer or vocabulary_path(), 2, end, make), "doc_id long, place long, n_tokens int, ids array<int>")
-        .write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
-        .option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true").option("compression", "zstd")
-        .parquet(path)
-    )
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        (
+            placed.mapInArrow(encoded(tokenizer or vocabulary_path(), 2, end, make), "doc_id long, place long, n_tokens int, ids array<int>")
+            .write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
+            .option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true").option("compression", "zstd")
+            .parquet(path)
+        )
 
 
 def file_offsets(rows: DataFrame) -> DataFrame:

@@ -77,3 +77,18 @@ def test_sequences(spark):
     packed = packing.pack(spark.read.parquet(f"{SF1}/documents.parquet"), with_ids=True)
     sizes = {r.sequence_id: r.n for r in packed.groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
     assert {r.sequence_id: len(r.ids) for r in packing.sequences(packed).collect()} == sizes
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """A batch lies in the executor and in its worker at once, so the session's 10,000 rows are too many of whole texts."""
+    from hemiciclo.llm import common, minhash, tokens
+
+    docs = spark.range(50).selectExpr("id as doc_id", "repeat(concat('word', char(97 + id % 26), ' '), 40) as text").coalesce(1)
+    monkeypatch.setattr(common, "TEXT_ROWS", 7)
+    monkeypatch.setattr(tokens, "TEXT_ROWS", 7)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    write = type(docs.write).parquet
+    monkeypatch.setattr(type(docs.write), "parquet", lambda self, path, *a, **k: (seen.append((path.rsplit("/")[-1].split("-")[0], self._spark.conf.get(key))), write(self, path, *a, **k))[1])
+    assert packing.pack(docs).count() == 50 and tokens.token_digests(docs).count() == 50 and minhash.near_duplicates(docs).count() == 50
+    assert {("pieces", "7"), ("tokens", "7"), ("signed", "7"), ("lengths", before)} <= set(seen) and spark.conf.get(key) == before
