@@ -16,7 +16,7 @@ from hemiciclo.llm.common import TEXT_ROWS, arrow_rows, give_back, hold, shared_
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
-#: Words whose ids a worker remembers; beyond it forgets all and starts again, which changes no result.
+#: Words whose ids a worker remembers; beyond it forgets those that it did not meet again (all, if they are fewer than half), which changes no result.
 MEMORY = 400_000
 
 
@@ -32,9 +32,18 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 #: Bytes of a buffer that is cut into words at a time.
 CHUNK = 1 << 18
 #: Slots of the memory of words; more than MEMORY words never stand in it.
-SLOTS = 21
+SLOTS = 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Bytes of words of letters alone: ASCII, U+00C0 to U+017F, U+0400 to U+047F; of these only two signs are no letters.
+_WORD_BYTE = _LETTER.copy()
+_WORD_BYTE[[*range(0x80, 0xC0), 0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+#: The code point that stands for each byte in a byte-level vocabulary: its own if it can be seen, else one from 256 on.
+_POINT = np.arange(256, dtype=np.uint16)
+_UNSEEN = [*range(33), *range(127, 161), 173]
+_POINT[_UNSEEN] = range(256, 256 + len(_UNSEEN))
+#: Words of a text that goes to the library; longer ones cost it more a word.
+LINE = 50
 _ODD_BYTE = np.zeros(256, bool)
 _ODD_BYTE[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True  # the last four begin all white space beyond ASCII
 
@@ -87,12 +96,17 @@ class Encoder:
     cut, hashed (64 bits of a polynomial of the bytes, with length and lead) and looked up for many texts at a time
     as arrays. A word that is found has its bytes compared; one whose hash belongs to another word is encoded by
     itself. A text with other white space, or with the string of a special token, goes to the library whole.
+
+    A space and letters are one pre-token. Such words go to the library's model in the vocabulary's own alphabet, a
+    pre-token a line, which spares the library to normalize and cut them; each one's first id is one that begins with
+    the space.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
@@ -102,6 +116,13 @@ class Encoder:
         if resize := getattr(self.whole.model, "_resize_cache", None):
             resize(1)  # words that come here are new, so its own memory of words would only cost time
         self.feed = int(self._encode("\n")[0])
+        cut = json.loads(self.whole.pre_tokenizer.__getstate__()) if self.whole.pre_tokenizer else {}
+        usual = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+        self.bytewise = bool(usual) and self.whole.normalizer is None and all(self.whole.token_to_id(chr(c)) is not None for c in _POINT.tolist())
+        self.letters = Tokenizer(self.whole.model)  # the same model in memory
+        self.letters.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        space = chr(int(_POINT[_SPACE]))
+        self.spaced = np.array([(self.whole.id_to_token(i) or "").startswith(space) for i in range(self.whole.get_vocab_size())])
         self._forget()
 
     def _forget(self) -> None:
@@ -112,6 +133,17 @@ class Encoder:
         self.kind = np.zeros(MEMORY, np.int64)  # 4 * length in bytes + lead
         self.bytes_at = np.zeros(MEMORY, np.int64)  # of its bytes in `bytes`
         self.bytes, self.bytes_used = np.zeros(1 << 16, np.uint8), 0
+        self.key, self.again = np.zeros(MEMORY, np.uint64), np.zeros(MEMORY, bool)
+
+    def _forget_rare(self) -> None:
+        """Forgets words that were not met again since the last time, all if others are more than half of the memory."""
+        keep = np.flatnonzero(self.again[: self.words])
+        keep = keep[: len(keep) * (2 * len(keep) <= len(self.first))]
+        key, kind, count = self.key[keep], self.kind[keep], self.count[keep].astype(np.int64)
+        flat = self.ids[_spans(self.first[keep], self.first[keep] + count)]
+        raw = self.bytes[_spans(self.bytes_at[keep], self.bytes_at[keep] + (kind >> 2))]
+        self._forget()
+        self._add(key, (flat, np.cumsum(count) - count, count), raw, kind >> 2, kind & 3)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -141,23 +173,21 @@ class Encoder:
             slot[open_] = (slot[open_] + 1) & ((1 << SLOTS) - 1)
         return out
 
-    def _add(self, keys: np.ndarray, found: list[np.ndarray], words: list[bytes], leads: np.ndarray) -> None:
-        """Different new keys with their words and ids."""
-        n, flat = len(keys), np.concatenate(found)
-        raw = np.frombuffer(b"".join(words), np.uint8)
+    def _add(self, keys: np.ndarray, made: tuple[np.ndarray, np.ndarray, np.ndarray], raw: np.ndarray, lengths: np.ndarray, leads: np.ndarray) -> None:
+        """Different new keys with what _made() gave for their words, and these words' bytes, one after the other."""
+        n, (flat, first, sizes) = len(keys), made
         if self.bytes_used + len(raw) + 8 > len(self.bytes):
             self.bytes = np.concatenate([self.bytes[: self.bytes_used], np.zeros(max(len(self.bytes), len(raw)) + 8, np.uint8)])
         self.bytes[self.bytes_used : self.bytes_used + len(raw)] = raw
-        lengths = np.fromiter(map(len, words), np.int64, n)
         self.kind[self.words : self.words + n] = 4 * lengths + leads
         self.bytes_at[self.words : self.words + n] = self.bytes_used + np.cumsum(lengths) - lengths
         self.bytes_used += len(raw)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(flat)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        sizes = np.fromiter(map(len, found), np.int64, n)
-        self.first[self.words : self.words + n] = self.used + np.cumsum(sizes) - sizes
+        self.first[self.words : self.words + n] = self.used + first
         self.count[self.words : self.words + n] = sizes
+        self.key[self.words : self.words + n] = keys
         place = np.arange(self.words, self.words + n, dtype=np.int32)
         self.words, self.used = self.words + n, self.used + len(flat)
         slot, open_ = (keys >> np.uint64(64 - SLOTS)).astype(np.int64), np.arange(n)
@@ -202,46 +232,70 @@ class Encoder:
         kind = 4 * (end - start) + lead
         word = self._find(key)
         new = np.flatnonzero(word < 0)
+        self.again[word[word >= 0]] = True
         if len(new):
             kinds, one = np.unique(key[new], return_index=True)
-            if self.words + len(kinds) > len(self.first):
-                self._forget()
-                new = np.arange(len(key))
-                kinds, one = np.unique(key, return_index=True)
+            for forget in (self._forget_rare, self._forget):
+                if self.words + len(kinds) > len(self.first):
+                    forget()
+                    new = np.flatnonzero(self._find(key) < 0)
+                    kinds, one = np.unique(key[new], return_index=True)
             at = new[one]
-            raw = octets.tobytes()
-            words = [raw[i:j] for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            made = self._made(words, lead[at])
+            made = self._made(octets, start[at], end[at], lead[at])
             if len(kinds) > len(self.first):  # more different words in one text than are ever remembered
-                size = np.fromiter(map(len, made), np.int64, len(made))
-                first, count, ids = np.cumsum(size) - size, size, np.concatenate(made)
+                ids, first, count = made  # nothing is remembered now, so `new` are all words
                 word = np.searchsorted(kinds, key)
                 same = (kind == kind[at][word]) & same_bytes(padded, start, padded, start[at][word], np.where(kind == kind[at][word], end - start, 0))
                 return self._joined(ids, first[word], count[word], same, octets, start, end, lead, np.append(text_start, len(word)))
-            self._add(kinds, made, words, lead[at])
+            self._add(kinds, made, octets[_spans(start[at], end[at])], end[at] - start[at], lead[at])
             word = self._find(key)
         alike = kind == self.kind[word]
         same = alike & same_bytes(padded, start, self.bytes, self.bytes_at[word], np.where(alike, end - start, 0))
         return self._joined(self.ids, self.first[word], self.count[word].astype(np.int64), same, octets, start, end, lead, np.append(text_start, len(word)))
 
-    def _made(self, words: list[bytes], leads: np.ndarray) -> list[np.ndarray]:
-        """The ids of each word with its lead."""
-        made: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+    def _made(self, octets: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words of `octets` with their leads, and where in these ids each word's begin and how many they are."""
+        odd = ~_WORD_BYTE[octets]
+        odd[1:] |= (octets[:-1] == 0xC3) & ((octets[1:] == 0x97) | (octets[1:] == 0xB7))  # multiplied by, divided by
+        odds = np.concatenate([[0], np.cumsum(odd)])
+        plain = (lead == 1) & (odds[end] == odds[start]) & self.bytewise
+        first, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        flat, at = self._of_letters(octets, start[plain] - 1, end[plain])
+        first[plain], count[plain] = at[:-1], np.diff(at)
+        found, used = [flat], len(flat)
         for group, before in (((0, 2, 3), ""), ((1,), " ")):
-            mine = np.flatnonzero(np.isin(leads, group)).tolist()
-            for i, ids in zip(mine, self._by_line([words[i].decode() for i in mine], before), strict=True):
-                made[i] = np.concatenate([[np.uint32(self.feed)], ids]) if leads[i] == 2 else ids
-        return made
+            mine = np.flatnonzero(np.isin(lead, group) & ~plain)
+            words = [octets[i:j].tobytes().decode() for i, j in zip(start[mine].tolist(), end[mine].tolist(), strict=True)]
+            made = self._by_line(words, before)
+            made = [np.concatenate([[np.uint32(self.feed)], ids]) if x == 2 else ids for ids, x in zip(made, lead[mine].tolist(), strict=True)]
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            first[mine], count[mine] = used + np.cumsum(size) - size, size
+            found += made
+            used += int(size.sum())
+        return np.concatenate(found), first, count
+
+    def _of_letters(self, octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are a space and letters, one after the other, and where each begins, with the end of all."""
+        n = len(start)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        size = end - start
+        ends = np.cumsum(size + 1)
+        points = np.full(int(ends[-1]), _FEED, np.uint16)
+        points[_spans(ends - size - 1, ends - 1)] = _POINT[octets[_spans(start, end)]]
+        text, stops = points.astype("<u2", copy=False).tobytes().decode("utf-16-le"), [0, *ends[LINE - 1 : n - 1 : LINE].tolist(), int(ends[-1])]
+        lines = [text[i : j - 1] for i, j in zip(stops[:-1], stops[1:], strict=True)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)])
+        return flat, np.append(np.flatnonzero(self.spaced[flat]), len(flat))
 
     def _joined(self, ids: np.ndarray, first: np.ndarray, count: np.ndarray, same: np.ndarray, octets: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """_gather() of all words; those that are not the `same` as what their hash found are encoded here."""
         if not same.all():
             other = np.flatnonzero(~same)
-            made = self._made([octets[i:j].tobytes() for i, j in zip(start[other].tolist(), end[other].tolist(), strict=True)], lead[other])
-            size = np.fromiter(map(len, made), np.int64, len(made))
+            made, at, size = self._made(octets, start[other], end[other], lead[other])
             first, count = first.copy(), count.copy()
-            first[other], count[other] = len(ids) + np.cumsum(size) - size, size
-            ids = np.concatenate([ids, *made])
+            first[other], count[other] = len(ids) + at, size
+            ids = np.concatenate([ids, made])
         return _gather(ids, first, count, groups)
 
     def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -280,11 +334,15 @@ class Encoder:
         return [ids[i:j].astype("<u4").tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """first[0] .. last[0] - 1, first[1] .. last[1] - 1 and so on, in one array."""
+    n = last - first
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 def _gather(ids: np.ndarray, first: np.ndarray, count: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ids[first : first + count] of every word, one after the other, and where each group of words ends."""
-    ends = np.concatenate([[0], np.cumsum(count)])
-    at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], count)
-    return ids[at], ends[groups]
+    return ids[_spans(first, first + count)], np.concatenate([[0], np.cumsum(count)])[groups]
 
 
 @lru_cache(maxsize=2)

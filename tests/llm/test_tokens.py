@@ -109,3 +109,25 @@ def test_many_files_stand_in_order(spark):
     for r in rows:
         assert r.start == start
         start += r.n_tokens
+
+
+def test_words_met_again_stay_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 60)
+    encode, asked = tokens.Encoder(tokens.vocabulary_path()), []
+    made = encode._made
+    monkeypatch.setattr(encode, "_made", lambda *words: asked.append(len(words[-1])) or made(*words))
+    usual = " and ".join(f"usual{chr(97 + i)} word{chr(97 + i)}" for i in range(10))
+    for n in range(40):
+        text = f"so {usual} " + " ".join(f"rare{chr(97 + n % 26)}{chr(97 + n // 26)}{chr(97 + i)}" for i in range(15))
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == direct(text)
+    assert sum(asked) == 40 * 15 + 22
+
+
+def test_words_of_letters_need_no_cutting(monkeypatch):
+    words = ["été", "straße", "Ünïcödé", "словоѿ", "a×b", "a÷b", "ŉſ", "naïve2", "x'll", "ıİ", "Αθήνα", "plain", "ſtop.", "ĀÿƀƁ", "a" * 3000]
+    text = "so " + " ".join(words * 3) + "\n" + " ".join(w + "," for w in words)
+    encode, lines = tokens.Encoder(tokens.vocabulary_path()), []
+    by_line = encode._by_line
+    monkeypatch.setattr(encode, "_by_line", lambda some, before: lines.extend((before, w) for w in some) or by_line(some, before))
+    assert np.frombuffer(encode([text])[0], "<u4").tolist() == direct(text)
+    assert not {"été", "straße", "Ünïcödé", "plain", "словоѿ", "ŉſ"} & {w for before, w in lines if before} and (" ", "a×b") in lines
